@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import embedding_dedup, exact_dedup, mixing, packing, sharding, simhash, token_output
+from ravelin.llm import embedding_dedup, exact_dedup, mixing, packing, sharding, simhash, token_output, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(_table(spark, sf_dir, "pages"), with_payload=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_token_output": op10_token_output,
 }
@@ -114,4 +120,12 @@ ORACLE_SQL: dict[str, str] = {
                (floor((rank + 1) * rate + u) - floor(rank * rate + u))::BIGINT * size AS taken
         FROM r
     """,
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+        k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS keep FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+        FROM k
+    """,
 }
