@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import embedding_dedup, exact_dedup, mixing, packing, sharding, simhash, token_output, warc
+from ravelin.llm import embedding_dedup, exact_dedup, mixing, packing, sharding, simhash, token_output, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.find_groups(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
