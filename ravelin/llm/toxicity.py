@@ -4,10 +4,10 @@ Two models, toxic and ordinary, predict each letter of a word from up to four
 before it. Each class has its own counts at the highest order; below it both
 share one interpolated Kneser-Ney backoff whose continuation counts are taken
 over all documents, so a rare expression is smoothed by the whole corpus and a
-context that a class never saw cancels out. A word's log-likelihood ratio is
-compared per word, per letter, per window of words and per document; a
-logistic function fitted on labelled documents that the models did not see
-turns the four figures into a score.
+context that a class never saw cancels out. A text's log-likelihood ratios,
+normalised by length over the text, its windows and its words, become a score
+by a logistic function fitted on labelled documents that the models did not
+see.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.base import keep_rows, stage
 
-ORDER, DISCOUNT, WINDOW, CUT = 5, 0.75, 8, 0.3
-#: Labelled documents that each class's model, and the logistic function, are fitted on at most.
-PER_CLASS, CALIBRATION = 2000, 4096
+ORDER, DISCOUNT, WINDOW, CUT = 5, 0.75, 32, 0.3
+#: Most toxic words that are averaged, and the ratio above which a word is marked.
+WORST, MARKED = 4, 2.0
+#: Labelled documents that the toxic model, the ordinary one and the logistic function are fitted on at most.
+TOXIC, ORDINARY, CALIBRATION = 2000, 8000, 4096
 #: Sequences of letters that the fitted table holds at most, the frequent ones first.
 TABLE = 400_000
 _BEGIN, _END = "\x02", "\x03"
@@ -130,17 +132,26 @@ class WordRatios(dict):
         return type(self), (self._seen, self._unseen)
 
 
-def figures(ratios: WordRatios, text: str | None) -> tuple[float, float, float, float]:
-    """Ratio per word of the whole text, per word of its most toxic window, of its
-    most toxic word, and per letter of its most toxic word; zeros without words."""
+def figures(ratios: WordRatios, text: str | None) -> tuple[float, ...]:
+    """Length-normalised ratios of a text, and the logarithm of its length.
+
+    Per word of the whole text; per word of its most toxic window; of its most
+    toxic words, each counted once; and what words exceed MARKED by, over the
+    square root of the number of words, as such a sum spreads over a text by
+    chance. Texts without words give zeros.
+    """
     words = _words(text.lower()) if text else []
     if not words:
-        return 0.0, 0.0, 0.0, 0.0
+        return (0.0,) * 5
     r = np.array(list(map(ratios.__getitem__, words)))
     sums = np.concatenate([[0.0], np.cumsum(r)])
     wide = min(WINDOW, len(r))
-    top = int(r.argmax())
-    return r.mean(), float((sums[wide:] - sums[:-wide]).max()) / wide, r[top], r[top] / (len(words[top]) + 1)
+    best: dict[str, float] = {}
+    for i in np.argsort(-r, kind="stable").tolist():
+        best.setdefault(words[i], r[i])
+        if len(best) == WORST:
+            break
+    return r.mean(), float((sums[wide:] - sums[:-wide]).max()) / wide, sum(best.values()) / WORST, float(np.maximum(r - MARKED, 0).sum()) / len(r) ** 0.5, float(np.log(len(r)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -183,16 +194,17 @@ def _fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION, table: int = TABLE, cut: float = CUT) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_docs: int = ORDINARY, calibration: int = CALIBRATION, table: int = TABLE, cut: float = CUT) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Labels count from documents whose crc32(doc_id) mod 4 is not 2: folds 0 and
-    1 fit the models, on at most `per_class` documents a class in order of a
-    digest of the id, fold 3 the logistic function, on at most `calibration`.
+    1 fit the models, on at most `toxic_docs` and `ordinary_docs` documents in
+    order of a digest of the id, fold 3 the logistic function, on at most
+    `calibration`.
     A document labelled twice is toxic if one label says so; null labels and
     labels of unknown documents are left out. Without documents of both
     classes every score is the rate of toxic labels. Texts without words,
-    empty or null, get the score of a text whose four figures are 0. A null id
+    empty or null, get the score of a text whose figures are 0. A null id
     is never held out. Repeated rows score alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -204,9 +216,9 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     here = stage(here.drop("doc_id"), "labels-here")
     first = lambda rows, n: rows.orderBy("_mix").limit(n)
     fit = here.where(_fold(F.col("_id")) != 3)
-    chosen = first(fit.where("toxic = 1"), per_class).unionByName(first(fit.where("toxic = 0"), per_class)).withColumn("use", F.lit("fit"))
+    chosen = first(fit.where("toxic >= 1"), toxic_docs).unionByName(first(fit.where("toxic < 1"), ordinary_docs)).withColumn("use", F.lit("fit"))
     chosen = stage(chosen.unionByName(first(here.where(_fold(F.col("_id")) == 3), calibration).withColumn("use", F.lit("tune"))), "chosen-labels")
-    # At most 2 * per_class + calibration rows.
+    # At most toxic_docs + ordinary_docs + calibration rows.
     sample = stage(texts.join(F.broadcast(chosen.select("_id", "toxic", "use")), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("use", F.greatest(F.lit(0), F.least(F.lit(1), "toxic")).alias("toxic"), "text"), "labelled-texts")
     sizes = {(r["use"], r["toxic"]): r["n"] for r in sample.groupBy("use", "toxic").agg(F.count("*").alias("n")).collect()}
     toxic, plain = (sum(n for (_, t), n in sizes.items() if t == k) for k in (1, 0))
