@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import embedding_dedup, exact_dedup, mixing, packing, sharding, simhash, token_output, toxicity, warc
+from ravelin.llm import embedding_dedup, exact_dedup, mixing, packing, pii, sharding, simhash, token_output, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,13 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.find_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
