@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import attach, new_path, shuffle_width, stage
+from ravelin.llm.base import attach, drop_path, new_path, shuffle_width, stage, staged
 from ravelin.llm.tokens import encoder
 
 END_ID = 2
@@ -127,31 +127,35 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         end = np.array([end_id], "<u4").tobytes()
+        narrow = (lambda c: np.frombuffer(c, "<u4").astype(kind).tobytes()) if kind != "<u4" else (lambda c: c)
         for rb in batches:
             ids, texts = rb.column(0), rb.column(1)
             for at in range(0, len(ids), 512):
                 coded = [encode(t) + end for t in texts.slice(at, 512).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 512), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(coded, pa.binary())], names=["doc_id", "n_tokens", "crc", "ids"]
+                    [ids.slice(at, 512), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(map(narrow, coded), pa.binary())], names=["doc_id", "n_tokens", "crc", "ids"]
                 )
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1, np.int64)
-    for rb in batches:
-        for data in rb.column(0).to_pylist():
-            more = np.bincount(np.frombuffer(data, "<u4"))
-            if len(more) > len(counts):
-                counts = np.concatenate([counts, np.zeros(len(more) - len(counts), np.int64)])
-            counts[: len(more)] += more
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["symbol", "n"])
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1, np.int64)
+        for rb in batches:
+            for at in range(0, len(rb), 512):
+                more = np.bincount(np.frombuffer(b"".join(rb.column(0).slice(at, 512).to_pylist()), kind))
+                if len(more) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(len(more) - len(counts), np.int64)])
+                counts[: len(more)] += more
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["symbol", "n"])
+
+    return run
 
 
 def _table(freq_rows) -> np.ndarray:
@@ -165,13 +169,13 @@ def _table(freq_rows) -> np.ndarray:
 _BLOCKS = "part long, block long, file string, at long, bytes long, docs long, tokens long, tokens_before long"
 
 
-def _writer(folder: str, freq, block_tokens: int, lanes: int):
+def _writer(folder: str, freq, block_tokens: int, lanes: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         store, root = _filesystem(folder)
-        coder, part = Coder(freq.value), context.partitionId()
+        coder, part, width = Coder(freq.value), context.partitionId(), np.dtype(kind).itemsize
         # The attempt is in the name: a repeated task never touches another's file.
         file = f"part-{part:06d}-{context.taskAttemptId()}.rans"
         out, at, before, block = None, 0, 0, 0
@@ -183,7 +187,7 @@ def _writer(folder: str, freq, block_tokens: int, lanes: int):
         def flush() -> None:
             nonlocal out, at, before, block, tokens
             out = out or store.open_output_stream(f"{root}/{file}")
-            data = write_block(coder, ids, [len(h) // 4 for h in held], np.frombuffer(b"".join(held), "<u4"), lanes)
+            data = write_block(coder, ids, [len(h) // width for h in held], np.frombuffer(b"".join(held), kind), lanes)
             out.write(data)
             rows.append((part, block, file, at, len(data), len(ids), tokens, before))
             at, before, block, tokens = at + len(data), before + tokens, block + 1, 0
@@ -194,7 +198,7 @@ def _writer(folder: str, freq, block_tokens: int, lanes: int):
             for doc, data in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
                 ids.append(doc)
                 held.append(data)
-                tokens += len(data) // 4
+                tokens += len(data) // width
                 if tokens >= block_tokens:
                     flush()
         if ids:
@@ -218,8 +222,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, bl
     tokens, or the longest document's.
     """
     spark = docs.sparkSession
-    coded = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_tokenise(tokenizer, end_id), "doc_id long, n_tokens long, crc long, ids binary"), "token-ids")
-    counts = coded.select("ids").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # a row per symbol of the vocabulary
+    # Between the steps ids take as few bytes as the vocabulary allows.
+    kind = "<u2" if max(encoder(tokenizer).vocabulary(), end_id + 1) <= 1 << 16 else "<u4"
+    coded, path = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_tokenise(tokenizer, end_id, kind), "doc_id long, n_tokens long, crc long, ids binary"), "token-ids")
+    counts = coded.select("ids").mapInArrow(_count(kind), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # a row per symbol of the vocabulary
     dense = np.zeros(max((r["symbol"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         dense[r["symbol"]] = r["n"]
@@ -229,7 +235,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, bl
     shared = spark.sparkContext.broadcast(freq)
     keys = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("n_tokens")]
     ordered = coded.repartitionByRange(shuffle_width(spark), *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
-    ordered.mapInArrow(_writer(folder, shared, block_tokens, lanes), _BLOCKS).write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(_writer(folder, shared, block_tokens, lanes, kind), _BLOCKS).write.parquet(f"{folder}/blocks")
+    drop_path(spark, path)
 
 
 def _reader(folder: str, freq):

@@ -39,8 +39,13 @@ class Encoder(dict):
         # With a normalizer that drops white space words stand alone; without, a word owns the space before it.
         self._parts = str.split if self._lower else re.compile(r"\s*\S+|\s+").findall
         self._letters = _byte_letters()
+        self._model = self._tokenizer.model
         self._old: dict[str, bytes] = {}
 
+    def vocabulary(self) -> int:
+        """One more than the largest id."""
+        return max(self._tokenizer.get_vocab().values(), default=0) + 1
+
     def _whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -52,10 +57,11 @@ class Encoder(dict):
                 ids = self._whole(part)
             elif word[3]:
                 ids = self[word[1] + word[2]] + self[word[3]]
+            elif self._lower and not part.islower():
+                ids = self[part.lower()]
             else:
-                plain = word[2].lower() if self._lower else part
-                coded = plain.encode().decode("latin-1").translate(self._letters)
-                ids = array("I", [t.id for t in self._tokenizer.model.tokenize(coded)]).tobytes()
+                coded = part.replace(" ", self._letters[32]) if part.isascii() else part.encode().decode("latin-1").translate(self._letters)
+                ids = array("I", [t.id for t in self._model.tokenize(coded)]).tobytes()
         if len(part) <= LONGEST:
             if len(self) >= GENERATION:
                 self._old = dict(self)
