@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from ravelin.llm.base import attach, components, keep_rows, stage
 
 WORDS, SEED, RADIUS = 3, 42, 3
-#: Fingerprints that a shard should hold, and that one comparison in memory takes.
-SHARD, BASE = 16_384, 512
+#: Fingerprints that a shard should hold: SHARD, or SHARD_ROOT times the root of
+#: their number if that is more, as each level of the tree copies the points near
+#: its border and a shard of millions still fits a task. BASE: compared at once.
+SHARD, SHARD_ROOT, BASE = 16_384, 64, 512
 #: The tree is fitted on so many fingerprints per leaf, and on so many in all.
 SAMPLE_PER_LEAF, SAMPLE = 64, 1 << 17
 
@@ -172,6 +175,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     """(a, b): links between distinct `fp` within `radius`, enough to join all that are joined."""
     spark = prints.sparkSession
     count = prints.count()
+    shard = max(shard, SHARD_ROOT * isqrt(count))
     leaves = max(1, count // shard)
     size = min(SAMPLE, max(4096, SAMPLE_PER_LEAF * leaves))
     sample = [r["fp"] for r in prints.orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(size).select("fp").collect()]  # at most SAMPLE
@@ -210,4 +214,4 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` whose id is its component's smallest; rows with a null id stay only if no id of the component is known."""
     marks = find_groups(docs, **options)
     gone = stage(marks.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct(), "near-gone")
-    return keep_rows(docs, gone, "left_anti").select(*docs.columns)
+    return keep_rows(docs, gone, "left_anti")
