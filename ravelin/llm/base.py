@@ -1,84 +1,13 @@
-"""What the corpus operators share: staging, distributed prefix sums, components.
-
-Nothing here collects rows of unbounded number to the driver. Intermediate
-tables are Parquet files below the folder that the session names in
-``spark.checkpoint.dir``; all executors see that folder, so a lost executor
-costs only the tasks that it ran.
-"""
+"""What the corpus operators share besides staging: semi joins by id, components."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a measured table may be broadcast.
-BROADCAST_ROWS = 200_000
-
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; one of our own only where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="ravelin-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-    return _own_dirs[app]
-
-
-def _hadoop(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    fs, p = _hadoop(spark, path)
-    fs.delete(p, True)
-
-
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        drop_path(spark, path)
-    except Exception:  # the session has ended before the interpreter
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder, removed when the program ends."""
-    path = f"{shared_dir(spark)}/ravelin/{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop_at_exit, spark, path)
-    return path
-
+from ravelin.plans.staging import BROADCAST_ROWS, attach, drop_path, new_path, running_before, shared_dir, shuffle_width, stage, staged
 
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`df` written as Parquet in the shared folder and read again, and its path."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    return staged(df, name)[0]
-
-
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join `small`, a staged table, to `big`.
-
-    `small` is counted first: up to BROADCAST_ROWS rows it is broadcast, beyond
-    that both sides are shuffled and adaptive execution splits hot keys.
-    """
-    if small.count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+__all__ = ["attach", "components", "drop_path", "keep_rows", "new_path", "running_before", "shared_dir", "shuffle_width", "stage", "staged"]
 
 
 def keep_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -88,35 +17,6 @@ def keep_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def running_before(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, name: str = "ranged") -> DataFrame:
-    """Add `out`: the sum of `value` over earlier rows of the same group.
-
-    Rows are range-partitioned by (group, order) and staged, so that no group,
-    however large, meets in one task; the totals of (partition, group) give
-    each partition its start, and a window inside the partition gives the rest.
-    `order` must order rows totally, up to rows that are alike in every column;
-    nulls come first. `group` columns must not be null.
-    """
-    spark = df.sparkSession
-    keys = [F.col(c).asc_nulls_first() for c in [*group, *order]]
-    ranged = stage(
-        df.withColumn("_value", value)
-        .repartitionByRange(shuffle_width(spark), *keys)
-        .withColumn("_part", F.spark_partition_id())
-        .sortWithinPartitions(*keys),
-        name,
-    )
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_part", *group).agg(F.sum("_value").alias("_total"))
-    base = totals.withColumn("_base", F.coalesce(F.sum("_total").over(before(Window.partitionBy(*group).orderBy("_part"))), F.lit(0))).drop("_total")
-    inside = F.coalesce(F.sum("_value").over(before(Window.partitionBy("_part", *group).orderBy(*keys[len(group) :]))), F.lit(0))
-    return attach(ranged.withColumn("_inside", inside), stage(base, f"{name}-base"), ["_part", *group], "inner").withColumn(out, F.col("_base") + F.col("_inside")).drop("_part", "_base", "_inside", "_value")
-
-
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): smallest node reachable, for the nodes of `edges`.
 

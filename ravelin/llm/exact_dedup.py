@@ -12,6 +12,7 @@ only lists of numbers move.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,5 +155,6 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     if again.isEmpty():
         return out
     key = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
-    one = keep_rows(out, again, "left_semi").withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
-    return keep_rows(out, again, "left_anti").unionByName(one).select(*docs.columns)
+    name = f"_key_{uuid.uuid4().hex}"
+    one = keep_rows(out, again, "left_semi").withColumn(name, F.struct("doc_id", key)).dropDuplicates([name]).drop(name)
+    return keep_rows(out, again, "left_anti").unionByName(one)

@@ -9,6 +9,8 @@ words taken differ from the target by less than the source's longest document.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     copies = plan(docs, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies")).where("_copies > 0")
     copies = stage(copies, "mix-copies").withColumnRenamed("doc_id", "_id")
+    # Columns are taken from their own tables, whatever else `docs` is called by.
     joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]), "inner")
-    repeat = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return joined.withColumn("_copy", repeat).select(*docs.columns)
+    repeat = F.explode(F.sequence(F.lit(1), copies["_copies"].cast("int")))
+    return joined.withColumn(f"_copy_{uuid.uuid4().hex}", repeat).select(*[docs[f"`{c}`"] for c in docs.columns])

@@ -94,6 +94,8 @@ class Coder:
             y[need] = (y[need] << _U32) | words[read : read + len(need)]
             read += len(need)
             x[: len(y)] = y
+        if read != len(words) or (x != LOW).any():
+            raise ValueError("a token block does not end at the states that its coding began with")
         return tokens
 
 
