@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import identifiers
-from ravelin.operators import aggregates, joins, scoring, selection
+from ravelin.operators import aggregates, evidence, joins, scoring, selection
 from ravelin.plans.registry import query, r6
 
 _PAIRS = """
@@ -250,3 +250,74 @@ def common_key_top(t):
     both = li.select("l_partkey", "l_suppkey").distinct().join(c, "l_partkey").join(s, "l_suppkey").withColumn("rank_sum", F.col("cq") + F.col("sq"))
     rank = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.col("rank_sum").desc(), "l_partkey")).cast("long")
     return both.select("l_partkey", "l_suppkey", "rank_sum", rank.alias("rank"))
+
+
+@query("""
+    WITH e AS (SELECT l_returnflag AS source, unnest([l_partkey, l_suppkey]) AS protein, unnest([l_linestatus, l_returnflag]) AS taxid FROM lineitem)
+    SELECT protein, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources, array_to_string(list_sort(list(DISTINCT taxid)), ';') AS taxids FROM e GROUP BY 1""")
+def protein_universe(t):
+    df = evidence.universe(t("lineitem"), "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag", "l_returnflag")
+    return df.select("protein", F.array_join("sources", ";").alias("sources"), F.array_join("taxids", ";").alias("taxids"))
+
+
+@query("""
+    WITH m AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
+    SELECT c_custkey, c_name, o_orderstatus, o_orderpriority FROM customer LEFT JOIN m ON c_custkey = o_custkey AND rn = 1""")
+def case_metadata(t):
+    m = t("orders").withColumnRenamed("o_custkey", "c_custkey")
+    return evidence.add_metadata(t("customer"), m, "c_custkey", ["o_orderdate", "o_orderkey"]).select("c_custkey", "c_name", "o_orderstatus", "o_orderpriority")
+
+
+@query("""
+    SELECT d.doc_id, d.lang, d.n_chars, coalesce(l.quality, -1) AS quality, coalesce(l.n_chars, -1) AS n_chars__from_labels FROM documents d
+    LEFT JOIN (SELECT doc_id, quality, toxic AS n_chars FROM labels) l USING (doc_id)""")
+def merged_scores(t):
+    other = t("labels").select("doc_id", "quality", F.col("toxic").alias("n_chars"))
+    df = evidence.merge_scores(t("documents").select("doc_id", "lang", "n_chars"), other, ["doc_id"], "labels")
+    fill = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return df.select("doc_id", "lang", "n_chars", fill("quality"), fill("n_chars__from_labels"))
+
+
+@query("""
+    WITH e AS (SELECT s.n_regionkey AS region, list_sort(list(DISTINCT c_mktsegment)) AS r, list_sort(list(DISTINCT o_orderpriority)) AS l
+               FROM customer JOIN nation s ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+    x AS (SELECT region, unnest(r) AS receptor, generate_subscripts(r, 1) AS i, l FROM e), y AS (SELECT region, receptor, i, unnest(l) AS ligand, generate_subscripts(l, 1) AS j FROM x)
+    SELECT region, receptor, ligand, row_number() OVER (PARTITION BY region ORDER BY i, j) AS pair_number FROM y""")
+def chain_expansion(t):
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("orders"), F.col("o_custkey") == F.col("c_custkey"))
+    sets = rows.groupBy(F.col("n_regionkey").alias("region")).agg(F.array_sort(F.collect_set("c_mktsegment")).alias("r"), F.array_sort(F.collect_set("o_orderpriority")).alias("l"))
+    return evidence.expand_chains(sets, "region", "r", "l").select("region", "receptor", "ligand", "pair_number")
+
+
+@query("""
+    WITH f AS (SELECT c_nationkey AS k, 0 AS priority, c_name AS name FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_nationkey, 1, s_name FROM supplier),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY priority, name) AS rn FROM f)
+    SELECT n_nationkey AS k, coalesce(priority, -1) AS priority, coalesce(name, 'missing') AS name FROM nation LEFT JOIN r ON n_nationkey = k AND rn = 1""")
+def source_priority(t):
+    first = t("customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
+    second = t("supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name"))
+    found, missing = evidence.by_priority([first, second], "k", t("nation").select(F.col("n_nationkey").alias("k")))
+    return found.select("k", "priority", "name").unionByName(missing.select("k", F.lit(-1).alias("priority"), F.lit("missing").alias("name")))
+
+
+@query("""
+    WITH e AS (SELECT doc_id, lang, source, n_chars, quality FROM documents JOIN labels USING (doc_id)), g AS (SELECT lang, source, sum(quality)::BIGINT AS positives, max(n_chars) AS peak FROM e GROUP BY 1, 2),
+    q AS (SELECT quantile_cont(peak, 0.75) AS peak_quantile FROM g WHERE peak > 0)
+    SELECT doc_id, positives, peak, round(peak_quantile, 6) AS peak_quantile, positives > 0 AND peak >= peak_quantile AS is_primary FROM e JOIN g USING (lang, source), q""")
+def group_annotations(t):
+    e = t("documents").join(t("labels"), "doc_id").select("doc_id", "lang", "source", "n_chars", "quality")
+    return evidence.annotate(e, ["lang", "source"], "quality", "n_chars").select("doc_id", "positives", "peak", r6("peak_quantile"), "is_primary")
+
+
+@query("""
+    WITH c AS (SELECT DISTINCT o_orderpriority AS entry, l_linenumber AS pa, l_quantity::INT AS pb FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    m AS (SELECT o_orderpriority AS entry, o_orderstatus AS chain, (o_orderkey % 50)::INT AS pos, (o_custkey % 100)::INT AS at_pos FROM orders),
+    j AS (SELECT c.entry, l.chain AS cl, r.chain AS cr, l.at_pos AS i, r.at_pos AS j FROM c JOIN m l ON c.entry = l.entry AND l.chain = 'F' AND c.pa = l.pos JOIN m r ON c.entry = r.entry AND r.chain = 'O' AND c.pb = r.pos
+          UNION ALL SELECT c.entry, l.chain, r.chain, l.at_pos, r.at_pos FROM c JOIN m l ON c.entry = l.entry AND l.chain = 'O' AND c.pb = l.pos JOIN m r ON c.entry = r.entry AND r.chain = 'F' AND c.pa = r.pos),
+    b AS (SELECT *, min({'c': cl, 'd': cr}) OVER (PARTITION BY entry) AS best FROM j)
+    SELECT DISTINCT entry, i, j FROM b WHERE cl = best.c AND cr = best.d""")
+def contact_transfer(t):
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    contacts = lines.select(F.col("o_orderpriority").alias("entry"), F.lit("F").alias("chain_a"), F.col("l_linenumber").alias("pos_a"), F.lit("O").alias("chain_b"), F.col("l_quantity").cast("int").alias("pos_b")).distinct()
+    m = t("orders").select(F.col("o_orderpriority").alias("entry"), F.col("o_orderstatus").alias("chain"), (F.col("o_orderkey") % 50).cast("int").alias("pos"), (F.col("o_custkey") % 100).cast("int").alias("at"), F.lit(0.0).alias("evalue"), F.lit(1.0).alias("bits"))
+    return evidence.transfer_contacts(contacts, m, m)
