@@ -97,7 +97,7 @@ def clusters(spark: SparkSession, path: str) -> DataFrame:
 
     A listing is one ordered text, so its lines are read by one task per file.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     w = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     number = F.last(F.when(F.col("line").rlike(r"^>Cluster"), F.regexp_extract("line", r"([0-9]+)", 1)), True).over(w)
     return lines.withColumn("cluster", number.try_cast("long")).withColumn("member", F.regexp_extract("line", r">(.+?)\.\.\.", 1)).where("member <> ''").select("path", "member", "cluster")
@@ -163,7 +163,7 @@ def coupled(spark: SparkSession, path: str, l1: int, l2: int) -> DataFrame:
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """(path, i, j, score) of the non-zero cells of a dense tab-separated matrix, from 1."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("i", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", "[\\r\\n]+$", ""), "\r?\n")).alias("i", "line"))
     cells = rows.select("path", "i", F.posexplode(F.split("line", "\t")).alias("j", "v"))
     return cells.select("path", (F.col("i") + 1).cast("long").alias("i"), (F.col("j") + 1).cast("long").alias("j"), F.col("v").cast("double").alias("score")).where("score <> 0")
 

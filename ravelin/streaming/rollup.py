@@ -8,4 +8,5 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, length: str, late: str = "10 minutes") -> DataFrame:
     """Count and sum of values per event type and window; rows later than `late` are left out of a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
