@@ -8,7 +8,6 @@ costs only the tasks that it ran.
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
