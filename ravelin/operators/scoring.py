@@ -45,8 +45,9 @@ def smooth(cells: DataFrame, group: Sequence[str], i: str, j: str, value: str, s
 
 
 def patch(conservation: Column, fragments: Column, reliability: Column) -> Column:
-    """Conservation, trusted fragments, and half of what both agree on."""
-    return conservation + reliability * fragments + F.lit(0.5) * F.least(conservation, fragments)
+    """Conservation, fragments as far as they are trusted, and half of what both agree on."""
+    trusted = reliability * fragments
+    return conservation + trusted + F.lit(0.5) * F.least(conservation, trusted)
 
 
 def guided(component: Column, patch_score: Column, floor: float = 0.25) -> Column:

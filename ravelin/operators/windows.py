@@ -73,13 +73,13 @@ def group_order(df: DataFrame, group: Sequence[str], order: Sequence[str], posit
     return df.withColumn(position, F.row_number().over(w.orderBy(*keys)).cast("long")).withColumn(length, F.count(F.lit(1)).over(w))
 
 
-def seed_kernel(df: DataFrame, group: Sequence[str], position: str, seeds: DataFrame, radius: int, out: str) -> DataFrame:
-    """Sum of triangular kernels around the group's seeds, (r + 1 - d) / (r + 1) at distance d.
+def seed_kernel(df: DataFrame, group: Sequence[str], position: str, seeds: DataFrame, radius: int, out: str, height: str | None = None) -> DataFrame:
+    """Sum of triangular kernels around the group's seeds, (r + 1 - d) / (r + 1) at distance d, times the seed's `height`.
 
     A seed is dealt to the 2r + 1 positions that it reaches, so the join is on
     equal keys and no row meets a seed that is out of reach.
     """
-    reach = seeds.select(*group, F.explode(F.sequence(F.col(position) - radius, F.col(position) + radius)).alias("_at"), F.col(position).alias("_seed"))
-    weight = (F.lit(radius + 1.0) - F.abs(F.col("_at") - F.col("_seed"))) / F.lit(radius + 1.0)
+    reach = seeds.select(*group, F.explode(F.sequence(F.col(position) - radius, F.col(position) + radius)).alias("_at"), F.col(position).alias("_seed"), (F.col(height) if height else F.lit(1.0)).alias("_height"))
+    weight = F.col("_height") * (F.lit(radius + 1.0) - F.abs(F.col("_at") - F.col("_seed"))) / F.lit(radius + 1.0)
     signal = reach.groupBy(*group, F.col("_at").alias(position)).agg(F.sum(weight).alias(out))
     return df.join(signal, [*group, position], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))

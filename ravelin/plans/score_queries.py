@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ravelin.operators import aggregates, alignment, metrics, ml, scoring, selection, spatial, windows
+from ravelin.plans import pair_scoring
 from ravelin.plans.registry import query, r6
 
 _LABELLED = "SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)"
@@ -324,3 +325,16 @@ def logreg_oof(t):
     folds = ml.group_folds(e, "source", 3)
     out = ml.out_of_fold(e, folds, "source", "quality", "weight", ["length", "lines", "digits", "length_lines", "log_length"], 3)
     return out.select("doc_id", "fold", F.round("probability", 4).alias("probability"))
+
+
+@query()
+def pair_scores(t):
+    """Order priorities as pairs, nations of customers and suppliers as their sides, three figures as branches."""
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    cell = lines.select(F.col("o_orderpriority").alias("pair"), (F.col("c_nationkey") + 1).cast("long").alias("i"), (F.col("s_nationkey") + 1).cast("long").alias("j"), "l_quantity", "l_extendedprice", "l_returnflag")
+    branches = {"fragments": F.max(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))), "conservation": F.round(F.sum("l_quantity"), 2), "coupling": F.round(F.max("l_extendedprice"), 2)}
+    sums = cell.groupBy("pair", "i", "j").agg(*[c.alias(b) for b, c in branches.items()])
+    cells = sums.select("pair", "i", "j", F.explode(F.array(*[F.struct(F.lit(b).alias("branch"), F.col(b).cast("double").alias("score")) for b in branches])).alias("x")).select("pair", "i", "j", "x.*").where("score > 0")
+    sizes = cells.select("pair").distinct().withColumn("l1", F.lit(25)).withColumn("l2", F.lit(25))
+    out = pair_scoring.score_pairs(pair_scoring.normalise(cells, ["coupling"]), sizes, {"coupling": 0.35}, seeds=3, radius=2)
+    return out.select("pair", "side", "idx", *[r6(c) for c in ("fragments_component", "conservation_component", "coupling_component", "patch", "final")], "rank")

@@ -215,7 +215,7 @@ def test_windows_and_scores_on_nulls_and_ties(spark):
     roles = {r.i: r.role for r in selection.adaptive(df, ["g"], "i", "v", active=0.75, passive=0.35, most_passive=1).collect()}
     assert roles == {5: "active", 1: "passive"}
     assert one(spark, scoring.weighted_mean({"a": 1.0, "b": 3.0, "c": -1.0}), a=1.0, b=2.0, c=9.0) == 1.75
-    assert one(spark, scoring.patch(F.col("a"), F.col("b"), F.lit(0.5)), a=1.0, b=2.0) == 2.5
+    assert one(spark, scoring.patch(F.col("a"), F.col("b"), F.lit(0.25)), a=1.0, b=2.0) == 1.75
     assert one(spark, scoring.guided(F.col("a"), F.lit(0.0)), a=4.0) == 1.0
 
 
