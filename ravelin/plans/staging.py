@@ -68,13 +68,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return staged(df, name)[0]
 
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", narrow: bool = True) -> DataFrame:
     """Join `small`, a staged table, to `big`.
 
-    `small` is counted first: up to BROADCAST_ROWS rows it is broadcast, beyond
-    that both sides are shuffled and adaptive execution splits hot keys.
+    Rows of a `narrow` table are numbers and short names; it is counted first
+    and broadcast up to BROADCAST_ROWS rows. Beyond that, and where rows may be
+    long, Spark decides by measured bytes, and adaptive execution splits hot
+    keys of a shuffled join.
     """
-    if small.count() <= BROADCAST_ROWS:
+    if narrow and small.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
     return big.join(small, on, how)
 
