@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 # Residue names, property classes, and largest accessible areas in square angstroms.
 ONE_LETTER = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M"}
-CHARGE = {"K": 1, "R": 1, "H": 0, "D": -1, "E": -1}
-HYDROPHOBIC, POLAR, AROMATIC = "AVILMFWYC", "STNQCYHKRDE", "FWYH"
-LARGEST_AREA = {"A": 129.0, "R": 274.0, "N": 195.0, "D": 193.0, "C": 167.0, "Q": 225.0, "E": 223.0, "G": 104.0, "H": 224.0, "I": 197.0, "L": 201.0, "K": 236.0, "M": 224.0, "F": 240.0, "P": 159.0, "S": 155.0, "T": 172.0, "W": 285.0, "Y": 263.0, "V": 174.0}
-HELIX, STRAND = "HGI", "EB"
+CHARGE = {"K": 1, "R": 1, "H": 1, "D": -1, "E": -1}
+HYDROPHOBIC, POLAR, AROMATIC = "AVILMFWYC", "STNQYCH", "FYW"
+LARGEST_AREA = {"A": 129.0, "R": 274.0, "N": 195.0, "D": 193.0, "C": 167.0, "Q": 223.0, "E": 225.0, "G": 104.0, "H": 224.0, "I": 197.0, "L": 201.0, "K": 236.0, "M": 224.0, "F": 240.0, "P": 159.0, "S": 155.0, "T": 172.0, "W": 285.0, "Y": 263.0, "V": 174.0}
+HELIX, SHEET = "HGI", "EB"
 
 
 def _look_up(table: dict, key: Column) -> Column:
@@ -20,7 +20,8 @@ def _look_up(table: dict, key: Column) -> Column:
 
 
 def one_letter(name: Column) -> Column:
-    return F.coalesce(_look_up(ONE_LETTER, F.upper(F.trim(name))), F.lit("X"))
+    text = F.upper(F.trim(name))
+    return F.when(F.length(text) == 1, text).otherwise(F.coalesce(_look_up(ONE_LETTER, text), F.lit("X")))
 
 
 def charge(letter: Column) -> Column:
@@ -32,8 +33,9 @@ def in_class(letter: Column, members: str) -> Column:
 
 
 def three_states(code: Column) -> Column:
-    """H, E or C of an eight-state code."""
-    return F.when(code.isin(*HELIX), "H").when(code.isin(*STRAND), "E").otherwise("C")
+    """helix, sheet or coil of an eight-state code; anything else is coil."""
+    text = F.upper(F.trim(code))
+    return F.when(text.isin(*HELIX), "helix").when(text.isin(*SHEET), "sheet").otherwise("coil")
 
 
 def relative_area(area: Column, letter: Column) -> Column:
@@ -85,3 +87,16 @@ def trim_gaps(row: Column, query: Column) -> Column:
     """`row` without the columns at which the aligned query has a gap."""
     zipped = F.arrays_zip(_letters(query).alias("q"), _letters(row).alias("r"))
     return F.array_join(F.transform(F.filter(zipped, lambda z: z["q"] != "-"), lambda z: z["r"]), "")
+
+
+def chain_lengths(structure: Column) -> Column:
+    """(l1, l2) of a two-chain structure line: the first chain is its leading run of `H`; an empty chain is an error."""
+    first = F.length(F.regexp_extract(structure, "^(H+)", 1))
+    second = F.length(structure) - first
+    lengths = F.struct(first.alias("l1"), second.alias("l2"))
+    return F.when((first > 0) & (second > 0), lengths).otherwise(F.raise_error(F.lit("no two chains in a structure line")).cast("struct<l1:int,l2:int>"))
+
+
+def structure_line(l1: Column, l2: Column) -> Column:
+    """`H` for each position of the first chain, `B` for each of the second."""
+    return F.concat(F.repeat(F.lit("H"), l1), F.repeat(F.lit("B"), l2))

@@ -89,3 +89,17 @@ def best_by_metric(df: DataFrame, group: Sequence[str], metric: str, name: str)
     """Name and value of the row with the largest metric per group, ties by name; null metrics never win."""
     known = df.where(F.col(metric).isNotNull())
     return best_row(known.select(*group, name, metric), group, [-F.col(metric), F.col(name)])
+
+
+def conservation_profile(rows: DataFrame, group: Sequence[str], query: str, row: str) -> DataFrame:
+    """(group, position, conservation, coverage, profile) of aligned rows against their query.
+
+    Per position: rows with the query's letter over rows with a letter, rows
+    with a letter over all rows, and the product; 0 where no row has a letter.
+    """
+    letters = rows.select(*group, F.posexplode(F.arrays_zip(F.split(query, "").alias("q"), F.split(row, "").alias("r"))).alias("i", "z")).where("z.q <> ''")
+    filled = ~F.coalesce(F.col("z.r"), F.lit("-")).isin("-", ".", "")
+    counts = letters.groupBy(*group, "i").agg(F.count(F.lit(1)).alias("_n"), F.count_if(filled).alias("_f"), F.count_if(filled & (F.col("z.r") == F.col("z.q"))).alias("_m"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    out = counts.select(*group, (F.col("i") + 1).cast("long").alias("position"), share("_m", "_f").alias("conservation"), share("_f", "_n").alias("coverage"))
+    return out.withColumn("profile", F.col("conservation") * F.col("coverage"))

@@ -338,3 +338,17 @@ def pair_scores(t):
     sizes = cells.select("pair").distinct().withColumn("l1", F.lit(25)).withColumn("l2", F.lit(25))
     out = pair_scoring.score_pairs(pair_scoring.normalise(cells, ["coupling"]), sizes, {"coupling": 0.35}, seeds=3, radius=2)
     return out.select("pair", "side", "idx", *[r6(c) for c in ("fragments_component", "conservation_component", "coupling_component", "patch", "final")], "rank")
+
+
+@query("""
+    WITH q AS (SELECT c_mktsegment, min(c_name) AS q FROM customer GROUP BY 1),
+    l AS (SELECT c_mktsegment, unnest(range(1, length(q) + 1)) AS position, q, c_name FROM customer JOIN q USING (c_mktsegment)),
+    c AS (SELECT c_mktsegment, position, count(*) AS n, count(*) FILTER (substr(c_name, position, 1) NOT IN ('-', '.', '')) AS f,
+                 count(*) FILTER (substr(c_name, position, 1) = substr(q, position, 1) AND substr(c_name, position, 1) NOT IN ('-', '.', '')) AS m FROM l GROUP BY 1, 2)
+    SELECT c_mktsegment, position, round(CASE WHEN f > 0 THEN m / f::DOUBLE ELSE 0 END, 6) AS conservation, round(f / n::DOUBLE, 6) AS coverage,
+           round(CASE WHEN f > 0 THEN m / f::DOUBLE ELSE 0 END * (f / n::DOUBLE), 6) AS profile FROM c""")
+def conservation_profile(t):
+    names = t("customer")
+    rows = names.join(names.groupBy("c_mktsegment").agg(F.min("c_name").alias("q")), "c_mktsegment")
+    df = aggregates.conservation_profile(rows, ["c_mktsegment"], "q", "c_name")
+    return df.select("c_mktsegment", "position", r6("conservation"), r6("coverage"), r6("profile"))

@@ -70,7 +70,7 @@ def scored_links(links: DataFrame, accessions: DataFrame, least: int = 400) -> D
     channels = [c for c in links.columns if c not in ("n", "protein1", "protein2", "combined_score")]
     some = F.filter(F.array(*[F.struct(F.lit(f"STRING {c.replace('_', ' ')} channel").alias("label"), F.lit(f"string:{c}").alias("id"), F.col(c).alias("v")) for c in channels]), lambda t: t["v"] > 0) if channels else F.array()
     named = F.transform(some, lambda t: F.struct(t["label"].alias("label"), t["id"].alias("id"))) if channels else F.array().cast("array<struct<label:string,id:string>>")
-    terms = F.when(F.size(named) > 0, named).otherwise(F.array(F.struct(F.lit("STRING combined score").alias("label"), F.lit("string:combined").alias("id"))))
+    terms = F.when(F.size(named) > 0, named).otherwise(F.array(F.struct(F.lit("STRING physical link").alias("label"), F.lit("string:physical_link").alias("id"))))
     reason = joins.first_reason([("low_score", F.coalesce(F.col("combined_score") < least, F.lit(True))), ("map_a", F.col("_a").isNull()), ("map_b", F.col("_b").isNull())])
     tax = lambda c: identifiers.taxid(F.split(c, r"\.")[0])
     return _finish(both, "STRING", reason, F.col("_a"), F.col("_b"), tax("protein1"), tax("protein2"), terms)

@@ -84,12 +84,19 @@ def pair_table(spark: SparkSession, path: str, comment: str | None = "#") -> Dat
     raise ValueError(f"{path} has no pair of accession columns")
 
 
+# The two headers of a links table.
+LINK_HEADERS = (
+    "protein1 protein2 experimental database textmining combined_score",
+    "protein1 protein2 experimental experimental_transferred database database_transferred textmining textmining_transferred combined_score",
+)
+
+
 def links(spark: SparkSession, path: str) -> DataFrame:
-    """Space-separated scored links, plain or gzip; scores as integers."""
+    """Space-separated scored links with row order `n`, plain or gzip; scores as integers, another header is an error."""
     df = spark.read.option("header", True).option("sep", " ").csv(path)
-    if not {"protein1", "protein2", "combined_score"} <= set(df.columns):
+    if " ".join(df.columns) not in LINK_HEADERS:
         raise ValueError(f"{path} has an unknown header")
-    return df.select(*[F.col(c) if c.startswith("protein") else F.col(c).try_cast("int").alias(c) for c in df.columns])
+    return df.select(F.monotonically_increasing_id().alias("n"), *[F.col(c) if c.startswith("protein") else F.col(c).try_cast("int").alias(c) for c in df.columns])
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:

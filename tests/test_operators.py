@@ -40,7 +40,7 @@ def test_scalar_expressions(spark):
     assert one(spark, identifiers.flag(c("v")), v=" Yes ") and one(spark, identifiers.binned(c("v"), [(1.5, "low")], "high"), v=1.5) == "low"
     got = one(spark, identifiers.resolve([c("a"), c("b")], identifiers.accession_strict), a="x|y", b="P12345|Q9Y6K9")
     assert tuple(got) == (None, "ambiguous")
-    assert one(spark, residues.one_letter(c("v")), v="mse") == "M" and one(spark, residues.three_states(c("v")), v="G") == "H"
+    assert one(spark, residues.one_letter(c("v")), v="mse") == "M" and one(spark, residues.three_states(c("v")), v="G") == "helix"
 
 
 def test_aligned_strings(spark):
@@ -106,8 +106,11 @@ def test_table_sources(spark, tmp_path):
     assert [tuple(r) for r in text.pair_table(spark, str(tmp_path / "pairs.tsv")).collect()] == [("P1", "P2", None)]
     with pytest.raises(ValueError, match="lacks"):
         text.tsv(spark, str(tmp_path / "pairs.tsv"), required=["other"], comment="#")
-    (tmp_path / "links.txt").write_text("protein1 protein2 combined_score\na b 700\n")
-    assert [tuple(r) for r in text.links(spark, str(tmp_path / "links.txt")).collect()] == [("a", "b", 700)]
+    (tmp_path / "links.txt").write_text("protein1 protein2 experimental database textmining combined_score\na b 0 10 x 700\n")
+    assert [tuple(r)[1:] for r in text.links(spark, str(tmp_path / "links.txt")).collect()] == [("a", "b", 0, 10, None, 700)]
+    (tmp_path / "other.txt").write_text("protein1 protein2 combined_score\na b 700\n")
+    with pytest.raises(ValueError, match="header"):
+        text.links(spark, str(tmp_path / "other.txt"))
     (tmp_path / "x.clstr").write_text(">Cluster 0\n0\t10aa, >P1... *\n1\t9aa, >P2... at 90%\n>Cluster 1\n0\t8aa, >P3... *\n")
     assert sorted((r.member, r.cluster) for r in text.clusters(spark, str(tmp_path / "x.clstr")).collect()) == [("P1", 0), ("P2", 0), ("P3", 1)]
     (tmp_path / "di.txt").write_text("a b c 1 4 0.5\n2 3 0.9\nx y\n0 4 0.1\n1 2 0.3\n")
