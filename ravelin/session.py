@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings a job of ours expects; a cluster's own sizes take precedence.
@@ -20,7 +22,10 @@ def session(app: str = "ravelin", master: str | None = None, **more: str) -> Spa
         builder = builder.master(master)
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    # Python workers find the package where it is installed at the same place; elsewhere ship it with --py-files.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    return spark
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
