@@ -144,6 +144,6 @@ def find_groups(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CE
     smallest = stage(known.groupBy("component").agg(F.min("first").alias("component_id")), "vector-smallest")
     named = stage(attach(known, smallest, ["component"], "inner").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id", F.lit(True).alias("sound")), "vector-named")
     linked = F.col("n_links").isNotNull()
-    out = attach(rows, named, ["sound", "label", "v"])
+    out = attach(rows, named, ["sound", "label", "v"], narrow=False)
     component = F.when(linked, F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -112,7 +112,7 @@ def recipes(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", text_c
         known = stage(known.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("c"))), "ranks")
         rows = stage(cut.withColumn("_row", F.monotonically_increasing_id()), "chunk-rows")
         flat = rows.select("_row", "doc_id", "text_sha256", F.posexplode(F.arrays_zip("hashes", "chunks")).alias("pos", "p")).select("_row", "doc_id", "text_sha256", "pos", F.col("p.hashes").alias("h"), F.col("p.chunks").alias("c"))
-        flat = attach(flat, known, ["h", "c"]).select("_row", "doc_id", "text_sha256", F.struct("pos", "h", F.coalesce("k", F.lit(0)).alias("k")).alias("s"))
+        flat = attach(flat, known, ["h", "c"], narrow=False).select("_row", "doc_id", "text_sha256", F.struct("pos", "h", F.coalesce("k", F.lit(0)).alias("k")).alias("s"))
         lists = flat.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list("s")).alias("l"))
         out = stage(lists.select("doc_id", "text_sha256", F.transform("l", lambda s: F.struct(s["h"].alias("h"), s["k"].alias("k"))).alias("recipe")), "recipes")
     drop_path(docs.sparkSession, path)
@@ -131,7 +131,7 @@ def find_copies(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", te
     rows = stage(recipes(docs, hash_bits, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "recipe-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     groups = stage(rows.groupBy("recipe").agg(F.min(order).alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "copies")
-    joined = attach(rows, groups, ["recipe"])
+    joined = attach(rows, groups, ["recipe"], narrow=False)
     alone = F.col("_size").isNull()
     return joined.select(
         "doc_id",
