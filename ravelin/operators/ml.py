@@ -71,11 +71,11 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def _scaled(df: DataFrame, features: Sequence[str], fit: Column) -> DataFrame:
-    """Median for nulls, then zero mean and unit variance (population), fitted on rows where `fit` holds."""
+    """Adds `_f_` columns: median for nulls, then zero mean and unit variance (population), fitted on rows where `fit` holds."""
     medians = df.where(fit).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in features]).first()
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in features})
-    stats = filled.where(fit).agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
-    return filled.withColumns({c: (F.col(c) - F.lit(float(stats[f"m_{c}"] or 0.0))) / F.lit(float(stats[f"s_{c}"] or 1.0)) for c in features})
+    filled = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in features})
+    stats = filled.where(fit).agg(*[F.avg(f"_f_{c}").alias(f"m_{c}") for c in features], *[F.stddev_pop(f"_f_{c}").alias(f"s_{c}") for c in features]).first()
+    return filled.withColumns({f"_f_{c}": (F.col(f"_f_{c}") - F.lit(float(stats[f"m_{c}"] or 0.0))) / F.lit(float(stats[f"s_{c}"] or 1.0)) for c in features})
 
 
 def out_of_fold(df: DataFrame, folds: DataFrame, group: str, label: str, weight: str, features: Sequence[str], k: int, c: float = 1.0, max_iter: int = 100) -> DataFrame:
@@ -88,7 +88,7 @@ def out_of_fold(df: DataFrame, folds: DataFrame, group: str, label: str, weight:
     out = None
     for f in range(k):
         scaled = _scaled(dealt, features, F.col("fold") != f)
-        rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(scaled)
+        rows = VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_x").transform(scaled)
         train = rows.where(F.col("fold") != f)
         total = train.agg(F.sum(weight)).first()[0] or 1.0
         model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(train)

@@ -175,13 +175,13 @@ def subset_sweep(t):
 
 
 _BY_MODEL = f"""
-    e AS ({_LABELLED}), s AS (SELECT lang, 'n_chars' AS model, corr(n_chars, quality) AS m FROM e GROUP BY 1 UNION ALL SELECT lang, 'doc_id', corr(doc_id, quality) FROM e GROUP BY 1
-                              UNION ALL SELECT lang, 'toxic', corr(1 - toxic, quality) FROM e GROUP BY 1)"""
+    e AS ({_LABELLED}), s AS (SELECT lang, 'n_chars' AS model, avg(n_chars * quality) / nullif(avg(n_chars), 0) AS m FROM e GROUP BY 1 UNION ALL SELECT lang, 'doc_id', avg(doc_id * quality) / nullif(avg(doc_id), 0) FROM e GROUP BY 1
+                              UNION ALL SELECT lang, 'toxic', avg((1 - toxic) * quality) / nullif(avg(1 - toxic), 0) FROM e GROUP BY 1)"""
 
 
 def _by_model(t):
     e = _labelled(t)
-    made = [e.groupBy("lang").agg(F.corr(c, F.col("quality")).alias("m")).select("lang", F.lit(n).alias("model"), "m") for n, c in (("n_chars", F.col("n_chars")), ("doc_id", F.col("doc_id")), ("toxic", 1 - F.col("toxic")))]
+    made = [e.groupBy("lang").agg(F.try_divide(F.avg(c * F.col("quality")), F.avg(c)).alias("m")).select("lang", F.lit(n).alias("model"), "m") for n, c in (("n_chars", F.col("n_chars")), ("doc_id", F.col("doc_id")), ("toxic", 1 - F.col("toxic")))]
     return made[0].union(made[1]).union(made[2])
 
 
