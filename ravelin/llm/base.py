@@ -1,20 +1,31 @@
-"""What the corpus operators share besides staging: semi joins by id, components."""
+"""What the corpus operators share besides staging: row keys, semi joins, components."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.plans.staging import BROADCAST_ROWS, attach, drop_path, new_path, running_before, shared_dir, shuffle_width, stage, staged
 
-__all__ = ["attach", "components", "drop_path", "keep_rows", "new_path", "running_before", "shared_dir", "shuffle_width", "stage", "staged"]
+__all__ = ["attach", "components", "drop_path", "keep_rows", "keyed", "new_path", "running_before", "shared_dir", "shuffle_width", "stage", "staged"]
+
+
+def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`docs` staged with a key of each row's own, and the column that holds it.
+
+    Ids may be null or repeated; what is decided for a row is joined by this key.
+    """
+    key = f"_key_{uuid.uuid4().hex}"
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of `docs` with a staged table of ids `_id`, nulls equal."""
+def keep_rows(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """Semi or anti join of `docs` by `key` with a staged table of ids `_id`, nulls equal."""
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
+    return docs.join(ids, docs[key].eqNullSafe(ids["_id"]), how)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

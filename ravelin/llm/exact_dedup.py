@@ -12,7 +12,6 @@ only lists of numbers move.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import attach, drop_path, keep_rows, stage, staged
+from ravelin.llm.base import attach, drop_path, keep_rows, keyed, stage, staged
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 1024, 12, 16384
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -89,38 +88,39 @@ def _chunker(hash_bits: int):
                     chunks.append(parts)
                     hashes.append([(xxhash.xxh64_intdigest(p) >> shift) - (1 << 63 if not shift else 0) for p in parts])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at : at + 512], pa.int64()), pa.array(sums, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(chunks, pa.list_(pa.binary()))],
-                    names=["doc_id", "text_sha256", "hashes", "chunks"],
+                    [pa.array(ids[at : at + 512], pa.int64()), pa.array(sums, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(chunks, pa.list_(pa.binary())), *[c.slice(at, 512) for c in batch.columns[2:]]],
+                    names=["doc_id", "text_sha256", "hashes", "chunks", *batch.schema.names[2:]],
                 )
 
     return run
 
 
-def recipes(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_sha256, recipe): each row's list of verified chunk identifiers.
+def recipes(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, text_sha256, recipe, and `row_col`, a long, if it is named): each row's list of verified chunk identifiers.
 
     Staged. `hash_bits` narrows the hash, so that tests can make it collide.
     """
-    cut, path = staged(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(_chunker(hash_bits), _SCHEMA), "chunks")
+    row = [row_col] if row_col else []
+    cut, path = staged(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), *row).mapInArrow(_chunker(hash_bits), ", ".join([_SCHEMA, *[f"{c} long" for c in row]])), "chunks")
     pieces = cut.select(F.explode(F.arrays_zip("hashes", "chunks")).alias("p")).select(F.col("p.hashes").alias("h"), F.col("p.chunks").alias("c"))
     clashing = stage(pieces.distinct().groupBy("h").count().where("count > 1").select("h"), "clashes")
     if clashing.isEmpty():
-        out = stage(cut.select("doc_id", "text_sha256", F.transform("hashes", lambda h: F.struct(h.alias("h"), F.lit(0).alias("k"))).alias("recipe")), "recipes")
+        out = stage(cut.select("doc_id", "text_sha256", F.transform("hashes", lambda h: F.struct(h.alias("h"), F.lit(0).alias("k"))).alias("recipe"), *row), "recipes")
     else:
         # Distinct contents under one hash are told apart by their rank.
         known = attach(pieces, clashing, ["h"], "inner").distinct()
         known = stage(known.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("c"))), "ranks")
         rows = stage(cut.withColumn("_row", F.monotonically_increasing_id()), "chunk-rows")
-        flat = rows.select("_row", "doc_id", "text_sha256", F.posexplode(F.arrays_zip("hashes", "chunks")).alias("pos", "p")).select("_row", "doc_id", "text_sha256", "pos", F.col("p.hashes").alias("h"), F.col("p.chunks").alias("c"))
-        flat = attach(flat, known, ["h", "c"], narrow=False).select("_row", "doc_id", "text_sha256", F.struct("pos", "h", F.coalesce("k", F.lit(0)).alias("k")).alias("s"))
-        lists = flat.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list("s")).alias("l"))
-        out = stage(lists.select("doc_id", "text_sha256", F.transform("l", lambda s: F.struct(s["h"].alias("h"), s["k"].alias("k"))).alias("recipe")), "recipes")
+        flat = rows.select("_row", *row, "doc_id", "text_sha256", F.posexplode(F.arrays_zip("hashes", "chunks")).alias("pos", "p")).select("_row", *row, "doc_id", "text_sha256", "pos", F.col("p.hashes").alias("h"), F.col("p.chunks").alias("c"))
+        flat = attach(flat, known, ["h", "c"], narrow=False).select("_row", *row, "doc_id", "text_sha256", F.struct("pos", "h", F.coalesce("k", F.lit(0)).alias("k")).alias("s"))
+        lists = flat.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list("s")).alias("l"), *[F.first(c).alias(c) for c in row])
+        out = stage(lists.select("doc_id", "text_sha256", F.transform("l", lambda s: F.struct(s["h"].alias("h"), s["k"].alias("k"))).alias("recipe"), *row), "recipes")
     drop_path(docs.sparkSession, path)
     return out
 
 
-def find_copies(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def find_copies(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and `row_col` (a long) if it is named.
 
     Of rows with equal normalised texts that with the smallest id is kept; a
     null text counts as empty. Of rows that repeat both id and text exactly one
@@ -128,7 +128,7 @@ def find_copies(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", te
     of its group is null; keep_id is null then. An empty table gives no rows;
     other columns are not read.
     """
-    rows = stage(recipes(docs, hash_bits, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "recipe-rows")
+    rows = stage(recipes(docs, hash_bits, id_col, text_col, row_col).withColumn("_row", F.monotonically_increasing_id()), "recipe-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     groups = stage(rows.groupBy("recipe").agg(F.min(order).alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "copies")
     joined = attach(rows, groups, ["recipe"], narrow=False)
@@ -139,22 +139,13 @@ def find_copies(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", te
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("_row") == F.col("_keep.row"))).alias("kept"),
         "text_sha256",
+        *([row_col] if row_col else []),
     )
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay, one of each group of equal texts.
-
-    An id whose every row lost is dropped; ids that occur on several rows are
-    resolved on those rows' own texts, so that one of equal rows stays.
-    """
-    marks = find_copies(docs, **options).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
-    marks = stage(marks.where("n > k or n > 1").select(F.col("doc_id").alias("_id"), "n", "k"), "dedup-marks")
-    out = keep_rows(docs, marks.where("k = 0"), "left_anti")
-    again = marks.where("k > 0")
-    if again.isEmpty():
-        return out
-    key = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
-    name = f"_key_{uuid.uuid4().hex}"
-    one = keep_rows(out, again, "left_semi").withColumn(name, F.struct("doc_id", key)).dropDuplicates([name]).drop(name)
-    return keep_rows(out, again, "left_anti").unionByName(one)
+    """The rows of `docs` that stay, one of each group of equal texts, whatever rows share its id."""
+    rows, key = keyed(docs, "dedup-rows")
+    marks = find_copies(rows, row_col=key, **options)
+    gone = stage(marks.where("NOT kept").select(F.col(key).alias("_id")), "dedup-gone")
+    return keep_rows(rows, gone, "left_anti", key).drop(key)

@@ -9,12 +9,10 @@ words taken differ from the target by less than the source's longest document.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import attach, running_before, stage
+from ravelin.llm.base import attach, keyed, running_before, stage
 
 #: Weights of the sources in order of name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -51,15 +49,16 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return held.withColumn("target", F.when(F.col("_water").isNull() | (F.col("_cap") <= free), F.col("_cap")).otherwise(free)).select("_stratum", "source", "source_size", "target")
 
 
-def plan(docs: DataFrame, seed: int = 11, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies, taken.
+def plan(docs: DataFrame, seed: int = 11, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per input row: id, source, size, source_size, target, copies, taken, and `row_col` if it is named.
 
     `copies` is how often the mix emits the row, `taken` its words times that.
     Null texts have size 0, a null source is a source of its own and last in
     order. Repeated rows and rows with a null id are sampled separately. A
     source without any word has target 0 and gives no copies. Same input and
-    seed, same result.
+    seed, same result. `row_col` tells rows apart that tie in size and id.
     """
+    row = [row_col] if row_col else []
     rows = stage(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -67,11 +66,12 @@ def plan(docs: DataFrame, seed: int = 11, share: float = 1.5, most: float = 2.0,
             F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col))).alias("_stratum"),
             word_count(F.col(text_col)).alias("size"),
             F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")).alias("_mix"),
+            *row,
         ),
         "mix-rows",
     )
     goal = stage(targets(rows.groupBy("_stratum", "source").agg(F.sum("size").alias("source_size")), share, most), "mix-targets").drop("source")
-    ranked = attach(running_before(rows, ["_stratum"], ["size", "_mix", "doc_id"], F.lit(1), "_rank", "mix-rank"), goal, ["_stratum"], "inner")
+    ranked = attach(running_before(rows, ["_stratum"], ["size", "_mix", "doc_id", *row], F.lit(1), "_rank", "mix-rank"), goal, ["_stratum"], "inner")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_stratum")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     return (
@@ -86,13 +86,11 @@ def plan(docs: DataFrame, seed: int = 11, share: float = 1.5, most: float = 2.0,
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each repeated as often as `plan` takes it.
 
-    Documents are told apart by `doc_id`; of rows that share an id, each gets
-    the copies of the id's first row in the plan. Rows with a null id join on
-    that null.
+    Each row gets its own copies, also where rows share an id or have none.
     """
-    copies = plan(docs, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies")).where("_copies > 0")
-    copies = stage(copies, "mix-copies").withColumnRenamed("doc_id", "_id")
+    rows, key = keyed(docs, "mix-docs")
+    copies = stage(plan(rows, row_col=key, **options).where("copies > 0").select(F.col(key).alias("_id"), F.col("copies").alias("_copies")), "mix-copies")
     # Columns are taken from their own tables, whatever else `docs` is called by.
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]), "inner")
+    joined = rows.join(copies, rows[key] == copies["_id"], "inner")
     repeat = F.explode(F.sequence(F.lit(1), copies["_copies"].cast("int")))
-    return joined.withColumn(f"_copy_{uuid.uuid4().hex}", repeat).select(*[docs[f"`{c}`"] for c in docs.columns])
+    return joined.withColumn(f"_copy_{key}", repeat).select(*[rows[f"`{c}`"] for c in docs.columns])

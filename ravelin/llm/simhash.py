@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import attach, components, keep_rows, stage
+from ravelin.llm.base import attach, components, keep_rows, keyed, stage
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Fingerprints that a shard should hold: SHARD, or SHARD_ROOT times the root of
@@ -56,7 +56,8 @@ def _fingerprints(words: int, seed: int):
         for rb in batches:
             for at in range(0, len(rb), 512):
                 marks = np.array([fingerprint(t, words, seed) for t in rb.column(1).slice(at, 512).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, 512), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
+                keys = [c.slice(at, 512) for i, c in enumerate(rb.columns) if i != 1]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(marks.view(np.int64))], names=["doc_id", *rb.schema.names[2:], "fp"])
 
     return run
 
@@ -190,7 +191,7 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     return dealt.groupBy("leaf", "i", "j").applyInArrow(_shard(radius), "a long, b long")
 
 
-def find_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, fp (signed 64-bit), component_id.
 
     Texts are linked when their fingerprints differ in at most `radius` bits;
@@ -198,20 +199,27 @@ def find_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: i
     word, and nulls, have fingerprint 0 and link like any other. Rows with a
     null id take part in links and never give a component its id unless all
     its ids are null. Repeated rows have equal results. An empty table gives
-    no rows; other columns are not read.
+    no rows; other columns are not read. If `row_col` (a long that tells rows
+    apart) is named, it comes too, and with it `kept`: true for one row of each
+    component, that with the smallest id, null ids last, then the smallest key.
     """
-    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(_fingerprints(words, seed), "doc_id long, fp long"), "fingerprints")
-    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
+    row = [row_col] if row_col else []
+    kinds = ", ".join(["doc_id long", *[f"{c} long" for c in row], "fp long"])
+    rows = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary"), *row).mapInArrow(_fingerprints(words, seed), kinds), "fingerprints")
+    best = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(c).alias("row"))).alias("_best") for c in row]
+    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), *best), "prints")
     joined = stage(components(links(prints, radius, shard), "a", "b"), "fp-components").withColumnRenamed("node", "fp")
     known = attach(prints, joined, ["fp"]).withColumn("component", F.coalesce("component", "fp"))
-    smallest = stage(known.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("size")).where("size > 1").drop("size"), "fp-smallest")
-    named = stage(attach(known, smallest, ["component"], "inner").select("fp", "component_id"), "fp-named")
+    smallest = stage(known.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("size"), *[F.min("_best")["row"].alias("_keep") for _ in row]).where("size > 1").drop("size"), "fp-smallest")
+    named = stage(attach(known, smallest, ["component"], "inner").select("fp", "component_id", *["_keep" for _ in row]), "fp-named")
     alone = F.col("_found").isNull()
-    return attach(rows, named.withColumn("_found", F.lit(1)), ["fp"]).select("doc_id", "fp", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    kept = [(alone | (F.col(c) == F.col("_keep"))).alias("kept") for c in row]
+    return attach(rows, named.withColumn("_found", F.lit(1)), ["fp"]).select("doc_id", "fp", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *row, *kept)
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose id is its component's smallest; rows with a null id stay only if no id of the component is known."""
-    marks = find_groups(docs, **options)
-    gone = stage(marks.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct(), "near-gone")
-    return keep_rows(docs, gone, "left_anti")
+    """One row of each component: that with the smallest id; one with a null id only if no id of the component is known."""
+    rows, key = keyed(docs, "near-rows")
+    marks = find_groups(rows, row_col=key, **options)
+    gone = stage(marks.where("NOT kept").select(F.col(key).alias("_id")), "near-gone")
+    return keep_rows(rows, gone, "left_anti", key).drop(key)

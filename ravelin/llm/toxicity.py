@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import keep_rows, stage
+from ravelin.llm.base import keep_rows, keyed, stage
 
 ORDER, DISCOUNT, WINDOW, CUT = 5, 0.75, 32, 0.3
 #: Most toxic words that are averaged, and the ratio above which a word is marked.
@@ -176,7 +176,8 @@ def _scorer(model, weights):
             for at in range(0, len(rb), 512):
                 x = np.array([figures(ratios, t) for t in rb.column(1).slice(at, 512).to_pylist()])
                 z = (x - mean) / scale @ w[:-1] + w[-1]
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, 512), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+                keys = [c.slice(at, 512) for i, c in enumerate(rb.columns) if i != 1]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", *rb.schema.names[2:], "score"])
 
     return run
 
@@ -194,8 +195,8 @@ def _fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_docs: int = ORDINARY, calibration: int = CALIBRATION, table: int = TABLE, cut: float = CUT) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
+def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_docs: int = ORDINARY, calibration: int = CALIBRATION, table: int = TABLE, cut: float = CUT, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted, and `row_col` (a long) if it is named.
 
     Labels count from documents whose crc32(doc_id) mod 4 is not 2: folds 0 and
     1 fit the models, on at most `toxic_docs` and `ordinary_docs` documents in
@@ -208,7 +209,8 @@ def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_
     is never held out. Repeated rows score alike; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    row = [row_col] if row_col else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *row)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = stage(known.where(_fold(F.col("_id")) != 2).withColumn("_mix", F.md5(F.col("_id").cast("string").cast("binary"))), "labels")
     # Labels of documents that are here; a bounded number of them goes on.
@@ -225,7 +227,7 @@ def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_
     held_out = F.coalesce(_fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
     if any(("fit", k) not in sizes for k in (0, 1)) or any(("tune", k) not in sizes for k in (0, 1)):
         rate = toxic / max(1, toxic + plain)
-        return texts.select("doc_id", held_out, F.lit(float(rate)).alias("score"), F.lit(int(rate >= cut)).alias("predicted"))
+        return texts.select("doc_id", held_out, F.lit(float(rate)).alias("score"), F.lit(int(rate >= cut)).alias("predicted"), *row)
     counts = sample.where("use = 'fit'").select("toxic", "text").mapInArrow(_class_counts, "run string, toxic long, plain long")
     counts = counts.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).withColumn("g", F.expr("substring(run, 2)"))
     rows = counts.join(shared_backoff(texts), "g").orderBy(F.desc(F.col("toxic") + F.col("plain")), "run").limit(table).select("run", "toxic", "plain", "p")
@@ -237,12 +239,13 @@ def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_
     x, y = x[order], y[order]
     mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
     weights = logistic((x - mean) / scale, y)
-    scored = texts.mapInArrow(_scorer(model, (mean, scale, weights)), "doc_id long, score double")
-    return scored.select("doc_id", held_out, "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    scored = texts.mapInArrow(_scorer(model, (mean, scale, weights)), ", ".join(["doc_id long", *[f"{c} long" for c in row], "score double"]))
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= cut).cast("int").alias("predicted"), *row)
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic; repeated ids stay or go together."""
-    marks = score(docs, labels, **options)
-    gone = stage(marks.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct(), "toxic")
-    return keep_rows(docs, gone, "left_anti")
+    """The rows of `docs` that are not predicted toxic, each by its own text, whatever rows share its id."""
+    rows, key = keyed(docs, "toxicity-rows")
+    marks = score(rows, labels, row_col=key, **options)
+    gone = stage(marks.where("predicted = 1").select(F.col(key).alias("_id")), "toxic")
+    return keep_rows(rows, gone, "left_anti", key).drop(key)
