@@ -28,8 +28,6 @@ ORDER, DISCOUNT, WINDOW, CUT = 5, 0.75, 32, 0.3
 WORST, MARKED = 4, 2.0
 #: Labelled documents that the toxic model, the ordinary one and the logistic function are fitted on at most.
 TOXIC, ORDINARY, CALIBRATION = 2000, 8000, 4096
-#: Sequences of letters that the fitted table holds at most, the frequent ones first.
-TABLE = 400_000
 _BEGIN, _END = "\x02", "\x03"
 _CACHE, _LONGEST = 200_000, 48
 _words = re.compile(r"\w+").findall
@@ -195,7 +193,7 @@ def _fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_docs: int = ORDINARY, calibration: int = CALIBRATION, table: int = TABLE, cut: float = CUT, row_col: str | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_docs: int = ORDINARY, calibration: int = CALIBRATION, cut: float = CUT, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, and `row_col` (a long) if it is named.
 
     Labels count from documents whose crc32(doc_id) mod 4 is not 2: folds 0 and
@@ -230,8 +228,8 @@ def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_
         return texts.select("doc_id", held_out, F.lit(float(rate)).alias("score"), F.lit(int(rate >= cut)).alias("predicted"), *row)
     counts = sample.where("use = 'fit'").select("toxic", "text").mapInArrow(_class_counts, "run string, toxic long, plain long")
     counts = counts.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).withColumn("g", F.expr("substring(run, 2)"))
-    rows = counts.join(shared_backoff(texts), "g").orderBy(F.desc(F.col("toxic") + F.col("plain")), "run").limit(table).select("run", "toxic", "plain", "p")
-    got = rows.toArrow().to_pydict()  # at most `table` rows
+    rows = counts.join(shared_backoff(texts), "g").select("run", "toxic", "plain", "p")
+    got = rows.toArrow().to_pydict()  # every sequence of at most toxic_docs + ordinary_docs texts
     model = spark.sparkContext.broadcast(WordRatios.fit(list(zip(got["run"], got["toxic"], got["plain"], got["p"], strict=True))))
     tune = sample.where("use = 'tune'").select("toxic", "text").mapInArrow(_figures(model), "toxic long, x array<double>").collect()
     x, y = np.array([r["x"] for r in tune]), np.array([r["toxic"] for r in tune], float)
