@@ -5,8 +5,8 @@ into pieces of at most a quarter of a window. Each batch of rests is divided
 among windows: every piece begins as a partial partition of its own, and the
 two partitions of widest spread are merged, largest sums against smallest,
 until one is left. If a window exceeds its capacity, the batch is divided anew
-among one window more. Batches are of bounded size and are packed where their
-rows are read; nothing is shuffled.
+among one window more. Batches are of bounded size, in documents and in tokens,
+and are packed where their rows are read; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from ravelin.llm.tokens import encoder
 
 WINDOW, END_ID = 1024, 0
-#: Documents whose rests are packed together.
-BATCH = 512
+#: Documents whose rests are packed together, fewer where they hold so many bytes of ids.
+BATCH, BATCH_BYTES = 512, 1 << 26
+#: Pieces are never of just the right sizes: a division begins with one window more for so many.
+PER_SPARE = 96
 
 
 def cut_lengths(total: int, window: int = WINDOW) -> list[int]:
@@ -81,6 +83,7 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
 def pack_batch(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
     """Windows that hold the items; one more as long as one is too full."""
     k = max(1, -(-sum(sizes) // window))
+    k += k // PER_SPARE
     while True:
         sets = difference(sizes, k)
         if all(sum(sizes[i] for i in s) <= window for s in sets):
@@ -97,9 +100,10 @@ def _packer(path: str, window: int, end_id: int, batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path).encode
+        encode = encoder(path).encode_all
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence
@@ -127,12 +131,12 @@ def _packer(path: str, window: int, end_id: int, batch: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for rb in batches:
-            ids, texts = rb.column(0).to_pylist(), rb.column(1)
-            for at in range(0, len(ids), batch):
-                for doc, text in zip(ids[at : at + batch], texts.slice(at, batch).to_pylist(), strict=True):
-                    held.append((doc, encode(text) + quad))
-                    if len(held) >= batch:
-                        yield flush()
+            for doc, ids in zip(rb.column(0).to_pylist(), encode(rb.column(1)), strict=True):
+                held.append((doc, ids + quad))
+                size += len(ids)
+                if len(held) >= batch or size >= BATCH_BYTES:
+                    yield flush()
+                    size = 0
         if held:
             yield flush()
 
@@ -144,9 +148,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
 
     `ids` holds the piece's tokens as little-endian unsigned 32-bit integers.
     Each document ends in `end_id`, so an empty or null text is one token long.
-    Batches are runs of `batch` rows of an input partition, so nothing is
-    shuffled; the last batch of a partition is smaller. Rows that repeat an id
-    are documents of their own, null ids stay null, an empty table gives no
-    rows, and other columns are not read. Memory: one batch's tokens.
+    Batches are runs of `batch` rows of an input partition, or fewer where
+    texts are very long, so nothing is shuffled; the last batch of a partition
+    is smaller. Rows that repeat an id are documents of their own, ties do not
+    occur, null ids stay null, an empty table gives no rows, and other columns,
+    whatever they are called, are not read. Memory: one batch's tokens, or the
+    longest text's.
     """
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_packer(tokenizer, window, end_id, batch), _SCHEMA)
