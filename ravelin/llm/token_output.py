@@ -32,12 +32,16 @@ END_ID = 2
 SCALE, LOW = 20, np.uint64(1 << 31)
 #: A block ends with the document that brings it to this many tokens.
 BLOCK_TOKENS, LANES = 1 << 17, 1024
+#: Bytes of ids that a task holds before it passes them on.
+BATCH_BYTES = 1 << 22
 _HEAD = struct.Struct("<4s5I")
 _U32 = np.uint64(32)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
     """Frequencies of all symbols, at least 1 where counted, that sum to 2**SCALE."""
+    if np.count_nonzero(counts) > 1 << SCALE:
+        raise ValueError(f"more than {1 << SCALE} symbols are used, each of which needs a frequency of its own")
     counts = counts.astype(np.float64)
     freq = np.where(counts > 0, np.maximum(1, np.floor(counts / max(counts.sum(), 1) * (1 << SCALE))), 0).astype(np.int64)
     if not freq.any():
@@ -129,33 +133,42 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _tokenise(path: str, end_id: int, kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        end = np.array([end_id], "<u4").tobytes()
-        narrow = (lambda c: np.frombuffer(c, "<u4").astype(kind).tobytes()) if kind != "<u4" else (lambda c: c)
-        for rb in batches:
-            ids, texts = rb.column(0), rb.column(1)
-            for at in range(0, len(ids), 512):
-                coded = [encode(t) + end for t in texts.slice(at, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 512), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(map(narrow, coded), pa.binary())], names=["doc_id", "n_tokens", "crc", "ids"]
-                )
+_CODED = "tally boolean, doc_id long, n_tokens long, crc long, ids binary"
 
-    return run
 
+def _tokenise(path: str, end_id: int, kind: str):
+    names = [c.split()[0] for c in _CODED.split(", ")]
 
-def _count(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode_all
+        end = np.array([end_id], "<u4").tobytes()
         counts = np.zeros(1, np.int64)
+
+        def rows(ids: pa.Array, coded: list[bytes]) -> pa.RecordBatch:
+            nonlocal counts
+            flat = np.frombuffer(b"".join(coded), "<u4").astype(kind)
+            more = np.bincount(flat)
+            if len(more) > len(counts):
+                counts, more = more, counts
+            counts[: len(more)] += more
+            sizes = [len(c) // 4 for c in coded]
+            bounds = np.cumsum([0, *sizes]) * flat.itemsize
+            narrow = flat.tobytes()
+            cut = [narrow[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), False)), ids, pa.array(sizes, pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(cut, pa.binary())], names=names)
+
         for rb in batches:
-            for at in range(0, len(rb), 512):
-                more = np.bincount(np.frombuffer(b"".join(rb.column(0).slice(at, 512).to_pylist()), kind))
-                if len(more) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(more) - len(counts), np.int64)])
-                counts[: len(more)] += more
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["symbol", "n"])
+            held, at, size = [], 0, 0
+            for c in encode(rb.column(1)):
+                held.append(c + end)
+                size += len(c)
+                if size >= BATCH_BYTES:
+                    yield rows(rb.column(0).slice(at, len(held)), held)
+                    at, held, size = at + len(held), [], 0
+            if held:
+                yield rows(rb.column(0).slice(at, len(held)), held)
+        used = np.flatnonzero(counts)  # how often this task met each symbol, as rows of their own
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), True)), pa.array(used, pa.int64()), pa.array(counts[used], pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary())], names=names)
 
     return run
 
@@ -226,8 +239,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, bl
     spark = docs.sparkSession
     # Between the steps ids take as few bytes as the vocabulary allows.
     kind = "<u2" if max(encoder(tokenizer).vocabulary(), end_id + 1) <= 1 << 16 else "<u4"
-    coded, path = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_tokenise(tokenizer, end_id, kind), "doc_id long, n_tokens long, crc long, ids binary"), "token-ids")
-    counts = coded.select("ids").mapInArrow(_count(kind), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # a row per symbol of the vocabulary
+    coded, path = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(_tokenise(tokenizer, end_id, kind), _CODED), "token-ids")
+    counts = coded.where("tally").groupBy(F.col("doc_id").alias("symbol")).agg(F.sum("n_tokens").alias("n")).collect()  # a row per symbol of the vocabulary
     dense = np.zeros(max((r["symbol"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         dense[r["symbol"]] = r["n"]
@@ -236,7 +249,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, bl
     spark.createDataFrame([(int(s), int(freq[s])) for s in used], "symbol long, frequency long").coalesce(1).write.parquet(f"{folder}/frequencies")
     shared = spark.sparkContext.broadcast(freq)
     keys = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("n_tokens")]
-    ordered = coded.repartitionByRange(shuffle_width(spark), *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    ordered = coded.where("NOT tally").repartitionByRange(shuffle_width(spark), *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
     ordered.mapInArrow(_writer(folder, shared, block_tokens, lanes, kind), _BLOCKS).write.parquet(f"{folder}/blocks")
     drop_path(spark, path)
 
