@@ -12,6 +12,7 @@ ONE_LETTER = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN":
 CHARGE = {"K": 1, "R": 1, "H": 1, "D": -1, "E": -1}
 HYDROPHOBIC, POLAR, AROMATIC = "AVILMFWYC", "STNQYCH", "FYW"
 LARGEST_AREA = {"A": 129.0, "R": 274.0, "N": 195.0, "D": 193.0, "C": 167.0, "Q": 223.0, "E": 225.0, "G": 104.0, "H": 224.0, "I": 197.0, "L": 201.0, "K": 236.0, "M": 224.0, "F": 240.0, "P": 159.0, "S": 155.0, "T": 172.0, "W": 285.0, "Y": 263.0, "V": 174.0}
+HYDROPATHY = {"A": 1.8, "R": -4.5, "N": -3.5, "D": -3.5, "C": 2.5, "Q": -3.5, "E": -3.5, "G": -0.4, "H": -3.2, "I": 4.5, "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2}
 HELIX, SHEET = "HGI", "EB"
 
 
@@ -28,6 +29,11 @@ def charge(letter: Column) -> Column:
     return F.coalesce(_look_up(CHARGE, letter), F.lit(0))
 
 
+def hydropathy(letter: Column) -> Column:
+    """Published hydropathy index; 0 for letters without one."""
+    return F.coalesce(_look_up(HYDROPATHY, letter), F.lit(0.0))
+
+
 def in_class(letter: Column, members: str) -> Column:
     return F.coalesce(letter.isin(*members), F.lit(False))
 

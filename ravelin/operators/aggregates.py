@@ -91,6 +91,19 @@ def best_by_metric(df: DataFrame, group: Sequence[str], metric: str, name: str)
     return best_row(known.select(*group, name, metric), group, [-F.col(metric), F.col(name)])
 
 
+def roll_up(df: DataFrame, key: Sequence[str], largest: Sequence[str], summed: Sequence[str], lists: Sequence[str]) -> DataFrame:
+    """One row per key: maxima of flags and scores, sums of counts, sorted unions of lists parted by `;` or `,`.
+
+    Text that is no number counts as 0, blank list entries are left out, and a
+    key without entries has an empty list.
+    """
+    whole = lambda c: F.coalesce(F.col(c).cast("string").try_cast("long"), F.lit(0))
+    entries = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
+    # Entries are made distinct per row and per partition before sets meet.
+    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.array_distinct(entries(c))))))).alias(c) for c in lists]
+    return df.groupBy(*key).agg(*[F.max(whole(c)).alias(c) for c in largest], *[F.sum(whole(c)).alias(c) for c in summed], *unions)
+
+
 def conservation_profile(rows: DataFrame, group: Sequence[str], query: str, row: str) -> DataFrame:
     """(group, position, conservation, coverage, profile) of aligned rows against their query.
 

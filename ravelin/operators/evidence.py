@@ -22,6 +22,12 @@ def add_metadata(df: DataFrame, metadata: DataFrame, key: str, order: Sequence[s
     return df.join(first.select(key, *[F.col(f"_m.{c}").alias(c) for c in new]), key, "left")
 
 
+def enrich(df: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """Fills `value` of rows that lack it from `table`, whose first known value of a key, the smallest, counts."""
+    known = table.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias("_known"))
+    return df.join(known, key, "left").withColumn(value, F.coalesce(value, "_known")).drop("_known")
+
+
 def merge_scores(base: DataFrame, other: DataFrame, key: Sequence[str], source: str) -> DataFrame:
     """One-to-one left join; a key that is twice in `other` stops the job, columns of one name get `__from_<source>`."""
     names = {c: f"{c}__from_{source}" if c in base.columns else c for c in other.columns if c not in key}

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.operators import aggregates, selection, windows
+from ravelin.functions import residues
+from ravelin.operators import aggregates, selection, spatial, windows
 
 
 def outer_product(left: DataFrame, right: DataFrame, pair: Sequence[str], i: str, j: str, score: str) -> DataFrame:
@@ -102,6 +103,50 @@ def residue_first(cells: DataFrame, pair: Sequence[str], side: str, position: st
     return rows.withColumn("rank", rank).drop("_raw")
 
 
+def confidence(b_factors: DataFrame, group: Sequence[str], value: str, out: str, forced: bool = False) -> DataFrame:
+    """Adds `out`: clip((value - 50) / 40) where a structure's temperature factors look like model confidences, else 1.
+
+    They do if all lie from 0 to 100, the median is at least 70, the upper
+    quartile 82.5 and the lower 55. A structure with a missing value has 1
+    throughout; `forced` skips the test of quantiles.
+    """
+    whole = b_factors.groupBy(*group).agg(F.count_if(F.col(value).isNull() | F.isnan(value)).alias("_bad"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    seen = F.lit(True) if forced else (F.col("_lo") >= 0) & (F.col("_hi") <= 100) & (F.col("_q")[1] >= 70) & (F.col("_q")[2] >= 82.5) & (F.col("_q")[0] >= 55)
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - F.lit(50.0)) / F.lit(40.0)))
+    used = whole.select(*group, ((F.col("_bad") == 0) & seen).alias("_used"))
+    return b_factors.join(used, list(group)).withColumn(out, F.when(F.col("_used"), scaled).otherwise(F.lit(1.0))).drop("_used")
+
+
+def structure_features(points: DataFrame, group: Sequence[str], key: str, axes: Sequence[str], base: Column, letter: Column, eligible: Column, radius: float = 10.0, hydrophobic_radius: float = 8.0, decimals: int = 9) -> DataFrame:
+    """`points` with `mass`, `density` and `hydrophobic` of their neighbourhoods, each as a percentile of its positive values.
+
+    Over eligible points of one group: the sum of positive base scores within
+    `radius`, itself included; the number of others within it; and the mean
+    positive hydropathy within `hydrophobic_radius`. Points that are not
+    eligible have zeros. Sums are rounded before they are ranked, so that the
+    order of addition does not break ties.
+    """
+    rows = points.withColumn("_base", F.greatest(F.coalesce(base, F.lit(0.0)), F.lit(0.0))).withColumn("_h", F.greatest(residues.hydropathy(letter), F.lit(0.0))).withColumn("_ok", F.coalesce(eligible, F.lit(False)))
+    able = rows.where("_ok").select(*group, key, *axes, "_base", "_h")
+    far = max(radius, hydrophobic_radius)
+    pairs = spatial.radius_pairs(able, key, axes, far, group)
+    both = pairs.select("a", "b", "d2").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d2")).unionByName(able.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("d2")))
+    near, wet = F.col("d2") <= radius * radius, F.col("d2") <= hydrophobic_radius * hydrophobic_radius
+    sums = both.join(able.select(F.col(key).alias("b"), "_base", "_h"), "b").groupBy("a").agg(
+        F.round(F.sum(F.when(near, F.col("_base")).otherwise(0.0)), decimals).alias("_m"), (F.count_if(near) - 1).cast("double").alias("_d"), F.round(F.avg(F.when(wet, F.col("_h"))), decimals).alias("_w")
+    )
+    out = rows.join(sums.withColumnRenamed("a", key), key, "left").fillna(0.0, ["_m", "_d", "_w"])
+    for raw, name in (("_m", "mass"), ("_d", "density"), ("_w", "hydrophobic")):
+        out = windows.positive_percentile(out, raw, list(group), name)
+    return out.drop("_m", "_d", "_w", "_h", "_ok", "_base")
+
+
+def homomer_cells(cells: DataFrame, pair: Sequence[str], i: str, j: str, value: str) -> DataFrame:
+    """Cells of a matrix of two equal chains: the greater of each cell and its mirror image."""
+    both = cells.unionByName(cells.select(*pair, F.col(j).alias(i), F.col(i).alias(j), value))
+    return both.groupBy(*pair, i, j).agg(F.max(value).alias(value))
+
+
 def rerank(df: DataFrame, base: Column, confidence: Column, mass: Column, density: Column, hydrophobic: Column, weight: float, surface: Column) -> DataFrame:
     """Adds `reranked`: the base trusted by confidence, plus neighbourhood mass, density and hydrophobicity, on the surface only."""
     score = base * (F.lit(0.6) + F.lit(0.4) * confidence) + F.lit(0.35) * mass + F.lit(0.15) * density + F.lit(weight) * hydrophobic

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ravelin.plans import graph_queries, score_queries, window_queries  # noqa: F401
+from ravelin.plans import graph_queries, rule_queries, score_queries, source_queries, window_queries  # noqa: F401
 from ravelin.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -21,10 +21,10 @@ def write_tsv(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[
 
 def matrix_lines(cells: DataFrame, group: Sequence[str], rows: int, columns: int, pattern: str = "%.6f") -> DataFrame:
     """(group, i, line): dense tab-separated rows of sparse (i, j, score) cells, from 1."""
-    lists = cells.groupBy(*group, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "score"))).alias("m"))
+    lists = cells.groupBy(*group, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "score"))).alias("_cells"))
     every = cells.select(*group).distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(rows)))).withColumn("i", F.col("i").cast("long"))
-    value = lambda j: F.format_string(pattern, F.coalesce(F.try_element_at("m", j.cast("long")), F.lit(0.0)))
-    return every.join(lists, [*group, "i"], "left").withColumn("line", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(columns)), value), "\t")).drop("m")
+    value = lambda j: F.format_string(pattern, F.coalesce(F.try_element_at("_cells", j.cast("long")), F.lit(0.0)))
+    return every.join(lists, [*group, "i"], "left").withColumn("line", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(columns)), value), "\t")).drop("_cells")
 
 
 def fasta_lines(df: DataFrame, id_col: str, sequence: str, width: int = 80) -> Column:
@@ -57,10 +57,14 @@ def restraint_lines(df: DataFrame, code: str, label: str, role: str) -> DataFram
     return one.select(line.alias("line"), F.row_number().over(Window.orderBy("_p", code, label)).cast("long").alias("n"))
 
 
-def with_scores(lines: DataFrame, scores: DataFrame, on: Sequence[str], text: str, score: str) -> DataFrame:
-    """Fixed-width atom lines with 100 * score / max in the temperature column."""
-    top = scores.agg(F.max(score).alias("_top"))
-    scaled = scores.crossJoin(F.broadcast(top)).withColumn("_v", F.when(F.col("_top") > 0, F.lit(100.0) * F.col(score) / F.col("_top")).otherwise(F.lit(0.0)))
+def with_scores(lines: DataFrame, scores: DataFrame, on: Sequence[str], text: str, score: str, group: Sequence[str] = ()) -> DataFrame:
+    """Fixed-width atom lines with 100 * score / max in the temperature column.
+
+    The maximum is taken over each `group`, a structure; without one the table
+    holds one structure.
+    """
+    top = scores.groupBy(*group).agg(F.max(score).alias("_top"))
+    scaled = (scores.join(top, list(group)) if group else scores.crossJoin(F.broadcast(top))).withColumn("_v", F.when(F.col("_top") > 0, F.lit(100.0) * F.col(score) / F.col("_top")).otherwise(F.lit(0.0)))
     value = F.format_string("%6.2f", F.coalesce("_v", F.lit(0.0)).cast("double"))
     return lines.join(scaled.select(*on, "_v"), list(on), "left").withColumn(text, F.overlay(F.col(text), value, F.lit(61), F.lit(6))).drop("_v")
 
@@ -81,6 +85,26 @@ def cache_key(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
 
 
+def store(df: DataFrame, path: str, key: str) -> None:
+    """Append results to a store that is partitioned by the first digit of their key."""
+    df.withColumn("shelf", F.left(key, F.lit(1))).repartition("shelf").write.mode("append").partitionBy("shelf").parquet(path)
+
+
+def look_up(spark: SparkSession, jobs: DataFrame, path: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(results that the store has, jobs that it lacks); a store that does not exist has none.
+
+    Shelves prune the scan, and the key names every parameter, so that changed
+    thresholds never meet old results. Results stored twice come once.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return jobs.limit(0), jobs
+    asked = jobs.withColumn("shelf", F.left(key, F.lit(1)))
+    kept = spark.read.parquet(path).withColumn("shelf", F.col("shelf").cast("string"))
+    found = kept.join(asked.select("shelf", key).distinct(), ["shelf", key], "left_semi").dropDuplicates([key]).drop("shelf")
+    return found, asked.join(kept.select("shelf", key).distinct(), ["shelf", key], "left_anti").drop("shelf")
+
+
 def summary_json(df: DataFrame) -> DataFrame:
     """Rows as JSON text in `value`, for `write.text`."""
     return df.select(F.to_json(F.struct("*")).alias("value"))

@@ -175,6 +175,42 @@ def matrix(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("path", (F.col("i") + 1).cast("long").alias("i"), (F.col("j") + 1).cast("long").alias("j"), F.col("v").cast("double").alias("score")).where("score <> 0")
 
 
+def shaped_matrix(spark: SparkSession, path: str, rows: int, columns: int) -> DataFrame:
+    """As `matrix`, for one shape: other files stop the job, but a single row or column is turned to fit.
+
+    A matrix of one line (or one value a line) with the wanted number of values
+    is read in either direction.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "[\\r\\n]+$", ""), "\r?\n").alias("lines"))
+    grid = lines.withColumn("grid", F.transform("lines", lambda x: F.split(x, "\t")))
+    height, width = F.size("grid"), F.size(F.col("grid")[0])
+    even = F.forall("grid", lambda r: F.size(r) == F.size(F.col("grid")[0]))
+    turned = (height == columns) & (width == rows) & ((height == 1) | (width == 1)) & F.lit(rows != columns)
+    fits = even & (((height == rows) & (width == columns)) | turned)
+    checked = F.when(fits, F.col("grid")).otherwise(F.raise_error(F.concat(F.lit("a matrix has another shape: "), "path")).cast("array<array<string>>"))
+    cells = grid.select("path", turned.alias("turned"), F.posexplode(checked).alias("i", "row")).select("path", "turned", "i", F.posexplode("row").alias("j", "v"))
+    at = lambda a, b: (F.when(F.col("turned"), F.col(b)).otherwise(F.col(a)) + 1).cast("long")
+    return cells.select("path", at("i", "j").alias("i"), at("j", "i").alias("j"), F.col("v").cast("double").alias("score")).where("score <> 0")
+
+
+def profile(spark: SparkSession, path: str, position: str, value: str, length: int) -> DataFrame:
+    """(position, value) of a header table; a position from 1 to `length` that is absent, or one beyond, stops the job."""
+    rows = tsv(spark, path, [position, value]).select(F.col(position).try_cast("long").alias("position"), F.col(value).try_cast("double").alias("value"))
+    every = spark.range(1, length + 1).select(F.col("id").alias("position"))
+    joined = every.withColumn("_asked", F.lit(True)).join(rows.withColumn("_here", F.lit(True)), "position", "full_outer")
+    whole = F.col("_asked").isNotNull() & F.col("_here").isNotNull()
+    stop = F.raise_error(F.concat(F.lit("a profile does not cover position "), F.col("position").cast("string"))).cast("long")
+    return joined.select(F.when(whole, F.col("position")).otherwise(stop).alias("position"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON documents; a path that does not exist gives none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def zipped_rows(spark: SparkSession, path: str, skip: Sequence[str], least: int, first_only: bool = False, header_lines: int = 0) -> DataFrame:
     """(path, member, n, columns) of the `.txt` members of ZIP files, split at tabs.
 
