@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ravelin.operators import aggregates, alignment, metrics, ml, scoring, selection, spatial, windows
+from ravelin.operators import aggregates, alignment, metrics, ml, nearest, scoring, selection, spatial, windows
 from ravelin.plans import pair_scoring
 from ravelin.plans.registry import query, r6
 
@@ -231,7 +231,7 @@ def radius_mass(t):
     SELECT vec_id, neighbour, round(sqrt(d2), 6) AS distance FROM r WHERE rn = 1""")
 def nearest_neighbour(t):
     vectors = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return spatial.nearest(vectors, "vec_id", "embedding").withColumn("distance", r6("distance"))
+    return nearest.nearest(vectors, "vec_id", "embedding").withColumn("distance", r6("distance"))
 
 
 @query(f"""
