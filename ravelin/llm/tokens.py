@@ -163,7 +163,7 @@ class Encoder(dict):
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text of an Arrow array of strings, in order; null gives none."""
-        for part in _groups(pc.fill_null(texts, "")):
+        for part in groups(pc.fill_null(texts, "")):
             odd = pc.match_substring_regex(part, _FOREIGN if self._lower else _UNEVEN)
             even = iter(self._split_all(part.filter(pc.invert(odd))))
             if pc.any(odd).as_py():
@@ -208,7 +208,7 @@ class Encoder(dict):
         return [h + b for h, b in zip(heads, bodies, strict=True)] if heads else bodies
 
 
-def _groups(texts: pa.Array) -> Iterator[pa.Array]:
+def groups(texts: pa.Array) -> Iterator[pa.Array]:
     """Runs of at most SPLIT_TEXTS texts and, if there are several, of SPLIT_BYTES bytes."""
     ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
     at = 0

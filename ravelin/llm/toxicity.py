@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.base import keep_rows, keyed, stage
+from ravelin.llm.tokens import groups
 
 ORDER, DISCOUNT, WINDOW, CUT = 5, 0.75, 32, 0.3
 #: Most toxic words that are averaged, and the ratio above which a word is marked.
@@ -29,8 +31,32 @@ WORST, MARKED = 4, 2.0
 #: Labelled documents that the toxic model, the ordinary one and the logistic function are fitted on at most.
 TOXIC, ORDINARY, CALIBRATION = 2000, 8000, 4096
 _BEGIN, _END = "\x02", "\x03"
-_CACHE, _LONGEST = 200_000, 48
+_CACHE, _LONGEST = 400_000, 48
 _words = re.compile(r"\w+").findall
+#: What parts words in texts up to U+00FF, as the pattern above does; other texts are split by it.
+_BETWEEN = r"[^0-9A-Za-z_\x{aa}\x{b2}\x{b3}\x{b5}\x{b9}\x{ba}\x{bc}-\x{be}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+"
+_FOREIGN = r"[^\x00-\xff]"
+
+
+def split_words(texts: pa.Array) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+    """For runs of texts of bounded size: their distinct words, and each text's words as places in that list.
+
+    Lower case, in order; null and empty texts have no words.
+    """
+    for part in groups(pc.fill_null(texts, "")):
+        odd = pc.match_substring_regex(part, _FOREIGN)
+        lists = pc.split_pattern_regex(pc.utf8_lower(pc.if_else(odd, "", part)), _BETWEEN)
+        coded = lists.flatten().dictionary_encode()
+        known, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+        bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        blank = known.index("") if "" in known else -1
+        texts_words = [w[w != blank] for w in np.split(at, bounds[1:-1])]
+        if pc.any(odd).as_py():
+            place = {w: i for i, w in enumerate(known)}
+            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                texts_words[i] = np.array([place.setdefault(w, len(place)) for w in _words(part[i].as_py().lower())], np.int64)
+            known = list(place)
+        yield known, texts_words
 
 
 def letter_runs(word: str) -> list[str]:
@@ -43,16 +69,16 @@ def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[str] = set()
     words: set[str] = set()
     for rb in batches:
-        for text in rb.column(0).to_pylist():
-            new = set(_words(text.lower())) - words if text else ()
-            for word in new:
-                seen.update(letter_runs(word))
-            words.update(new)
+        for known, _ in split_words(rb.column(0)):
+            for word in known:
+                if word and word not in words:
+                    seen.update(letter_runs(word))
+                    if len(seen) > 500_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["run"])
+                        seen.clear()
+            words.update(w for w in known if len(w) <= _LONGEST)
             if len(words) > _CACHE:
                 words.clear()
-            if len(seen) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["run"])
-                seen.clear()
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["run"])
 
 
@@ -130,26 +156,32 @@ class WordRatios(dict):
         return type(self), (self._seen, self._unseen)
 
 
-def figures(ratios: WordRatios, text: str | None) -> tuple[float, ...]:
+def figures(r: np.ndarray, words: np.ndarray) -> tuple[float, ...]:
     """Length-normalised ratios of a text, and the logarithm of its length.
 
-    Per word of the whole text; per word of its most toxic window; of its most
-    toxic words, each counted once; and what words exceed MARKED by, over the
-    square root of the number of words, as such a sum spreads over a text by
-    chance. Texts without words give zeros.
+    `r` are its words' ratios in order and `words` numbers that tell the words
+    apart. Per word of the whole text; per word of its most toxic window; of
+    its most toxic words, each counted once; and what words exceed MARKED by,
+    over the square root of the number of words, as such a sum spreads over a
+    text by chance. Texts without words give zeros.
     """
-    words = _words(text.lower()) if text else []
-    if not words:
+    if not len(r):
         return (0.0,) * 5
-    r = np.array(list(map(ratios.__getitem__, words)))
     sums = np.concatenate([[0.0], np.cumsum(r)])
     wide = min(WINDOW, len(r))
-    best: dict[str, float] = {}
+    best: dict[int, float] = {}
     for i in np.argsort(-r, kind="stable").tolist():
-        best.setdefault(words[i], r[i])
+        best.setdefault(int(words[i]), float(r[i]))
         if len(best) == WORST:
             break
-    return r.mean(), float((sums[wide:] - sums[:-wide]).max()) / wide, sum(best.values()) / WORST, float(np.maximum(r - MARKED, 0).sum()) / len(r) ** 0.5, float(np.log(len(r)))
+    return float(r.mean()), float((sums[wide:] - sums[:-wide]).max()) / wide, sum(best.values()) / WORST, float(np.maximum(r - MARKED, 0).sum()) / len(r) ** 0.5, float(np.log(len(r)))
+
+
+def all_figures(ratios: WordRatios, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Figures of the texts of an array, in order, a row for each, in runs of bounded size."""
+    for known, texts_words in split_words(texts):
+        r = np.array(list(map(ratios.__getitem__, known)), float)
+        yield np.array([figures(r[w], w) for w in texts_words])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -171,10 +203,11 @@ def _scorer(model, weights):
         ratios = model.value
         mean, scale, w = weights
         for rb in batches:
-            for at in range(0, len(rb), 512):
-                x = np.array([figures(ratios, t) for t in rb.column(1).slice(at, 512).to_pylist()])
-                z = (x - mean) / scale @ w[:-1] + w[-1]
-                keys = [c.slice(at, 512) for i, c in enumerate(rb.columns) if i != 1]
+            at = 0
+            for x in all_figures(ratios, rb.column(1)):
+                z = ((x - mean) / scale * w[:-1]).sum(1) + w[-1]
+                keys = [c.slice(at, len(x)) for i, c in enumerate(rb.columns) if i != 1]
+                at += len(x)
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", *rb.schema.names[2:], "score"])
 
     return run
@@ -183,8 +216,10 @@ def _scorer(model, weights):
 def _figures(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for toxic, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int64()), pa.array([list(figures(model.value, text))], pa.list_(pa.float64()))], names=["toxic", "x"])
+            at = 0
+            for x in all_figures(model.value, rb.column(1)):
+                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(x)).cast(pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
+                at += len(x)
 
     return run
 
@@ -203,8 +238,11 @@ def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_
     A document labelled twice is toxic if one label says so; null labels and
     labels of unknown documents are left out. Without documents of both
     classes every score is the rate of toxic labels. Texts without words,
-    empty or null, get the score of a text whose figures are 0. A null id
-    is never held out. Repeated rows score alike; an empty table gives no rows.
+    empty or null, get the score of a text whose figures are 0; very long ones
+    are read whole. Of different texts that share a labelled id one is fitted
+    on, that of the smallest digest. A null id is never held out. Repeated rows
+    score alike, ties do not occur, columns beyond doc_id, text and `row_col`
+    are not read, whatever they are called, and an empty table gives no rows.
     """
     spark = docs.sparkSession
     row = [row_col] if row_col else []
@@ -219,7 +257,10 @@ def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_
     chosen = first(fit.where("toxic >= 1"), toxic_docs).unionByName(first(fit.where("toxic < 1"), ordinary_docs)).withColumn("use", F.lit("fit"))
     chosen = stage(chosen.unionByName(first(here.where(_fold(F.col("_id")) == 3), calibration).withColumn("use", F.lit("tune"))), "chosen-labels")
     # At most toxic_docs + ordinary_docs + calibration rows.
-    sample = stage(texts.join(F.broadcast(chosen.select("_id", "toxic", "use")), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("use", F.greatest(F.lit(0), F.least(F.lit(1), "toxic")).alias("toxic"), "text"), "labelled-texts")
+    # Of texts that share a labelled id the one of the smallest digest counts.
+    found = texts.join(F.broadcast(chosen.select("_id", "toxic", "use")), F.col("doc_id") == F.col("_id")).select("doc_id", "use", F.greatest(F.lit(0), F.least(F.lit(1), "toxic")).alias("toxic"), "text")
+    one = F.min_by(F.struct("use", "toxic", "text"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    sample = stage(found.groupBy("doc_id").agg(one.alias("_one")).select("_one.*"), "labelled-texts")
     sizes = {(r["use"], r["toxic"]): r["n"] for r in sample.groupBy("use", "toxic").agg(F.count("*").alias("n")).collect()}
     toxic, plain = (sum(n for (_, t), n in sizes.items() if t == k) for k in (1, 0))
     held_out = F.coalesce(_fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
