@@ -1,13 +1,16 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosines, one kept per group.
 
-Equal vectors are collapsed first. Cells are fitted on a bounded sample; every
+Equal vectors are collapsed first, under a hash that is proven to tell them
+apart; from there on results move by hash, and vectors only to the cells that
+they visit. Cells are fitted on a bounded sample; every
 vector goes to its nearest centroid's cell. A pair at or above the threshold
 may straddle two cells, so a vector also visits each cell of higher number
 whose border is near enough: for unit vectors x in cell h and y in cell c,
 x.(C_h - C_c) <= |x - y| |C_h - C_c|, hence a partner in c needs
 x.(C_h - C_c) <= sqrt(2 - 2 threshold) |C_h - C_c|. No link is lost to the
-cells. Cells are compared as pairs of blocks of bounded size; a task returns
-each vector's number of partners and a spanning forest, never all pairs.
+cells. A cell is one task, and one of more than BLOCK vectors is compared as
+pairs of blocks; a task returns each vector's number of partners and a spanning
+forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.base import attach, components, stage
 
 THRESHOLD = 0.93
-#: Vectors of the largest label per cell, most cells, and rows of a block.
-CELL, MOST_CELLS, BLOCK = 4096, 2048, 1024
+#: Vectors of the largest label per cell, most cells, rows of a block, and rows of a product.
+CELL, MOST_CELLS, BLOCK, TILE = 2048, 2048, 4096, 1024
 #: Vectors per cell, and in all, that centroids are fitted on.
 SAMPLE_PER_CELL, SAMPLE, ROUNDS = 32, 1 << 16, 10
 
@@ -86,10 +89,10 @@ def _compare(threshold: float):
         cols = rows if i == j else np.flatnonzero(block == j)
         partners = np.zeros(len(uid), np.int64)
         ends_a, ends_b = [], []
-        for at in range(0, len(rows), BLOCK):
-            r = rows[at : at + BLOCK]
-            for to in range(0, len(cols), BLOCK):
-                c = cols[to : to + BLOCK]
+        for at in range(0, len(rows), TILE):
+            r = rows[at : at + TILE]
+            for to in range(at if i == j else 0, len(cols), TILE):
+                c = cols[to : to + TILE]
                 near = (v[r] @ v[c].T >= threshold) & (home[r][:, None] | home[c][None, :])
                 if i == j:
                     near &= r[:, None] < c[None, :]
@@ -107,6 +110,24 @@ def _compare(threshold: float):
     return run
 
 
+def _value_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "label", "v")
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` with `uid`, a hash of label and vector, and the staged distinct ones: uid, label, v, first id and number.
+
+    If two values share a hash, which distinct ones show, another seed is taken.
+    """
+    seed = 0
+    while True:
+        told = rows.withColumn("uid", F.when(F.col("sound"), _value_hash(seed)))
+        distinct = stage(told.where("sound").groupBy("uid", "label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("m")), "vectors")
+        if distinct.groupBy("uid").count().where("count > 1").isEmpty():
+            return told, distinct
+        seed += 1
+
+
 def find_groups(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -115,23 +136,26 @@ def find_groups(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CE
     zero or with a null or non-finite component link with nothing and are kept.
     Repeated vectors link with each other, also where they repeat an id. A row
     with a null id takes part and has a null component only if its component
-    knows no id. An empty table gives no rows; other columns are not read.
+    knows no id. An empty table gives no rows; other columns, whatever they are
+    called, are not read. Components keep the input's precision while they
+    move; they are compared as doubles.
     """
     spark = vectors.sparkSession
     v = F.col("v")
     sound = F.col("label").isNotNull() & F.forall(v, lambda x: F.coalesce((x - x) == 0, F.lit(False))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("sound", F.coalesce(sound, F.lit(False)))
-    distinct = stage(rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("m")), "vectors").withColumn("uid", F.monotonically_increasing_id())
-    distinct = stage(distinct, "vectors-numbered")
+    kind = "float" if dict(vectors.select(vector_col).dtypes)[vector_col] == "array<float>" else "double"
+    plus = F.transform(F.col(vector_col).cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))  # no negative zeros
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), plus.alias("v")).withColumn("sound", F.coalesce(sound, F.lit(False)))
+    told, distinct = _numbered(rows)
     largest = distinct.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n")).collect()  # a row per length of vector
     centres = {}
     for dim, n in ((r["dim"], r["n"]) for r in largest):
         k = min(MOST_CELLS, -(-n // cell))
         if k > 1:
             size = min(SAMPLE, SAMPLE_PER_CELL * k * 8, max(k, (1 << 23) // dim))
-            got = distinct.where(F.size("v") == dim).orderBy(F.xxhash64("label", "v"), "uid").limit(size).select("v").toArrow()
+            got = distinct.where(F.size("v") == dim).orderBy(F.xxhash64("uid"), "uid").limit(size).select("v").toArrow()
             centres[dim] = fit_cells(_units(got.column("v").combine_chunks()), k)
-    placed = stage(distinct.select("uid", "label", "m", "v").mapInArrow(_assign(spark.sparkContext.broadcast(centres), threshold), "uid long, label string, dim int, cell int, home boolean, m long, v array<double>"), "cells")
+    placed = stage(distinct.select("uid", "label", "m", "v").mapInArrow(_assign(spark.sparkContext.broadcast(centres), threshold), f"uid long, label string, dim int, cell int, home boolean, m long, v array<{kind}>"), "cells")
     sizes = stage(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), "cell-sizes")
     mine = F.pmod(F.xxhash64("uid", F.lit(3)), F.col("blocks")).cast("int")
     dealt = attach(placed, sizes, ["label", "dim", "cell"], "inner").withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -139,11 +163,11 @@ def find_groups(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CE
     found = stage(dealt.groupBy("set", "cell", "i", "j").applyInArrow(_compare(threshold), "uid long, n long, root long"), "cell-links")
     partners = stage(found.groupBy("uid").agg(F.sum("n").alias("n")), "partners")
     joined = stage(components(found, "uid", "root"), "vector-components").withColumnRenamed("node", "uid")
-    known = attach(attach(distinct.select("uid", "label", "v", "first", "m"), partners, ["uid"]), joined, ["uid"]).where("n > 0 or m > 1").withColumn("component", F.coalesce("component", "uid"))
+    known = attach(attach(distinct.select("uid", "first", "m"), partners, ["uid"]), joined, ["uid"]).where("n > 0 or m > 1").withColumn("component", F.coalesce("component", "uid"))
     known = stage(known, "linked")
     smallest = stage(known.groupBy("component").agg(F.min("first").alias("component_id")), "vector-smallest")
-    named = stage(attach(known, smallest, ["component"], "inner").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id", F.lit(True).alias("sound")), "vector-named")
+    named = stage(attach(known, smallest, ["component"], "inner").select("uid", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id"), "vector-named")
     linked = F.col("n_links").isNotNull()
-    out = attach(rows, named, ["sound", "label", "v"], narrow=False)
+    out = attach(told.select("vec_id", "uid"), named, ["uid"])
     component = F.when(linked, F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
