@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import attach, drop_path, new_path, shuffle_width, stage, staged
+from ravelin.llm.base import attach, drop_path, file_store, new_path, shuffle_width, stage, staged
 from ravelin.llm.tokens import encoder
 
 END_ID = 2
@@ -127,12 +127,6 @@ def read_block(coder: Coder, data: bytes) -> tuple[list[int | None], np.ndarray,
     return [None if z else i for i, z in zip(known.tolist(), nulls.tolist(), strict=True)], lengths.astype(np.int64), tokens
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 _CODED = "tally boolean, doc_id long, n_tokens long, crc long, ids binary"
 
 
@@ -189,7 +183,7 @@ def _writer(folder: str, freq, block_tokens: int, lanes: int, kind: str):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        store, root = _filesystem(folder)
+        store, root = file_store(folder)
         coder, part, width = Coder(freq.value), context.partitionId(), np.dtype(kind).itemsize
         # The attempt is in the name: a repeated task never touches another's file.
         file = f"part-{part:06d}-{context.taskAttemptId()}.rans"
@@ -256,7 +250,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, bl
 
 def _reader(folder: str, freq):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _filesystem(folder)
+        store, root = file_store(folder)
         coder = Coder(freq.value)
         for rb in batches:
             for row in rb.to_pylist():

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import attach, new_path, shuffle_width, stage
+from ravelin.llm.base import attach, file_store, new_path, shuffle_width, stage
 
 MIN_REVISIT = 1000
 #: Bytes read from a file, and decompressed, at a time.
@@ -39,9 +40,10 @@ def _urn(page: int | None) -> str:
     return f"<urn:page:{'null' if page is None else page}>"
 
 
-def _page(urn: str) -> int | None:
-    name = urn[len("<urn:page:") : -1]
-    return None if name == "null" else int(name)
+def _page(urn: str | None) -> int | None:
+    """The page that a record of our own names; other identifiers name none."""
+    named = re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")
+    return int(named[1]) if named else None
 
 
 def member(page: int | None, url: str | None, payload: bytes, digest: bytes, revisit: bool, refers_to: int | None, date: str) -> bytes:
@@ -90,11 +92,28 @@ class _Bytes:
 
 
 def _fields(lines: bytes) -> dict[str, str]:
-    pairs = (line.split(":", 1) for line in lines.decode().split("\r\n")[1:])
+    """Header fields by lower-case name; lines without a colon are passed over."""
+    pairs = (line.split(":", 1) for line in lines.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
     return {name.strip().lower(): value.strip() for name, value in pairs}
 
 
+def _verify(digest, told: str | None, what: str) -> None:
+    """Compare with a SHA-1 in base 32 or in hexadecimal digits; other algorithms and absent digests are not checked."""
+    kind, _, value = (told or "").partition(":")
+    if kind.lower() == "sha1" and value.lower() not in (digest.hexdigest(), _base32(digest.digest())[5:].lower()):
+        raise ValueError(f"a {what} does not match its digest")
+
+
+def _hex(digest: str | None) -> str | None:
+    """A SHA-1 as hexadecimal digits; other digests, or none, give none."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if re.fullmatch("[0-9A-Fa-f]{40}", value) else base64.b32decode(value.upper()).hex()
+
+
 def _record(pieces: Iterator[bytes], with_payload: bool) -> dict:
+    """One record of any kind. Responses and revisits hold an HTTP message; of others only the header counts."""
     source = _Bytes(pieces)
     head = _fields(source.until(_END))
     kind, length = head["warc-type"], int(head["content-length"])
@@ -104,7 +123,8 @@ def _record(pieces: Iterator[bytes], with_payload: bool) -> dict:
         http = source.until(_END)
         block.update(http + _END)
         length -= len(http) + len(_END)
-        row["bytes"] = int(_fields(http)["content-length"])
+        told = _fields(http).get("content-length", "")
+        row["bytes"] = int(told) if told.isdigit() else None
     kept = [] if with_payload else None
     taken = 0
     for piece in source.take(length):
@@ -115,11 +135,13 @@ def _record(pieces: Iterator[bytes], with_payload: bool) -> dict:
             kept.append(piece)
     if source.rest() != _END:
         raise ValueError("a record does not end at its content length")
-    if _base32(block.digest()) != head["warc-block-digest"]:
-        raise ValueError("a block does not match its digest")
+    _verify(block, head.get("warc-block-digest"), "block")
+    row["digest"] = head.get("warc-payload-digest")
     if kind == "response":
-        if taken != row["bytes"] or _base32(payload.digest()) != head["warc-payload-digest"]:
+        if row["bytes"] not in (None, taken):
             raise ValueError("a payload does not match its digest")
+        _verify(payload, row["digest"], "payload")
+        row["bytes"], row["digest"] = taken, _base32(payload.digest())
         row["payload"] = b"".join(kept) if kept is not None else None
     return row
 
@@ -148,11 +170,10 @@ _FILES = "file string, records long, bytes long"
 
 def _writer(folder: str, date: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = file_store(folder)
         done: list[tuple[str, int, int]] = []
         out, name, count, size = None, "", 0, 0
 
@@ -168,7 +189,7 @@ def _writer(folder: str, date: str, file_bytes: int):
                     if out is None:
                         # The attempt is in the name: a repeated task never touches another's file.
                         name = f"part-{context.partitionId():06d}-{len(done):04d}-{context.taskAttemptId()}.warc.gz"
-                        out, count, size = store.open_output_stream(f"{root}/{name}"), 0, 0
+                        out, count, size = store.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                     data = member(row["page_id"], row["url"], row["html"], bytes.fromhex(row["digest"]), row["revisit"], row["refers_to"], date)
                     out.write(data)
                     count, size = count + 1, size + len(data)
@@ -187,15 +208,17 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, date: s
 
     A null payload is empty, a null url leaves its header out, a null id is
     written as such and comes after all others. Rows that repeat the id of a
-    response are responses too. An empty table gives no archive and an empty
-    index. `folder/files` is the index, written when all archives are complete;
+    response are responses too. Very long payloads are written whole, one at a
+    time; columns beyond the three named ones are not read. An empty table
+    gives no archive and an empty index. `folder/files` is the index, written when all archives are complete;
     files of tasks that were repeated are not in it.
     """
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("html")).withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html").cast("long"))
-    same = stage(rows.where(F.col("n") >= min_revisit).groupBy("digest", "n").agg(F.max("page_id").alias("_keep"), F.count("*").alias("_many")).where("_many > 1").drop("_many"), "same-payload")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("html")).withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html").cast("long")).withColumn("_equal", F.when(F.col("n") >= min_revisit, F.sha2("html", 256)))
+    # SHA-1 alone can be made to collide; equal payloads share length and SHA-256 too.
+    same = stage(rows.where(F.col("n") >= min_revisit).groupBy("digest", "n", "_equal").agg(F.max("page_id").alias("_keep"), F.count("*").alias("_many")).where("_many > 1").drop("_many"), "same-payload")
     revisit = F.col("_keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keep"))
-    ready = attach(rows, same, ["digest", "n"]).select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("_keep")).alias("refers_to"))
+    ready = attach(rows, same, ["digest", "n", "_equal"]).select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("_keep")).alias("refers_to"))
     spark = pages.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
@@ -204,9 +227,7 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, date: s
 
 def _reader(folder: str, with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = file_store(folder)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
 
@@ -216,14 +237,12 @@ def _reader(folder: str, with_payload: bool):
         for rb in batches:
             for file in rb.column(0).to_pylist():
                 held, size = [], 0
-                with store.open_input_stream(f"{root}/{file}") as stream:
+                with store.open_input_stream(f"{root}/{file}", compression=None) as stream:
                     for r in records(stream, with_payload):
                         if r["kind"] not in ("response", "revisit"):
                             continue
                         head = r["head"]
-                        digest = base64.b32decode(head["warc-payload-digest"][5:]).hex()
-                        to = head.get("warc-refers-to")
-                        held.append((_page(head["warc-record-id"]), r["bytes"], digest, r["kind"], _page(to) if to else None, head.get("warc-target-uri"), r["payload"]))
+                        held.append((_page(head.get("warc-record-id")), r["bytes"], _hex(r["digest"]), r["kind"], _page(head.get("warc-refers-to")), head.get("warc-target-uri"), r["payload"]))
                         size += len(r["payload"] or b"")
                         if len(held) >= 1024 or size >= 1 << 24:
                             yield batch(held)
@@ -238,7 +257,10 @@ def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFra
     """One row per response or revisit record of the archives in the index.
 
     page_id, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to,
-    url, payload (null for revisits, or if not asked for).
+    url, payload (null for revisits, or if not asked for). Records of other
+    kinds are passed over. Archives of other writers are read too: identifiers
+    that name no page give null ids, digests are verified where they are SHA-1,
+    and a revisit that tells no length or digest has none.
     """
     files = spark.read.parquet(f"{folder}/files").select("file").repartition(shuffle_width(spark), "file")
     return files.mapInArrow(_reader(folder, with_payload), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
