@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_writer(df: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per key: `columns` of the row that introduced it, the first in `order`."""
+def first_writer(df: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str], seen: str | None = None) -> DataFrame:
+    """One row per key: `columns` of the row that introduced it, the first in `order`, and its number of rows as `seen`."""
     first = F.min_by(F.struct(*columns), F.struct(*order)).alias("_first")
-    return df.groupBy(*key).agg(first).select(*key, *[F.col(f"_first.{c}").alias(c) for c in columns])
+    count = [F.count(F.lit(1)).alias(seen)] if seen else []
+    return df.groupBy(*key).agg(first, *count).select(*key, *[F.col(f"_first.{c}").alias(c) for c in columns], *([seen] if seen else []))
 
 
 def best_row(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

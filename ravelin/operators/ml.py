@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelin.plans.staging import attach, stage
+
 #: Prefixes of columns that hold or derive from a target, a split or an identifier.
 LEAKING = ("label", "target", "native", "fold", "split")
 
@@ -84,7 +86,7 @@ def out_of_fold(df: DataFrame, folds: DataFrame, group: str, label: str, weight:
     The objective is C times the weighted loss plus half the squared norm, the
     intercept free: Spark's regParam is 1 / (C * sum of weights).
     """
-    dealt = df.join(F.broadcast(folds), group) if k else df
+    dealt = stage(attach(df, stage(folds, "folds"), [group], "inner"), "dealt") if k else df
     out = None
     for f in range(k):
         scaled = _scaled(dealt, features, F.col("fold") != f)

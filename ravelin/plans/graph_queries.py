@@ -38,10 +38,9 @@ def pair_graph(t):
     FROM f GROUP BY 1, 2""")
 def pair_first_writer(t):
     key = ["l_partkey", "l_suppkey", "l_returnflag"]
-    first = aggregates.first_writer(t("lineitem"), key, ["l_orderkey", "l_linenumber", "l_linestatus", "l_shipdate"], ["l_linestatus"])
-    seen = t("lineitem").groupBy(*key).agg(F.count(F.lit(1)).alias("seen"))
+    first = aggregates.first_writer(t("lineitem"), key, ["l_orderkey", "l_linenumber", "l_linestatus", "l_shipdate"], ["l_linestatus"], "seen")
     sets = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")
-    return first.join(seen, key).groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("evidence"), F.sum("seen").alias("seen"), sets("l_returnflag").alias("flags"), sets("l_linestatus").alias("states"))
+    return first.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("evidence"), F.sum("seen").alias("seen"), sets("l_returnflag").alias("flags"), sets("l_linestatus").alias("states"))
 
 
 @query("""
