@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import identifiers, residues
 from ravelin.operators import aggregates, alignment, clusters, evidence, joins, ml, scoring, spatial
+from ravelin.plans import greedy_sql
 from ravelin.plans.registry import query, r6
 from ravelin.plans.score_queries import _XYZ, _points
 
@@ -264,23 +265,46 @@ def _supported(t) -> DataFrame:
     return _points(t).withColumn("score", F.round(F.col("x") + F.lit(0.3), 6)).withColumn("support", F.round(F.abs("y"), 6)).withColumn("tie", F.round("z", 6))
 
 
-@query()
+_CANDIDATES = f"""
+    c AS (SELECT g, k, score, support, support + greatest(tie, 0) AS secondary, {{'k': k, 'x': x, 'y': y, 'z': z}} AS s
+          FROM (SELECT label AS g, vec_id AS k, round(x + 0.3::DOUBLE, 6) AS score, round(abs(y), 6) AS support, round(z, 6) AS tie, x, y, z FROM ({_XYZ})) WHERE score > 0 AND support > 0)"""
+
+
+def _near(distance: float) -> str:
+    return greedy_sql.close("a", "r.s", distance)
+
+
+@query(f"""
+    WITH RECURSIVE p AS (SELECT label AS g, vec_id AS k, round(x + 0.3::DOUBLE, 6) AS score, greatest(round(z, 6), 0) AS tie, {{'k': vec_id, 'x': x, 'y': y, 'z': z}} AS s FROM ({_XYZ})),
+    able AS (SELECT * FROM p WHERE score > 0),
+    m AS (SELECT r.g, r.k, round(r.score + coalesce(sum(o.score) FILTER (o.k <> r.k), 0), 9) AS mass FROM able r JOIN (SELECT g, k, score, s AS a FROM able) o ON o.g = r.g AND {_near(0.3)} GROUP BY r.g, r.k, r.score),
+    ordered AS (SELECT able.g, s, row_number() OVER (PARTITION BY able.g ORDER BY score DESC, mass DESC, tie DESC, able.k) AS o FROM able JOIN m USING (g, k)),
+    {greedy_sql.greedy("ordered", _near(0.3), 6)}
+    SELECT g AS label, k AS vec_id, seed FROM chosen""")
 def spatial_seeds(t):
     return clusters.seeds(_supported(t), ["label"], "vec_id", "xyz", "score", 6, 0.3, tie_break="tie")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_CANDIDATES}, {greedy_sql.best_cluster("c", _near(0.3), _near(0.35), _near(0.3), _near(0.35))}
+    SELECT g AS label, k AS vec_id, round(worth, 6) AS worth FROM members""")
 def supported_members(t):
     out = clusters.best_cluster(_supported(t), ["label"], "vec_id", "xyz", "score", "support", 4, 0.3, 0.35, tie_break="tie")
     return out.select("label", "vec_id", r6("worth"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_CANDIDATES}, {greedy_sql.best_cluster("c", _near(10), _near(12), _near(10), _near(12))}, {greedy_sql.roles("c", _near(0.3), 4, 12)}
+    SELECT g AS label, k AS vec_id, role FROM roles""")
 def docking_roles(t):
     return clusters.roles(_supported(t), ["label"], "vec_id", "xyz", "score", "support", 4, 12, 0.75, 0.35, 0.3, tie_break="tie")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE e AS (SELECT user_id AS g, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value AS score, round(value % 7, 6) AS support FROM events),
+    c AS (SELECT *, support AS secondary, {{'k': k}} AS s FROM e WHERE score > 0 AND support > 0),
+    {greedy_sql.best_cluster("c", "abs(a.k - r.s.k) <= 3", "abs(a.k - r.s.k) <= 4", "abs(a.k - r.s.k) <= 3", None)}, {greedy_sql.roles("c", "abs(a.k - r.s.k) <= 3", 4, 6)}
+    SELECT g AS user_id, k AS pos, role FROM roles""")
 def docking_roles_line(t):
     """Without coordinates: positions of each user's events."""
     from ravelin.plans.window_queries import _events
@@ -289,7 +313,13 @@ def docking_roles_line(t):
     return clusters.roles(e, ["user_id"], "pos", [], "value", "support", 4, 6)
 
 
-@query()
+_GAIN = " + ".join([f"CASE WHEN {greedy_sql.seen('type')} = 0 THEN 100 ELSE 0 END - 3 * {greedy_sql.seen('type')}", *[f"CASE WHEN {greedy_sql.seen(c)} = 0 THEN 10 ELSE 0 END" for c in ("name", "size")]])
+
+
+@query(f"""
+    WITH RECURSIVE d AS (SELECT p_brand AS g, {{'k': p_partkey, 'name': p_name, 'size': p_size, 'type': p_type}} AS s FROM part),
+    {greedy_sql.diverse("d", _GAIN, "-abs(r.s.size - 40), -(r.s.k % 3), r.s.k", 8)}
+    SELECT g AS p_brand, k AS p_partkey, pick FROM picked""")
 def diverse_pick(t):
     p = t("part").withColumn("hard", F.col("p_partkey") % 3)
     return clusters.diverse_sample(p, ["p_brand"], "p_partkey", "p_size", "hard", ["p_name", "p_size"], "p_type", 8)

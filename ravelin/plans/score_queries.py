@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ravelin.operators import aggregates, alignment, metrics, ml, nearest, scoring, selection, spatial, windows
-from ravelin.plans import pair_scoring
+from ravelin.plans import greedy_sql, pair_scoring
 from ravelin.plans.registry import query, r6
 
 _LABELLED = "SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)"
@@ -282,25 +282,44 @@ def adaptive_select(t):
     return selection.adaptive(t("events"), ["user_id"], "event_id", "value").select("event_id", "role")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+    ordered AS (SELECT user_id AS g, {{'k': pos, 'value': value}} AS s, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, pos) AS o FROM e WHERE value > 0),
+    {greedy_sql.greedy("ordered", "abs(a.k - r.s.k) <= 3", 5)}
+    SELECT g AS user_id, k AS pos, s.value AS value, seed FROM chosen""")
 def greedy_seeds(t):
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     return selection.greedy_line(t("events").withColumn("pos", pos), ["user_id"], "pos", "value", 5, 3)
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE ordered AS (SELECT label AS g, {{'k': vec_id, 'x': x, 'y': y, 'z': z, 'score': x + 1.0::DOUBLE}} AS s, row_number() OVER (PARTITION BY label ORDER BY x + 1.0::DOUBLE DESC, vec_id) AS o FROM ({_XYZ}) WHERE x + 1.0::DOUBLE > 0),
+    {greedy_sql.greedy("ordered", greedy_sql.close("a", "r.s", 0.2).replace("<=", "<"), 10)}
+    SELECT g AS label, k AS vec_id, s.score AS score, seed FROM chosen""")
 def greedy_spatial(t):
     points = _points(t).withColumn("score", F.col("x") + F.lit(1.0))
     return selection.greedy_space(points, ["label"], "vec_id", "xyz", "score", 10, 0.2)
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE p AS (SELECT label AS g, x + 1.0::DOUBLE AS score, abs(y) AS support, {{'k': vec_id, 'x': x, 'y': y, 'z': z}} AS s FROM ({_XYZ})),
+    ordered AS (SELECT g, s, row_number() OVER (PARTITION BY g ORDER BY score DESC, s.k) AS o FROM p WHERE score > 0),
+    {greedy_sql.greedy("ordered", greedy_sql.close("a", "r.s", 0.2).replace("<=", "<"), 5)},
+    m AS (SELECT r.*, c.seed, row_number() OVER (PARTITION BY r.g, c.seed ORDER BY r.score DESC) AS rn FROM p r JOIN (SELECT g, seed, s AS a FROM chosen) c ON c.g = r.g AND {greedy_sql.close("a", "r.s", 0.15)}),
+    w AS (SELECT g, seed, sum(support) + 0.75 * sum(CASE WHEN rn <= 3 THEN score ELSE 0 END) AS worth FROM m GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY worth DESC, seed) = 1)
+    SELECT m.g AS label, m.s.k AS vec_id, round(worth, 6) AS worth FROM m JOIN w USING (g, seed)""")
 def support_cluster(t):
     points = _points(t).withColumn("score", F.col("x") + F.lit(1.0)).withColumn("support", F.abs("y"))
     return selection.support_cluster(points, ["label"], "vec_id", "xyz", "score", "support", 5, 0.2, 0.15).withColumn("worth", r6("worth"))
 
 
-@query()
+_REPEATS = " + ".join([f"CASE WHEN {greedy_sql.seen('type')} = 0 THEN 100 ELSE 0 END", *[f"CASE WHEN {greedy_sql.seen(c)} = 0 THEN 10 ELSE -3 * {greedy_sql.seen(c)} END" for c in ("size", "name")]])
+
+
+@query(f"""
+    WITH RECURSIVE d AS (SELECT p_brand AS g, {{'k': p_partkey, 'name': p_name, 'size': p_size, 'type': p_type}} AS s FROM part),
+    {greedy_sql.diverse("d", _REPEATS, "-abs(r.s.size - 25), -r.s.k", 8)}
+    SELECT g AS p_brand, k AS p_partkey, pick FROM picked""")
 def diverse_sample(t):
     return selection.diverse(t("part"), ["p_brand"], "p_partkey", "p_size", ["p_size", "p_name"], "p_type", 8, 25.0)
 
