@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import residues
-from ravelin.operators import aggregates, selection, spatial, windows
+from ravelin.operators import aggregates, clusters, spatial, windows
+from ravelin.plans.staging import running_before, stage
 
 
 def outer_product(left: DataFrame, right: DataFrame, pair: Sequence[str], i: str, j: str, score: str) -> DataFrame:
@@ -89,18 +90,22 @@ def residue_first(cells: DataFrame, pair: Sequence[str], side: str, position: st
 
     `cells` has a row per (pair, side, position, partner); the result has one
     per (pair, side, position) with `marginal`, `base`, `region`, `final` and
-    `rank`.
+    `rank`. Pairs and sides may be of any size: percentiles and ranks go by range,
+    seeds are chosen in rounds over all groups. Rows with a null pair, side or
+    position are left out; an empty table gives no rows.
     """
-    keys = [*pair, side, position]
-    ranked = windows.positive_percentile(cells, value, pair, "_pct")
-    rows = aggregates.weighted_top_k(ranked, keys, "_pct", k, "marginal", "specificity")
-    rows = windows.positive_percentile(rows, "marginal", [*pair, side], "base")
-    chosen = selection.greedy_line(rows, [*pair, side], position, "base", seeds, gap)
-    rows = windows.seed_kernel(rows, [*pair, side], position, chosen, radius, "region")
-    rows = rows.withColumn("_raw", guided(F.col("base"), F.least(F.col("region"), F.lit(1.0))))
-    rows = windows.positive_percentile(rows, "_raw", [*pair, side], "final")
-    rank = F.row_number().over(Window.partitionBy(*pair, side).orderBy(F.col("final").desc(), position)).cast("long")
-    return rows.withColumn("rank", rank).drop("_raw")
+    cells = cells.dropna(subset=[*pair, side, position])
+    keys, sides = [*pair, side, position], [*pair, side]
+    ranked = windows.positive_percentile_spread(cells.select(*keys, value), value, pair, "_pct")
+    rows = stage(aggregates.weighted_top_k(ranked, keys, "_pct", k, "marginal", "specificity"), "marginals")
+    rows = stage(windows.positive_percentile_spread(rows, "marginal", sides, "base"), "bases")
+    order = [-F.col("base"), F.col(position)]
+    chosen = clusters.rounds(rows.where("base > 0"), sides, order, [position], lambda s: F.abs(F.col(position) - s[position]) <= gap, seeds)
+    rows = windows.seed_kernel(rows, sides, position, chosen, radius, "region")
+    rows = stage(rows.withColumn("_raw", guided(F.col("base"), F.least(F.col("region"), F.lit(1.0)))), "guided")
+    rows = windows.positive_percentile_spread(rows, "_raw", sides, "final").withColumn("_down", -F.col("final"))
+    rows = running_before(rows, sides, ["_down", position], F.lit(1), "rank", "residue-ranks")
+    return rows.withColumn("rank", (F.col("rank") + 1).cast("long")).drop("_raw", "_down")
 
 
 def confidence(b_factors: DataFrame, group: Sequence[str], value: str, out: str, forced: bool = False) -> DataFrame:

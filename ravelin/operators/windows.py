@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelin.plans.staging import running_before
+
 
 def positive_percentile(df: DataFrame, value: str, group: Sequence[str], out: str) -> DataFrame:
     """Share of the group's positive values that are at most this one; 0 for others."""
@@ -20,6 +22,24 @@ def positive_percentile(df: DataFrame, value: str, group: Sequence[str], out: st
     return df.withColumn(out, F.when(positive, F.cume_dist().over(w)).otherwise(F.lit(0.0)))
 
 
+def positive_percentile_spread(df: DataFrame, value: str, group: Sequence[str], out: str) -> DataFrame:
+    """As `positive_percentile`, for groups that may hold most of a table.
+
+    Equal values are counted first; the counts are range-partitioned and
+    prefix-summed, so that no task holds a group, and the shares are joined
+    back by value. `df` is read twice and should be staged where it is dear.
+    Rows with a null in a group column get 0.
+    """
+    sound = F.col(value) > 0
+    for c in group:
+        sound = sound & F.col(c).isNotNull()
+    counts = df.where(sound).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    before = running_before(counts, list(group), [value], F.col("_n"), "_before", "value-ranks").withColumn("_upto", F.col("_before") + F.col("_n"))
+    totals = before.groupBy(*group).agg(F.max("_upto").alias("_all"))
+    shares = before.join(totals, list(group)).select(*group, value, (F.col("_upto") / F.col("_all")).alias(out))
+    return df.join(shares, [*group, value], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+
+
 def top_gate(df: DataFrame, value: str, group: Sequence[str], ties: Sequence[str], n: int, out: str) -> DataFrame:
     """The group's `n` largest positive values over their maximum; 0 for others."""
     order = [F.col(value).desc_nulls_last(), *ties]

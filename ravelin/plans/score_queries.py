@@ -324,7 +324,21 @@ def diverse_sample(t):
     return selection.diverse(t("part"), ["p_brand"], "p_partkey", "p_size", ["p_size", "p_name"], "p_type", 8, 25.0)
 
 
-@query()
+def _percentile(value: str, group: str) -> str:
+    return f"CASE WHEN {value} > 0 THEN cume_dist() OVER (PARTITION BY {group}, {value} > 0 ORDER BY {value}) ELSE 0 END"
+
+
+@query(f"""
+    WITH RECURSIVE c AS (SELECT l_returnflag AS pair, l_linestatus AS side, l_suppkey AS position, {_percentile("l_extendedprice", "l_returnflag")} AS p FROM lineitem),
+    t AS (SELECT * FROM c WHERE p > 0 QUALIFY row_number() OVER (PARTITION BY pair, side, position ORDER BY p DESC) <= 3),
+    m AS (SELECT pair, side, position, max(p) + (sum(p ORDER BY p DESC) - max(p)) * 0.5::DOUBLE AS marginal FROM t GROUP BY 1, 2, 3),
+    b AS (SELECT *, {_percentile("marginal", "pair, side")} AS base FROM m),
+    ordered AS (SELECT (pair, side) AS g, {{'k': position}} AS s, row_number() OVER (PARTITION BY pair, side ORDER BY base DESC, position) AS o FROM b WHERE base > 0),
+    {greedy_sql.greedy("ordered", "abs(a.k - r.s.k) <= 3", 3)},
+    k AS (SELECT b.*, coalesce((SELECT sum((5.0::DOUBLE - abs(b.position - c.k)) / 5.0::DOUBLE) FROM chosen c WHERE c.g = (b.pair, b.side) AND abs(b.position - c.k) <= 4), 0) AS region FROM b),
+    r AS (SELECT *, base * (0.25::DOUBLE + 0.75::DOUBLE * least(region, 1)) AS raw FROM k),
+    f AS (SELECT *, {_percentile("raw", "pair, side")} AS final FROM r)
+    SELECT pair, side, position, round(marginal, 6) AS marginal, round(base, 6) AS base, round(region, 6) AS region, round(final, 6) AS final, row_number() OVER (PARTITION BY pair, side ORDER BY final DESC, position) AS rank FROM f""")
 def residue_first(t):
     cells = t("lineitem").select(F.col("l_returnflag").alias("pair"), F.col("l_linestatus").alias("side"), F.col("l_suppkey").alias("position"), "l_partkey", "l_extendedprice")
     out = scoring.residue_first(cells, ["pair"], "side", "position", "l_extendedprice")
@@ -346,7 +360,37 @@ def logreg_oof(t):
     return out.select("doc_id", "fold", F.round("probability", 4).alias("probability"))
 
 
-@query()
+_STRENGTHS = ", ".join(f"coalesce(max({c}) FILTER (branch = '{b}'), 0) AS {b}_strength" for b, c in (("fragments", "top"), ("conservation", "best"), ("coupling", "top")))
+_COMPONENTS = ", ".join(f"{_percentile(f'{b}_strength', 'pair, side')} AS {b}_component" for b in ("fragments", "conservation", "coupling"))
+_ORDERED = ", ".join(f"o_{b} AS (SELECT (pair, side) AS g, {{'k': idx, 'h': {b}_component}} AS s, row_number() OVER (PARTITION BY pair, side ORDER BY {b}_component DESC, idx) AS o FROM comp WHERE {b}_component > 0), {greedy_sql.greedy(f'o_{b}', 'abs(a.k - r.s.k) <= 2', 3, f'c_{b}')}" for b in ("fragments", "conservation"))
+_REGIONS = ", ".join(f"coalesce((SELECT sum(c.s.h * (3.0::DOUBLE - abs(comp.idx - c.k)) / 3.0::DOUBLE) FROM c_{b} c WHERE c.g = (comp.pair, comp.side) AND abs(comp.idx - c.k) <= 2), 0) AS {b}_region" for b in ("fragments", "conservation"))
+
+
+@query(f"""
+    WITH RECURSIVE l AS (SELECT o_orderpriority AS pair, c_nationkey + 1 AS i, s_nationkey + 1 AS j, l_quantity, l_extendedprice, l_returnflag
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+    sums AS (SELECT pair, i, j, max(l_quantity) FILTER (l_returnflag = 'R') AS fragments, round(sum(l_quantity), 2) AS conservation, round(max(l_extendedprice), 2) AS coupling FROM l GROUP BY 1, 2, 3),
+    cells AS (SELECT * FROM (SELECT pair, i, j, 'fragments' AS branch, fragments::DOUBLE AS score FROM sums UNION ALL SELECT pair, i, j, 'conservation', conservation FROM sums UNION ALL SELECT pair, i, j, 'coupling', coupling FROM sums) WHERE score > 0),
+    best AS (SELECT *, row_number() OVER (PARTITION BY pair, branch ORDER BY score DESC, i, j) AS rn, max(score) OVER (PARTITION BY pair, branch) AS peak, cume_dist() OVER (PARTITION BY pair, branch ORDER BY score) AS pct FROM cells),
+    norm AS (SELECT pair, branch, i, j, CASE WHEN branch = 'coupling' THEN score / peak ELSE pct END AS score FROM best WHERE branch <> 'coupling' OR rn <= 40),
+    flat AS (SELECT pair, branch, 1 AS side, i AS idx, score FROM norm UNION ALL SELECT pair, branch, 2, j, score FROM norm),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY pair, side, idx, branch ORDER BY score DESC) AS rn FROM flat),
+    tops AS (SELECT pair, side, idx, branch, max(score) AS best, max(score) + (sum(score ORDER BY score DESC) FILTER (rn <= 3) - max(score)) * 0.5::DOUBLE AS top FROM ranked GROUP BY 1, 2, 3, 4),
+    every AS (SELECT pair, side, idx FROM (SELECT DISTINCT pair FROM cells), (VALUES (1), (2)) v(side), range(1, 26) r(idx)),
+    strength AS (SELECT every.pair, every.side, every.idx, {_STRENGTHS} FROM every LEFT JOIN tops USING (pair, side, idx) GROUP BY 1, 2, 3),
+    comp AS (SELECT *, {_COMPONENTS} FROM strength),
+    {_ORDERED},
+    regions AS (SELECT *, {_REGIONS} FROM comp),
+    spread AS (SELECT pair, count(*) / 625::DOUBLE AS density, (count(DISTINCT i) / 25::DOUBLE + count(DISTINCT j) / 25::DOUBLE) / 2 AS breadth FROM norm WHERE branch = 'fragments' GROUP BY 1),
+    trust AS (SELECT pair, greatest(0.05::DOUBLE, least(1, 0.75::DOUBLE * (1 - density) + 0.25::DOUBLE * greatest(0, least(1, (1 - breadth) / 0.5::DOUBLE)))) AS reliability FROM spread),
+    patched AS (SELECT regions.*, conservation_region + coalesce(reliability, 0) * fragments_region + 0.5::DOUBLE * least(conservation_region, coalesce(reliability, 0) * fragments_region) AS raw FROM regions LEFT JOIN trust USING (pair)),
+    patch AS (SELECT *, {_percentile("raw", "pair, side")} AS patch FROM patched),
+    guided AS (SELECT *, coupling_component * (0.25::DOUBLE + 0.75::DOUBLE * patch) AS led FROM patch),
+    bonus AS (SELECT *, {_percentile("led", "pair, side")} AS bonus FROM guided),
+    total AS (SELECT bonus.*, patch + 0.35::DOUBLE * least(1, coalesce(n, 0) / 40::DOUBLE) * bonus AS total FROM bonus LEFT JOIN (SELECT pair, count(*) AS n FROM norm WHERE branch = 'coupling' GROUP BY 1) USING (pair)),
+    done AS (SELECT *, {_percentile("total", "pair, side")} AS final FROM total)
+    SELECT pair, side, idx, round(fragments_component, 6) AS fragments_component, round(conservation_component, 6) AS conservation_component, round(coupling_component, 6) AS coupling_component, round(patch, 6) AS patch, round(final, 6) AS final,
+           row_number() OVER (PARTITION BY pair, side ORDER BY final DESC, idx) AS rank FROM done""")
 def pair_scores(t):
     """Order priorities as pairs, nations of customers and suppliers as their sides, three figures as branches."""
     lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))

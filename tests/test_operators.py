@@ -284,3 +284,15 @@ def test_parameters_and_streams(spark, tmp_path):
     q = rollup.windowed(stream, "1 hour").writeStream.outputMode("complete").format("memory").queryName("rolled").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.start, r.event_type, r.n) for r in spark.table("rolled").collect()} == {(r.start, r.event_type, r.n) for r in batch.collect()}
+
+
+def test_spread_percentile_equals_the_window(spark):
+    from ravelin.operators import windows
+
+    rows = [("a", 1.0, 1), ("a", 1.0, 2), ("a", 3.0, 3), ("a", -1.0, 4), ("a", None, 5), ("b", 2.0, 6), ("b", 0.0, 7)]
+    df = spark.createDataFrame(rows, "g string, v double, k int")
+    told = {f.__name__: {r.k: r.p for r in f(df, "v", ["g"], "p").collect()} for f in (windows.positive_percentile, windows.positive_percentile_spread)}
+    assert told["positive_percentile"] == told["positive_percentile_spread"] and told["positive_percentile"][1] == 2 / 3
+    odd = spark.createDataFrame([(None, 1.0, 1), ("a", 1.0, 2)], "g string, v double, k int")
+    assert {r.k: r.p for r in windows.positive_percentile_spread(odd, "v", ["g"], "p").collect()} == {1: 0.0, 2: 1.0}
+    assert windows.positive_percentile_spread(df.limit(0), "v", ["g"], "p").count() == 0
