@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,28 +72,63 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     return sizes.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(deal, f"`{group}` {kind}, fold long")
 
 
-def _scaled(df: DataFrame, features: Sequence[str], fit: Column) -> DataFrame:
-    """Adds `_f_` columns: median for nulls, then zero mean and unit variance (population), fitted on rows where `fit` holds."""
-    medians = df.where(fit).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in features]).first()
+def _scaled(df: DataFrame, features: Sequence[str], fit: Column, fill: str = "median") -> DataFrame:
+    """Adds `_f_` columns: median or zero for nulls, then zero mean and unit variance (population), fitted on rows where `fit` holds."""
+    if fill not in ("median", "zero"):
+        raise ValueError(f"fill is median or zero, not {fill}")
+    medians = df.where(fit).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in features]).first() if fill == "median" else dict.fromkeys(features)
     filled = df.withColumns({f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in features})
     stats = filled.where(fit).agg(*[F.avg(f"_f_{c}").alias(f"m_{c}") for c in features], *[F.stddev_pop(f"_f_{c}").alias(f"s_{c}") for c in features]).first()
     return filled.withColumns({f"_f_{c}": (F.col(f"_f_{c}") - F.lit(float(stats[f"m_{c}"] or 0.0))) / F.lit(float(stats[f"s_{c}"] or 1.0)) for c in features})
 
 
-def out_of_fold(df: DataFrame, folds: DataFrame, group: str, label: str, weight: str, features: Sequence[str], k: int, c: float = 1.0, max_iter: int = 100) -> DataFrame:
+def _one_hot(df: DataFrame, columns: Sequence[str], fit: Column) -> DataFrame:
+    """Adds `_c_` vectors: a place per value seen where `fit` holds, null as `missing`; values not seen there have zeros."""
+    text = df.withColumns({f"_t_{c}": F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in columns})
+    index = StringIndexer(inputCols=[f"_t_{c}" for c in columns], outputCols=[f"_i_{c}" for c in columns], handleInvalid="keep").fit(text.where(fit))
+    # The place of values not seen is the last one, which the encoder drops.
+    told = index.transform(text)
+    return OneHotEncoder(inputCols=[f"_i_{c}" for c in columns], outputCols=[f"_c_{c}" for c in columns], dropLast=True).fit(told).transform(told)
+
+
+def _with_ones(df: DataFrame, features: Sequence[str], fit: Column) -> DataFrame:
+    """Adds `_one`, a column of ones turned by 45 degrees with the first feature that varies.
+
+    Spark gives columns without variance no weight. Turning two columns changes
+    neither the squared norm nor the predictions, and both then vary.
+    """
+    spread = df.where(fit).agg(*[F.stddev_pop(f"_f_{c}").alias(c) for c in features]).first()
+    turned = next((f"_f_{c}" for c in features if (spread[c] or 0.0) > 0), None)
+    if turned is None:
+        raise ValueError("a penalised intercept takes a feature that varies")
+    half = F.lit(0.5**0.5)
+    return df.withColumns({turned: (F.col(turned) + 1) * half, "_one": (F.col(turned) - 1) * half})
+
+
+def out_of_fold(
+    df: DataFrame, folds: DataFrame, group: str, label: str, weight: str, features: Sequence[str], k: int, c: float = 1.0, max_iter: int = 100, categories: Sequence[str] = (), fill: str = "median", penalised_intercept: bool = False
+) -> DataFrame:
     """`df` with `fold` and `probability`, predicted by the model that did not see the row's fold.
 
-    The objective is C times the weighted loss plus half the squared norm, the
-    intercept free: Spark's regParam is 1 / (C * sum of weights).
+    The objective is C times the weighted loss plus half the squared norm:
+    Spark's regParam is 1 / (C * sum of weights). The intercept is free, or with
+    `penalised_intercept` the weight of a column of ones, which takes a feature
+    that varies. Columns that never vary in training get no weight. Nulls of `features`
+    are filled by `fill`, the training rows' median or zero; `categories` are
+    columns of names, one-hot and not scaled.
     """
     dealt = stage(attach(df, stage(folds, "folds"), [group], "inner"), "dealt") if k else df
     out = None
     for f in range(k):
-        scaled = _scaled(dealt, features, F.col("fold") != f)
-        rows = VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_x").transform(scaled)
+        fit = F.col("fold") != f
+        scaled = _scaled(dealt, features, fit, fill)
+        scaled = _with_ones(scaled, features, fit) if penalised_intercept else scaled
+        scaled = _one_hot(scaled, categories, fit) if categories else scaled
+        inputs = [*[f"_f_{n}" for n in features], *[f"_c_{n}" for n in categories], *(["_one"] if penalised_intercept else [])]
+        rows = VectorAssembler(inputCols=inputs, outputCol="_x").transform(scaled)
         train = rows.where(F.col("fold") != f)
         total = train.agg(F.sum(weight)).first()[0] or 1.0
-        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(train)
+        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, fitIntercept=not penalised_intercept, maxIter=max_iter, tol=1e-9).fit(train)
         told = model.transform(rows.where(F.col("fold") == f)).withColumn("probability", vector_to_array("probability")[1])
         part = told.select(*df.columns, "fold", "probability")
         out = part if out is None else out.unionByName(part)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.functions import identifiers, residues
-from ravelin.operators import aggregates, alignment, clusters, evidence, joins, ml, scoring, spatial
+from ravelin.operators import aggregates, alignment, clusters, evidence, feature_sets, joins, ml, scoring, spatial
 from ravelin.plans import greedy_sql
 from ravelin.plans.registry import query, r6
 from ravelin.plans.score_queries import _XYZ, _points
@@ -213,6 +213,28 @@ def feature_roles(t):
     return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+_FEATURES = {"conservation_component": "l_quantity", "conservation_strength_mean_3": "l_extendedprice", "fragments_strength": "l_discount", "patch_max_5": "l_tax", "coupling_component": "l_linenumber", "coupling_component_x_structure_relative_area": "l_suppkey", "structure_surface": "l_partkey", "label_native": "l_orderkey"}
+
+
+@query("""
+    WITH s(family, name, members) AS (VALUES
+        ('window', 'core', 'ac'), ('window', 'core_coupling', 'ace'), ('window', 'conservation', 'ab'), ('window', 'fragments', 'c'), ('window', 'conservation_fragments', 'abc'), ('window', 'conservation_fragments_composite', 'abcd'), ('window', 'all_branches', 'abcdef'),
+        ('structure', 'core', 'ac'), ('structure', 'core_coupling', 'ace'), ('structure', 'conservation', 'ab'), ('structure', 'all_branches', 'abcdef'), ('structure', 'exposure', 'g'), ('structure', 'structure', 'g'), ('structure', 'conservation_structure', 'abgf'), ('structure', 'branches_structure', 'abcdgf'), ('structure', 'all_branches_structure', 'abcdefg'),
+        ('ablation', 'full', 'abcdefg'), ('ablation', 'full_without_composite', 'abcefg'), ('ablation', 'without_coupling', 'abcdg'), ('ablation', 'without_direct_coupling', 'abcdfg'), ('ablation', 'without_fragments', 'abdefg'), ('ablation', 'without_fragments_and_composite', 'abefg'),
+        ('ablation', 'without_conservation', 'cdefg'), ('ablation', 'without_conservation_and_composite', 'cefg'), ('ablation', 'without_structure', 'abcde'), ('ablation', 'without_composite', 'abcefg'), ('ablation', 'only_conservation', 'ab'), ('ablation', 'only_fragments', 'c'), ('ablation', 'only_direct_coupling', 'e'),
+        ('ablation', 'only_coupling', 'ef'), ('ablation', 'only_structure_own', 'g'), ('ablation', 'only_structure', 'fg'), ('ablation', 'conservation_structure', 'abg'), ('ablation', 'without_coupling_and_composite', 'abcg'), ('ablation', 'evidence_without_structure', 'abcde'), ('ablation', 'structure_crossed_coupling', 'fg')),
+    m AS (SELECT avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_discount) AS c, avg(l_tax) AS d, avg(l_linenumber) AS e, avg(l_suppkey) AS f, avg(l_partkey) AS g FROM lineitem),
+    u AS (UNPIVOT m ON a, b, c, d, e, f, g INTO NAME letter VALUE mean)
+    SELECT family, name, count(*) AS n, round(sum(mean), 4) AS total FROM s JOIN u ON contains(members, letter) GROUP BY 1, 2""")
+def feature_set_means(t):
+    """Of each named set over line items taken as features: its columns, and the sum of their means."""
+    df = t("lineitem").select(*[F.col(c).cast("double").alias(n) for n, c in _FEATURES.items()])
+    rows = [(family, name, c) for family, sets in feature_sets.named_sets(df, []).items() for name, cs in sets.items() for c in cs]
+    means = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean")) for c in df.columns]).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+    sets = df.sparkSession.createDataFrame(rows, "family string, name string, column string")
+    return sets.join(means, "column").groupBy("family", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mean"), 4).alias("total"))
+
+
 def _structure(t) -> DataFrame:
     letter = F.element_at(F.array(*map(F.lit, _LETTERS)), (F.col("vec_id") % 21 + 1).cast("int"))
     return _points(t).withColumn("letter", letter).withColumn("b", F.lit(60.0) + F.col("vec_id") % 40).withColumn("base", F.col("x") + F.lit(0.1)).withColumn("surface", F.abs("z") >= 0.02)
