@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _own_dirs: dict[str, str] = {}
+#: Folders named and not yet removed, in order.
+_named: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,12 @@ def _hadoop(spark: SparkSession, path: str):
 def drop_path(spark: SparkSession, path: str) -> None:
     fs, p = _hadoop(spark, path)
     fs.delete(p, True)
+    _named.pop(path, None)
+
+
+def named_paths() -> list[str]:
+    """The folders that `new_path` named and that were not removed since."""
+    return list(_named)
 
 
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
@@ -55,6 +63,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder, removed when the program ends."""
     path = f"{shared_dir(spark)}/ravelin/{name}-{uuid.uuid4().hex}"
     atexit.register(_drop_at_exit, spark, path)
+    _named[path] = None
     return path
 
 
