@@ -12,6 +12,7 @@ only lists of numbers move.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import attach, drop_path, keep_rows, keyed, stage, staged
+from ravelin.llm.base import BROADCAST_ROWS, attach, drop_path, stage, staged
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 1024, 12, 16384
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -143,9 +144,28 @@ def find_copies(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", te
     )
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay, one of each group of equal texts, whatever rows share its id."""
-    rows, key = keyed(docs, "dedup-rows")
-    marks = find_copies(rows, row_col=key, **options)
-    gone = stage(marks.where("NOT kept").select(F.col(key).alias("_id")), "dedup-gone")
-    return keep_rows(rows, gone, "left_anti", key).drop(key)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
+    """The rows of `docs` that stay, one of each group of equal texts, whatever rows share its id.
+
+    Rows are told by id and digest of the normalised text, so no copy of the
+    table is kept; of rows that agree in both, any one stays. `docs` is read
+    again for the result, so its rows must not change from reading to reading.
+    Nulls, ties and empty tables are as in `find_copies`.
+    """
+    told = find_copies(docs, hash_bits, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    marks = stage(told.where("NOT kept OR n > 1"), "dedup-marks")
+    digest = f"_digest_{uuid.uuid4().hex}"
+    plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+    rows = docs.withColumn(digest, F.sha2(plain.cast("binary"), 256))
+
+    def joined(marked: DataFrame, how: str) -> DataFrame:
+        small = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
+        return rows.join(small, rows[id_col].cast("long").eqNullSafe(small["doc_id"]) & (rows[digest] == small["text_sha256"]), how)
+
+    out = joined(marks, "left_anti").drop(digest)
+    repeated = marks.where("kept")
+    if repeated.isEmpty():
+        return out
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = joined(repeated, "left_semi").groupBy(F.col(id_col).cast("long"), F.col(digest)).agg(F.first(F.struct(*columns)).alias("_one"))
+    return out.unionByName(one.select("_one.*"))
