@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import embedding_dedup, exact_dedup, mixing, packing, pii, sharding, simhash, token_output, toxicity, warc
+from ravelin.llm import centroids, embedding_dedup, exact_dedup, language, manifest, mixing, packing, pii, sharding, simhash, token_output, toxicity, twins, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,18 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -81,6 +93,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_token_output": op10_token_output,
+    "op11_language_id": op11_language_id,
+    "op12_manifest": op12_manifest,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -141,4 +156,6 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
         FROM k
     """,
+    "op12_manifest": twins.MANIFEST,
+    "op13_centroids": twins.CENTROIDS,
 }

@@ -48,7 +48,7 @@ def test_stages_do_what_they_say(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 0
-    assert corpus_pipeline.ORACLE_SQL is None and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert corpus_pipeline.ORACLE_SQL is None and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
 
 
 def test_stages_bear_awkward_rows(spark, awkward, empty):
