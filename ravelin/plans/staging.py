@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _own_dirs: dict[str, str] = {}
-#: Folders named and not yet removed, in order.
-_named: dict[str, None] = {}
+#: Folders named while the `settled` that runs in this thread builds its rows.
+_inner: ContextVar[list[str] | None] = ContextVar("inner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,12 +46,6 @@ def _hadoop(spark: SparkSession, path: str):
 def drop_path(spark: SparkSession, path: str) -> None:
     fs, p = _hadoop(spark, path)
     fs.delete(p, True)
-    _named.pop(path, None)
-
-
-def named_paths() -> list[str]:
-    """The folders that `new_path` named and that were not removed since."""
-    return list(_named)
 
 
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
@@ -63,7 +59,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder, removed when the program ends."""
     path = f"{shared_dir(spark)}/ravelin/{name}-{uuid.uuid4().hex}"
     atexit.register(_drop_at_exit, spark, path)
-    _named[path] = None
+    if (inner := _inner.get()) is not None:
+        inner.append(path)
     return path
 
 
@@ -79,6 +76,27 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return staged(df, name)[0]
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """`build()` staged, without the tables that were staged on the way to it.
+
+    For results that are small beside those tables: what reads the result later
+    needs none of them. Only folders named by this call are removed, so other
+    threads, and results that are not written yet, keep theirs.
+    """
+    outer, mine = _inner.get(), []
+    token = _inner.set(mine)
+    try:
+        out, path = staged(build(), name)
+    finally:
+        _inner.reset(token)
+    for other in mine:
+        if other != path:
+            drop_path(out.sparkSession, other)
+    if outer is not None:
+        outer.append(path)
+    return out
+
+
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", narrow: bool = True) -> DataFrame:
     """Join `small`, a staged table, to `big`.
 
