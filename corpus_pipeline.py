@@ -8,53 +8,26 @@ of `documents`.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ravelin.llm import exact_dedup, mixing, packing, simhash, toxicity
 from ravelin.llm.base import drop_path, new_path
 from ravelin.llm.queries import tokenizer_path
-from ravelin.plans.staging import named_paths
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Staged tables of the stage called last, by application and `sf_dir`.
-_left: dict[tuple[str, str], list[str]] = {}
 
-
-def _tidy(stage: Stage) -> Stage:
-    """The stage, which first removes the tables that the stage before it staged.
-
-    A stage's rows are written before the next one is called, so nothing reads
-    those tables any more, and disk holds one stage's tables at a time.
-    """
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir)
-        for path in _left.pop(key, []):
-            drop_path(spark, path)
-        before = set(named_paths())
-        out = stage(spark, docs, sf_dir)
-        _left[key] = [p for p in named_paths() if p not in before]
-        return out
-
-    return run_stage
-
-
-@_tidy
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on `labels`, rejects go."""
     return toxicity.filter_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@_tidy
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
     return exact_dedup.dedup(docs)
 
 
-@_tidy
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest doc_id stays.
 
@@ -65,13 +38,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.dedup(docs)
 
 
-@_tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out as their source's target asks."""
     return mixing.mix(docs)
 
 
-@_tidy
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of tokens; a repeated document is packed as often as it occurs."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.plans.staging import BROADCAST_ROWS, attach, drop_path, new_path, running_before, shared_dir, shuffle_width, stage, staged
+from ravelin.plans.staging import BROADCAST_ROWS, attach, drop_path, new_path, running_before, settled, shared_dir, shuffle_width, stage, staged
 
-__all__ = ["attach", "components", "drop_path", "file_store", "keep_rows", "keyed", "new_path", "running_before", "shared_dir", "shuffle_width", "stage", "staged"]
+__all__ = ["attach", "components", "drop_path", "file_store", "keep_rows", "keyed", "new_path", "running_before", "settled", "shared_dir", "shuffle_width", "stage", "staged"]
 
 
 def file_store(folder: str):
@@ -23,12 +24,24 @@ def file_store(folder: str):
 
 
 def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`docs` staged with a key of each row's own, and the column that holds it.
+    """`docs` with a key of each row's own, a long, and the column that holds it.
 
-    Ids may be null or repeated; what is decided for a row is joined by this key.
+    Ids may be null or repeated; what is decided for a row is joined by this
+    key. Rows of Parquet files are told by their file's number among the files
+    and their place in it, so they are read again and nothing is copied; other
+    rows are staged. Columns that the operators use themselves may clash with
+    none of these names.
     """
     key = f"_key_{uuid.uuid4().hex}"
-    return stage(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+    file, place = f"_file_{key}", f"_row_{key}"
+    try:
+        rows = docs.select(*[docs[f"`{c}`"] for c in docs.columns], F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:
+        return stage(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+    # A row per file.
+    files = stage(rows.select(file).distinct().withColumn(key, F.row_number().over(Window.orderBy(file)).cast("long")), f"{name}-files")
+    told = attach(rows, files, [file], "inner").withColumn(key, F.shiftleft(key, 40) + F.col(place))
+    return told.select(*[F.col(f"`{c}`") for c in docs.columns], key), key
 
 
 def keep_rows(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:

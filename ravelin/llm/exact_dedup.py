@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import BROADCAST_ROWS, attach, drop_path, stage, staged
+from ravelin.llm.base import BROADCAST_ROWS, attach, drop_path, settled, stage, staged
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 1024, 12, 16384
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -97,16 +97,16 @@ def _chunker(hash_bits: int):
 
 
 def recipes(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """(doc_id, text_sha256, recipe, and `row_col`, a long, if it is named): each row's list of verified chunk identifiers.
+    """(doc_id, text_sha256, recipe, `_row`, and `row_col`, a long, if it is named): each row's list of verified chunk identifiers.
 
-    Staged. `hash_bits` narrows the hash, so that tests can make it collide.
+    Staged; `_row` tells rows apart. `hash_bits` narrows the hash, so that tests can make it collide.
     """
     row = [row_col] if row_col else []
     cut, path = staged(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), *row).mapInArrow(_chunker(hash_bits), ", ".join([_SCHEMA, *[f"{c} long" for c in row]])), "chunks")
     pieces = cut.select(F.explode(F.arrays_zip("hashes", "chunks")).alias("p")).select(F.col("p.hashes").alias("h"), F.col("p.chunks").alias("c"))
     clashing = stage(pieces.distinct().groupBy("h").count().where("count > 1").select("h"), "clashes")
     if clashing.isEmpty():
-        out = stage(cut.select("doc_id", "text_sha256", F.transform("hashes", lambda h: F.struct(h.alias("h"), F.lit(0).alias("k"))).alias("recipe"), *row), "recipes")
+        out = stage(cut.select("doc_id", "text_sha256", F.transform("hashes", lambda h: F.struct(h.alias("h"), F.lit(0).alias("k"))).alias("recipe"), F.monotonically_increasing_id().alias("_row"), *row), "recipes")
     else:
         # Distinct contents under one hash are told apart by their rank.
         known = attach(pieces, clashing, ["h"], "inner").distinct()
@@ -115,7 +115,7 @@ def recipes(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", text_c
         flat = rows.select("_row", *row, "doc_id", "text_sha256", F.posexplode(F.arrays_zip("hashes", "chunks")).alias("pos", "p")).select("_row", *row, "doc_id", "text_sha256", "pos", F.col("p.hashes").alias("h"), F.col("p.chunks").alias("c"))
         flat = attach(flat, known, ["h", "c"], narrow=False).select("_row", *row, "doc_id", "text_sha256", F.struct("pos", "h", F.coalesce("k", F.lit(0)).alias("k")).alias("s"))
         lists = flat.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list("s")).alias("l"), *[F.first(c).alias(c) for c in row])
-        out = stage(lists.select("doc_id", "text_sha256", F.transform("l", lambda s: F.struct(s["h"].alias("h"), s["k"].alias("k"))).alias("recipe"), *row), "recipes")
+        out = stage(lists.select("doc_id", "text_sha256", F.transform("l", lambda s: F.struct(s["h"].alias("h"), s["k"].alias("k"))).alias("recipe"), "_row", *row), "recipes")
     drop_path(docs.sparkSession, path)
     return out
 
@@ -129,7 +129,7 @@ def find_copies(docs: DataFrame, hash_bits: int = 64, id_col: str = "doc_id", te
     of its group is null; keep_id is null then. An empty table gives no rows;
     other columns are not read.
     """
-    rows = stage(recipes(docs, hash_bits, id_col, text_col, row_col).withColumn("_row", F.monotonically_increasing_id()), "recipe-rows")
+    rows = recipes(docs, hash_bits, id_col, text_col, row_col)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     groups = stage(rows.groupBy("recipe").agg(F.min(order).alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "copies")
     joined = attach(rows, groups, ["recipe"], narrow=False)
@@ -152,8 +152,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_
     again for the result, so its rows must not change from reading to reading.
     Nulls, ties and empty tables are as in `find_copies`.
     """
-    told = find_copies(docs, hash_bits, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    marks = stage(told.where("NOT kept OR n > 1"), "dedup-marks")
+    told = lambda: find_copies(docs, hash_bits, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    marks = settled(lambda: told().where("NOT kept OR n > 1"), "dedup-marks")
     digest = f"_digest_{uuid.uuid4().hex}"
     plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
     rows = docs.withColumn(digest, F.sha2(plain.cast("binary"), 256))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import attach, keyed, running_before, stage
+from ravelin.llm.base import attach, keyed, running_before, settled, stage
 
 #: Weights of the sources in order of name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Each row gets its own copies, also where rows share an id or have none.
     """
     rows, key = keyed(docs, "mix-docs")
-    copies = stage(plan(rows, row_col=key, **options).where("copies > 0").select(F.col(key).alias("_id"), F.col("copies").alias("_copies")), "mix-copies")
+    copies = settled(lambda: plan(rows, row_col=key, **options).where("copies > 0").select(F.col(key).alias("_id"), F.col("copies").alias("_copies")), "mix-copies")
     # Columns are taken from their own tables, whatever else `docs` is called by.
     joined = rows.join(copies, rows[key] == copies["_id"], "inner")
     repeat = F.explode(F.sequence(F.lit(1), copies["_copies"].cast("int")))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import attach, components, keep_rows, keyed, stage
+from ravelin.llm.base import attach, components, keep_rows, keyed, settled, stage
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Fingerprints that a shard should hold: SHARD, or SHARD_ROOT times the root of
@@ -220,6 +220,5 @@ def find_groups(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: i
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """One row of each component: that with the smallest id; one with a null id only if no id of the component is known."""
     rows, key = keyed(docs, "near-rows")
-    marks = find_groups(rows, row_col=key, **options)
-    gone = stage(marks.where("NOT kept").select(F.col(key).alias("_id")), "near-gone")
+    gone = settled(lambda: find_groups(rows, row_col=key, **options).where("NOT kept").select(F.col(key).alias("_id")), "near-gone")
     return keep_rows(rows, gone, "left_anti", key).drop(key)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.base import keep_rows, keyed, stage
+from ravelin.llm.base import keep_rows, keyed, settled, stage
 from ravelin.llm.tokens import groups
 
 ORDER, DISCOUNT, WINDOW, CUT = 5, 0.75, 32, 0.3
@@ -285,6 +285,5 @@ def score(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC, ordinary_
 def filter_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, each by its own text, whatever rows share its id."""
     rows, key = keyed(docs, "toxicity-rows")
-    marks = score(rows, labels, row_col=key, **options)
-    gone = stage(marks.where("predicted = 1").select(F.col(key).alias("_id")), "toxic")
+    gone = settled(lambda: score(rows, labels, row_col=key, **options).where("predicted = 1").select(F.col(key).alias("_id")), "toxic")
     return keep_rows(rows, gone, "left_anti", key).drop(key)
