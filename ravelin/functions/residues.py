@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Residue names, property classes, and largest accessible areas in square angstroms.
+# Residue names, property classes, largest accessible areas in square angstroms, and the published hydropathy index.
 ONE_LETTER = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M"}
 CHARGE = {"K": 1, "R": 1, "H": 1, "D": -1, "E": -1}
 HYDROPHOBIC, POLAR, AROMATIC = "AVILMFWYC", "STNQYCH", "FYW"

@@ -1,125 +1,47 @@
-"""Named feature sets: which columns a model may see, told by their names.
+"""Sets of columns that a model may see, generated from blocks that the caller declares.
 
-A column belongs to blocks by its name; a set is a choice of blocks. Names
-follow the scores of `ravelin.plans.pair_scoring`: `conservation_component`,
-its windows `conservation_component_<window>`, products `<a>_x_<b>`, and
-columns of structures `structure_<property>`.
+A block is a name and a test of a column's name. The product of two columns is
+named with both, joined by a mark, and belongs to the blocks of each factor.
+From the blocks follow the sets of an ablation by rule: everything, every block
+alone, everything without it, and unions that are asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+Blocks = Mapping[str, Callable[[str], bool]]
 
-from ravelin.operators.ml import safe_features
 
-_CROSSED = ("_x_conservation", "_x_fragments", "_x_patch", "_x_structure")
+def starting(**prefixes: str | tuple[str, ...]) -> dict[str, Callable[[str], bool]]:
+    """Blocks told by how a column's name begins."""
+    return {name: (lambda c, p=prefix: c.startswith(p)) for name, prefix in prefixes.items()}
 
-#: Blocks of the ablation study. A product belongs to the blocks of both its factors.
-BLOCKS: dict[str, Callable[[str], bool]] = {
-    "conservation": lambda c: "conservation" in c,
-    "fragments": lambda c: "fragments" in c,
-    "coupling": lambda c: "coupling" in c,
-    "direct_coupling": lambda c: "coupling" in c and not any(x in c for x in _CROSSED),
-    "crossed_coupling": lambda c: "coupling" in c and any(x in c for x in _CROSSED),
-    "structure": lambda c: c.startswith("structure_") or "_x_structure_" in c,
-    "structure_own": lambda c: c.startswith("structure_"),
-    "composite": lambda c: c == "patch" or c.startswith("patch_"),
-}
 
-#: Ablation: (columns of any of these blocks, all if empty; without those of these).
-ABLATIONS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "full": ((), ()),
-    "full_without_composite": ((), ("composite",)),
-    "without_coupling": ((), ("coupling",)),
-    "without_direct_coupling": ((), ("direct_coupling",)),
-    "without_fragments": ((), ("fragments",)),
-    "without_fragments_and_composite": ((), ("fragments", "composite")),
-    "without_conservation": ((), ("conservation",)),
-    "without_conservation_and_composite": ((), ("conservation", "composite")),
-    "without_structure": ((), ("structure",)),
-    "without_composite": ((), ("composite",)),
-    "only_conservation": (("conservation",), ()),
-    "only_fragments": (("fragments",), ()),
-    "only_direct_coupling": (("direct_coupling",), ()),
-    "only_coupling": (("coupling",), ()),
-    "only_structure_own": (("structure_own",), ()),
-    "only_structure": (("structure",), ()),
-    "conservation_structure": (("conservation", "structure_own"), ()),
-    "without_coupling_and_composite": ((), ("coupling", "composite")),
-    "evidence_without_structure": ((), ("structure",)),
-    "structure_crossed_coupling": (("structure", "crossed_coupling"), ()),
-}
+def blocks_of(column: str, blocks: Blocks, cross: str | None = None) -> frozenset[str]:
+    """The blocks of a column, of each factor if it is a product; empty if none claims it."""
+    factors = column.split(cross) if cross else [column]
+    return frozenset(name for name, test in blocks.items() if any(test(f) for f in factors))
 
-_CORE = ("conservation_component", "conservation_strength", "fragments_strength", "fragments_specificity", "fragments_component", "patch")
 
-#: Scores of a branch, each with its windows.
-_BRANCH = {
-    "conservation": ("conservation_component", "conservation_strength"),
-    "fragments": ("fragments_component", "fragments_strength", "fragments_specificity"),
-    "composite": ("patch",),
-    "coupling": ("coupling_anchor", "coupling_component"),
-}
+def generate(columns: Sequence[str], blocks: Blocks, unions: Iterable[Sequence[str]] = (), cross: str | None = None) -> dict[str, list[str]]:
+    """Set to its columns, in the order of `columns`: `all`, `only b`, `without b`, and `a+b` for each union.
 
-#: Sets of the window models and of the structure models, as parts of `_part`.
-WINDOW_SETS: dict[str, tuple[str, ...]] = {
-    "core": ("core",),
-    "core_coupling": ("core", "coupling_core"),
-    "conservation": ("conservation",),
-    "fragments": ("fragments",),
-    "conservation_fragments": ("conservation", "fragments"),
-    "conservation_fragments_composite": ("conservation", "fragments", "composite"),
-    "all_branches": ("conservation", "fragments", "composite", "coupling"),
-}
-STRUCTURE_SETS: dict[str, tuple[str, ...]] = {
-    "core": ("core",),
-    "core_coupling": ("core", "coupling_core"),
-    "conservation": ("conservation",),
-    "all_branches": ("conservation", "fragments", "composite", "coupling"),
-    "exposure": ("exposure",),
-    "structure": ("structure",),
-    "conservation_structure": ("conservation", "structure", "by_exposure"),
-    "branches_structure": ("conservation", "fragments", "composite", "structure", "by_exposure"),
-    "all_branches_structure": ("conservation", "fragments", "composite", "coupling", "structure", "by_exposure"),
-}
-_EXPOSURE = ("structure_area", "structure_relative_area", "structure_surface", "structure_buried", "structure_intermediate")
-
-
-def _part(name: str, columns: Sequence[str]) -> list[str]:
-    if name == "core":
-        return [c for c in columns if c in _CORE]
-    if name == "coupling_core":
-        return [c for c in columns if c in _BRANCH["coupling"]]
-    if name == "exposure":
-        return [c for c in columns if c.startswith(_EXPOSURE)]
-    if name == "structure":
-        return [c for c in columns if c.startswith("structure_")]
-    if name == "by_exposure":
-        return [c for c in columns if c.endswith("_x_structure_relative_area")]
-    own = _BRANCH[name]
-    return [c for c in columns if c in own or c.startswith(tuple(f"{o}_" for o in own))]
-
-
-def ablation_sets(columns: Sequence[str]) -> dict[str, list[str]]:
-    """Ablation to its columns in the table's order; sets without a column are left out."""
-    def chosen(take: Sequence[str], drop: Sequence[str]) -> list[str]:
-        return [c for c in columns if (not take or any(BLOCKS[b](c) for b in take)) and not any(BLOCKS[b](c) for b in drop)]
-
-    return {name: cs for name, rule in ABLATIONS.items() if (cs := chosen(*rule))}
-
-
-def model_sets(columns: Sequence[str], sets: dict[str, tuple[str, ...]]) -> dict[str, list[str]]:
-    """Set to its columns, each once, part by part; a set may be empty."""
-    return {name: list(dict.fromkeys(c for part in parts for c in _part(part, columns))) for name, parts in sets.items()}
-
-
-def named_sets(df: DataFrame, keys: Sequence[str]) -> dict[str, dict[str, list[str]]]:
-    """The window, structure and ablation sets over the numeric columns that may be features."""
-    safe = safe_features(df, keys)
-    return {"window": model_sets(safe, WINDOW_SETS), "structure": model_sets(safe, STRUCTURE_SETS), "ablation": ablation_sets(safe)}
-
-
-def blocks_of(column: str) -> list[str]:
-    """Blocks that describe a column; `other` if none does."""
-    return [b for b in ("conservation", "fragments", "coupling", "structure", "composite") if BLOCKS[b](column)] or ["other"]
+    `only` and unions hold columns all of whose blocks are among those named,
+    so a product is in only if both factors are; `without` drops every column
+    that has the block. Columns that no block claims are in `all` and `without`.
+    A block that nothing belongs to gives no set, nor does a set without a
+    column; an unknown block in a union is an error.
+    """
+    owned = {c: blocks_of(c, blocks, cross) for c in columns}
+    used = [b for b in blocks if any(b in o for o in owned.values())]
+    rules: dict[str, Callable[[frozenset[str]], bool]] = {"all": lambda o: True}
+    for b in used:
+        rules[f"only {b}"] = lambda o, b=b: o == {b}
+        rules[f"without {b}"] = lambda o, b=b: b not in o
+    for union in unions:
+        if missing := set(union) - set(blocks):
+            raise ValueError(f"no blocks {', '.join(sorted(missing))}")
+        rules["+".join(union)] = lambda o, u=frozenset(union): bool(o) and o <= u
+    sets = {name: [c for c in columns if rule(owned[c])] for name, rule in rules.items()}
+    return {name: cs for name, cs in sets.items() if cs}

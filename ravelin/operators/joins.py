@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,12 +38,19 @@ def require_complete(df: DataFrame, reference: DataFrame, on: Sequence[str]) ->
 
 
 def audit(left: DataFrame, right: DataFrame, on: Sequence[str], value: str, tolerance: float = 1e-9) -> DataFrame:
-    """Full outer comparison by key: both values and matched, missing_right, extra_right or mismatch."""
-    l = left.select(*on, F.col(value).alias("left_value"), F.lit(True).alias("_l"))
-    r = right.select(*on, F.col(value).alias("right_value"), F.lit(True).alias("_r"))
+    """One row per key of either side: both values and matched, missing_right, extra_right, mismatch or duplicate.
+
+    A key that occurs more than once on a side is a duplicate, and its value
+    there is null. Sides are counted before they are joined, so no repeated key
+    multiplies rows. Null keys are compared like any other.
+    """
+    one = lambda df, side: df.groupBy(*on).agg(F.when(F.count(F.lit(1)) == 1, F.first(value)).alias(f"{side}_value"), F.count(F.lit(1)).alias(f"_{side}")).select(*[F.col(c).alias(f"_{side}_{c}") for c in on], f"{side}_value", f"_{side}")
+    equal = reduce(lambda a, b: a & b, [F.col(f"_left_{c}").eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    rows = one(left, "left").join(one(right, "right"), equal, "full_outer")
     same = F.coalesce(F.abs(F.col("left_value") - F.col("right_value")) <= tolerance, F.col("left_value").isNull() & F.col("right_value").isNull())
-    status = F.when(F.col("_r").isNull(), "missing_right").when(F.col("_l").isNull(), "extra_right").when(same, "matched").otherwise("mismatch")
-    return l.join(r, list(on), "full_outer").withColumn("status", status).drop("_l", "_r")
+    many = (F.coalesce("_left", F.lit(0)) > 1) | (F.coalesce("_right", F.lit(0)) > 1)
+    status = F.when(many, "duplicate").when(F.col("_right").isNull(), "missing_right").when(F.col("_left").isNull(), "extra_right").when(same, "matched").otherwise("mismatch")
+    return rows.select(*[F.coalesce(f"_left_{c}", f"_right_{c}").alias(c) for c in on], "left_value", "right_value", status.alias("status"))
 
 
 def cascade(df: DataFrame, lookups: Sequence[tuple[DataFrame, Sequence[str], str]], out: str) -> DataFrame:

@@ -115,15 +115,19 @@ def double_lookup(t):
 
 
 @query("""
-    WITH l AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders),
-    r AS (SELECT l_orderkey AS k, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS v FROM lineitem GROUP BY 1)
+    WITH o AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders),
+    s AS (SELECT l_orderkey AS k, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS v FROM lineitem GROUP BY 1),
+    l AS (SELECT k, CASE WHEN count(*) = 1 THEN min(v) END AS v, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT * FROM o WHERE k % 70 = 0) GROUP BY 1),
+    r AS (SELECT k, CASE WHEN count(*) = 1 THEN min(v) END AS v, count(*) AS n FROM (SELECT * FROM s UNION ALL SELECT k, v + 1 FROM s WHERE k % 50 = 0) GROUP BY 1)
     SELECT coalesce(l.k, r.k) AS k, l.v AS left_value, r.v AS right_value,
-           CASE WHEN r.k IS NULL THEN 'missing_right' WHEN l.k IS NULL THEN 'extra_right' WHEN abs(l.v - r.v) <= 0.01 THEN 'matched' ELSE 'mismatch' END AS status
+           CASE WHEN l.n > 1 OR r.n > 1 THEN 'duplicate' WHEN r.k IS NULL THEN 'missing_right' WHEN l.k IS NULL THEN 'extra_right' WHEN abs(l.v - r.v) <= 0.01 THEN 'matched' ELSE 'mismatch' END AS status
     FROM l FULL JOIN r ON l.k = r.k""")
 def audit_full_outer(t):
+    """Orders against their lines; some keys occur twice on either side."""
     orders = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
     lines = t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 2).alias("v"))
-    return joins.audit(orders, lines, ["k"], "v", 0.01)
+    twice = lambda df, n, v: df.unionByName(df.where(F.col("k") % n == 0).withColumn("v", v))
+    return joins.audit(twice(orders, 70, F.col("v")), twice(lines, 50, F.col("v") + 1), ["k"], "v", 0.01)
 
 
 @query("""

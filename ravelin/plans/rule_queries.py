@@ -213,26 +213,31 @@ def feature_roles(t):
     return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-_FEATURES = {"conservation_component": "l_quantity", "conservation_strength_mean_3": "l_extendedprice", "fragments_strength": "l_discount", "patch_max_5": "l_tax", "coupling_component": "l_linenumber", "coupling_component_x_structure_relative_area": "l_suppkey", "structure_surface": "l_partkey", "label_native": "l_orderkey"}
+#: Two tables as features: name to expression, blocks by how names begin, unions that are asked for.
+_FEATURES = {
+    "lineitem": ({"size_quantity": "l_quantity", "size_price": "l_extendedprice", "rate_discount": "l_discount", "rate_tax": "l_tax", "rate_discount_x_size_quantity": "l_discount * l_quantity", "line": "l_linenumber"}, {"size": "size_", "rate": "rate_", "absent": "absent_"}, [("size", "rate")]),
+    "orders": ({"who_customer": "o_custkey", "price_total": "o_totalprice", "time_month": "month(o_orderdate)", "time_month_x_price_total": "month(o_orderdate) * o_totalprice"}, {"who": "who_", "price": "price_", "time": "time_"}, [("who", "price"), ("price", "time")]),
+}
 
 
 @query("""
-    WITH s(family, name, members) AS (VALUES
-        ('window', 'core', 'ac'), ('window', 'core_coupling', 'ace'), ('window', 'conservation', 'ab'), ('window', 'fragments', 'c'), ('window', 'conservation_fragments', 'abc'), ('window', 'conservation_fragments_composite', 'abcd'), ('window', 'all_branches', 'abcdef'),
-        ('structure', 'core', 'ac'), ('structure', 'core_coupling', 'ace'), ('structure', 'conservation', 'ab'), ('structure', 'all_branches', 'abcdef'), ('structure', 'exposure', 'g'), ('structure', 'structure', 'g'), ('structure', 'conservation_structure', 'abgf'), ('structure', 'branches_structure', 'abcdgf'), ('structure', 'all_branches_structure', 'abcdefg'),
-        ('ablation', 'full', 'abcdefg'), ('ablation', 'full_without_composite', 'abcefg'), ('ablation', 'without_coupling', 'abcdg'), ('ablation', 'without_direct_coupling', 'abcdfg'), ('ablation', 'without_fragments', 'abdefg'), ('ablation', 'without_fragments_and_composite', 'abefg'),
-        ('ablation', 'without_conservation', 'cdefg'), ('ablation', 'without_conservation_and_composite', 'cefg'), ('ablation', 'without_structure', 'abcde'), ('ablation', 'without_composite', 'abcefg'), ('ablation', 'only_conservation', 'ab'), ('ablation', 'only_fragments', 'c'), ('ablation', 'only_direct_coupling', 'e'),
-        ('ablation', 'only_coupling', 'ef'), ('ablation', 'only_structure_own', 'g'), ('ablation', 'only_structure', 'fg'), ('ablation', 'conservation_structure', 'abg'), ('ablation', 'without_coupling_and_composite', 'abcg'), ('ablation', 'evidence_without_structure', 'abcde'), ('ablation', 'structure_crossed_coupling', 'fg')),
-    m AS (SELECT avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_discount) AS c, avg(l_tax) AS d, avg(l_linenumber) AS e, avg(l_suppkey) AS f, avg(l_partkey) AS g FROM lineitem),
-    u AS (UNPIVOT m ON a, b, c, d, e, f, g INTO NAME letter VALUE mean)
-    SELECT family, name, count(*) AS n, round(sum(mean), 4) AS total FROM s JOIN u ON contains(members, letter) GROUP BY 1, 2""")
+    WITH s(source, name, members) AS (VALUES
+        ('lineitem', 'all', 'abcdef'), ('lineitem', 'only size', 'ab'), ('lineitem', 'without size', 'cdf'), ('lineitem', 'only rate', 'cd'), ('lineitem', 'without rate', 'abf'), ('lineitem', 'size+rate', 'abcde'),
+        ('orders', 'all', 'ghij'), ('orders', 'only who', 'g'), ('orders', 'without who', 'hij'), ('orders', 'only price', 'h'), ('orders', 'without price', 'gi'), ('orders', 'only time', 'i'), ('orders', 'without time', 'gh'), ('orders', 'who+price', 'gh'), ('orders', 'price+time', 'hij')),
+    m AS (SELECT avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_discount) AS c, avg(l_tax) AS d, avg(l_discount * l_quantity) AS e, avg(l_linenumber) AS f FROM lineitem),
+    n AS (SELECT avg(o_custkey) AS g, avg(o_totalprice) AS h, avg(month(o_orderdate)) AS i, avg(month(o_orderdate) * o_totalprice) AS j FROM orders),
+    u AS (SELECT * FROM (UNPIVOT m ON a, b, c, d, e, f INTO NAME letter VALUE mean) UNION ALL SELECT * FROM (UNPIVOT n ON g, h, i, j INTO NAME letter VALUE mean))
+    SELECT source, name, count(*) AS n, round(sum(mean), 3) AS total FROM s JOIN u ON contains(members, letter) GROUP BY 1, 2""")
 def feature_set_means(t):
-    """Of each named set over line items taken as features: its columns, and the sum of their means."""
-    df = t("lineitem").select(*[F.col(c).cast("double").alias(n) for n, c in _FEATURES.items()])
-    rows = [(family, name, c) for family, sets in feature_sets.named_sets(df, []).items() for name, cs in sets.items() for c in cs]
-    means = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean")) for c in df.columns]).alias("all")).select(F.explode("all").alias("x")).select("x.*")
-    sets = df.sparkSession.createDataFrame(rows, "family string, name string, column string")
-    return sets.join(means, "column").groupBy("family", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mean"), 4).alias("total"))
+    """Of each generated set over two tables taken as features: its columns, and the sum of their means."""
+    out = []
+    for source, (features, prefixes, unions) in _FEATURES.items():
+        df = t(source).select(*[F.expr(e).cast("double").alias(n) for n, e in features.items()])
+        sets = feature_sets.generate(ml.safe_features(df, []), feature_sets.starting(**prefixes), unions, cross="_x_")
+        means = df.agg(*[F.avg(c).alias(c) for c in df.columns])
+        rows = [F.struct(F.lit(name).alias("name"), F.lit(len(cs)).cast("long").alias("n"), F.round(sum(F.col(c) for c in cs), 3).alias("total")) for name, cs in sets.items()]
+        out.append(means.select(F.lit(source).alias("source"), F.inline(F.array(*rows))))
+    return out[0].unionByName(out[1])
 
 
 def _structure(t) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions import residues
 from ravelin.operators import aggregates, evidence
 from ravelin.plans import universe
 from ravelin.plans.registry import query, r6
-from ravelin.plans.staging import new_path
+from ravelin.plans.staging import drop_path, file_store, new_path, staged
 from ravelin.sources import archives, sinks, text
 
 
@@ -37,24 +39,46 @@ def _table(df: DataFrame, name: str, **options) -> str:
 
 
 def _zips(df: DataFrame, key: str, name: str) -> str:
-    """A ZIP file for each key, with members of (member, line) rows in order of `n`."""
-    path = new_path(df.sparkSession, name)
-    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """ZIP files of (member, n, line) rows: rows of a key go to one of many tasks, a task writes one file.
+
+    A task streams its rows, sorted by member, into a file named by its
+    attempt; only files of finished tasks are listed and moved together, so a
+    repeated task leaves nothing that is read.
+    """
+    spark = df.sparkSession
+    path, drafts = new_path(spark, name), new_path(spark, f"{name}-drafts")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for p in (path, drafts):
+        fs.mkdirs(place(p))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zipfile
 
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path)
-        with store.open_output_stream(f"{root}/{pdf[key].iloc[0]}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for member, rows in pdf.sort_values(["member", "n"]).groupby("member"):
-                z.writestr(member, "\n".join(rows["line"]) + "\n")
-        return pdf[[key]].head(1)
-
-    kind = dict(df.dtypes)[key]
-    df.groupBy(key).applyInPandas(pack, f"`{key}` {kind}").write.format("noop").mode("overwrite").save()
+        from pyspark import TaskContext
+
+        store, root = file_store(drafts)
+        file, z, out, member = f"{uuid.uuid4().hex}-{TaskContext.get().taskAttemptId()}.zip", None, None, None
+        with contextlib.ExitStack() as held:
+            for pdf in batches:
+                for name_, line in zip(pdf["member"], pdf["line"], strict=True):
+                    if z is None:
+                        z = held.enter_context(zipfile.ZipFile(held.enter_context(store.open_output_stream(f"{root}/{file}")), "w", zipfile.ZIP_DEFLATED))
+                    if name_ != member:
+                        if out:
+                            out.close()
+                        member, out = name_, z.open(name_, "w", force_zip64=True)
+                    out.write(f"{line}\n".encode())
+            if out:
+                out.close()
+        if z:
+            yield pd.DataFrame({"file": [file]})
+
+    dealt = df.repartition(F.col(key), F.pmod(F.xxhash64("line"), F.lit(8))).sortWithinPartitions("member", "n").select("member", "line")
+    done, index = staged(dealt.mapInPandas(pack, "file string"), f"{name}-index")
+    for row in done.collect():  # a row per task
+        fs.rename(place(f"{drafts}/{row['file']}"), place(f"{path}/{row['file']}"))
+    drop_path(spark, index)
     return path
 
 
@@ -172,7 +196,7 @@ def zip_molecular(t):
     data = li.select((F.col("l_suppkey") % 8).alias("k"), F.lit("data.txt").alias("member"), F.monotonically_increasing_id().alias("n"), _molecular(t).alias("line"))
     notes = data.groupBy("k").agg(F.lit("readme.txt").alias("member"), F.lit(0).cast("long").alias("n"), F.lit("\t" * 40).alias("line"))
     zipped = text.zipped_rows(li.sparkSession, _zips(data.unionByName(notes), "k", "molecular"), ["readme", "schema", "negative"], 36, first_only=True)
-    rows = universe.molecular(zipped.withColumn("n", F.col("n") + F.abs(F.xxhash64("path")) % 1000000 * 10000000))
+    rows = universe.molecular(zipped)
     return universe.accounting(rows, universe.evidence(rows))
 
 
@@ -193,17 +217,32 @@ def zip_experimental(t):
     return universe.pairs(universe.evidence(universe.experimental(zipped))).select("p1", "p2", "support", F.array_join("method_ids", ";").alias("method_ids"))
 
 
-def _atom_lines(v: DataFrame):
+def _atom_lines(v: DataFrame, number: Column | None = None):
     x = [F.col("embedding")[i].cast("double") * 10 for i in range(3)]
-    return F.format_string("ATOM  %5d  CA %sALA A%4d    %8.3f%8.3f%8.3f  1.00 10.00           C", F.col("vec_id") % 100000, F.when(F.col("vec_id") % 9 == 0, "B").otherwise(" "), F.col("vec_id") % 10000, *x)
+    return F.format_string("ATOM  %5d  CA %sALA A%4d    %8.3f%8.3f%8.3f  1.00 10.00           C", F.col("vec_id") % 100000, F.when(F.col("vec_id") % 9 == 0, "B").otherwise(" "), F.col("vec_id") % 10000 if number is None else number, *x)
+
+
+def _strangers(v: DataFrame) -> DataFrame:
+    """What real files hold besides: after some atoms a repeated one, a water, a metal, a hydrogen, a modified residue."""
+    more = [("ATOM  ", " CA  ", "ALA", F.col("k"), "C", 5), ("HETATM", " O   ", "HOH", F.col("k"), "O", 7), ("HETATM", "ZN   ", " ZN", F.col("k"), "ZN", 11), ("ATOM  ", " H   ", "ALA", F.col("k"), "H", 3), ("HETATM", " CA  ", "MSE", F.col("k") + 5000, "C", 13)]
+    lines = [F.when(F.col("vec_id") % n == 0, F.format_string(f"{kind}%5d {atom}{name} A%4d    %8.3f%8.3f%8.3f  1.00 10.00          %2s", F.col("vec_id") % 100000, number, F.lit(9.0), F.lit(9.0), F.lit(9.0), F.lit(element))) for kind, atom, name, number, element, n in more]
+    return v.select("file", "vec_id", F.posexplode(F.array(*lines)).alias("o", "line")).where("line IS NOT NULL").withColumn("o", F.col("o") + 1)
 
 
 @query("""
-    SELECT vec_id % 10000 AS number, 'A' AS chain, 'A' AS letter, round(embedding[1]::DOUBLE * 10, 3) AS x, round(embedding[2]::DOUBLE * 10, 3) AS y FROM embeddings WHERE vec_id % 9 <> 0""")
+    WITH v AS (SELECT vec_id, vec_id % 1000 AS k, embedding FROM embeddings)
+    SELECT k AS number, 'A' AS chain, 'A' AS letter, round(embedding[1]::DOUBLE * 10, 3) AS x, round(embedding[2]::DOUBLE * 10, 3) AS y FROM v WHERE vec_id % 9 <> 0
+    UNION ALL SELECT k + 5000, 'A', 'M', 9.0, 9.0 FROM v WHERE vec_id % 13 = 0
+    UNION ALL SELECT k, 'A', 'A', 9.0, 9.0 FROM v WHERE vec_id % 45 = 0""")
 def atom_scan(t):
-    v = t("embeddings")
-    rows = text.residues(text.atoms(v.sparkSession, _lines(v, _atom_lines(v), "atoms")))
-    return rows.select(F.col("number").cast("long").alias("number"), "chain", residues.one_letter(F.col("name")).alias("letter"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    """Residues of files of 1000 atoms each; where the atom is an alternate, the line that repeats it counts."""
+    v = t("embeddings").withColumn("file", F.floor(F.col("vec_id") / 1000)).withColumn("k", F.col("vec_id") % 1000)
+    own = v.select("file", "vec_id", F.lit(0).alias("o"), _atom_lines(v, F.col("k")).alias("line"))
+    path = new_path(v.sparkSession, "atoms")
+    rows = own.unionByName(_strangers(v)).repartition("file").sortWithinPartitions("file", "vec_id", "o")
+    rows.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    found = text.residues(text.atoms(v.sparkSession, f"{path}/*/*"))
+    return found.select(F.col("number").cast("long").alias("number"), "chain", residues.one_letter(F.col("name")).alias("letter"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("""
@@ -238,13 +277,20 @@ def area_scan(t):
 
 
 @query("""
-    SELECT p_partkey % 10000 AS number, CASE p_partkey % 4 WHEN 0 THEN 'helix' WHEN 1 THEN 'sheet' ELSE 'coil' END AS state, (p_size % 1000)::DOUBLE AS area FROM part WHERE p_partkey % 13 <> 0""")
+    SELECT p_partkey % 10000 AS number, CASE p_partkey % 4 WHEN 0 THEN 'helix' WHEN 1 THEN 'sheet' ELSE 'coil' END AS state, (p_size % 1000)::DOUBLE AS area,
+           CASE p_partkey % 4 WHEN 0 THEN 'H' WHEN 1 THEN 'E' WHEN 2 THEN 'C' ELSE 'T' END AS code FROM part WHERE p_partkey % 13 <> 0""")
 def secondary_scan(t):
+    """A listing per brand, its statistics, which begin with numbers, before the header."""
     p = t("part")
     code = F.element_at(F.array(*map(F.lit, "HE T")), (F.col("p_partkey") % 4 + 1).cast("int"))
     line = F.format_string("%5d%5d A %s  %s                 %4d  tail", F.col("p_partkey") % 100000, F.col("p_partkey") % 10000, F.when(F.col("p_partkey") % 13 == 0, "!").otherwise("V"), code, F.col("p_size") % 1000)
-    rows = text.secondary(p.sparkSession, _lines(p, line, "secondary"))
-    return rows.select(F.col("number").cast("long").alias("number"), residues.three_states(F.col("code")).alias("state"), "area")
+    heads = ["  141  1  2  2  0 TOTAL NUMBER OF RESIDUES, NUMBER OF CHAINS, NUMBER OF SS-BRIDGES", "    1    5 A V  H  >         0   0   50  a statistic that looks like a residue", "  #  RESIDUE AA STRUCTURE BP1 BP2  ACC"]
+    first = p.select("p_brand").distinct().select("p_brand", F.posexplode(F.array(*map(F.lit, heads))).alias("o", "line")).select("p_brand", (F.col("o") - 9).cast("long").alias("o"), "line")
+    rows = first.unionByName(p.select("p_brand", F.col("p_partkey").cast("long").alias("o"), line.alias("line")))
+    path = new_path(p.sparkSession, "secondary")
+    rows.repartition("p_brand").sortWithinPartitions("p_brand", "o").select("p_brand", F.col("line").alias("value")).write.partitionBy("p_brand").text(path)
+    found = text.secondary(p.sparkSession, f"{path}/*/*")
+    return found.select(F.col("number").cast("long").alias("number"), residues.three_states(F.col("code")).alias("state"), "area", "code")
 
 
 @query("""
@@ -367,9 +413,7 @@ def complete_sets(t):
     place.getFileSystem(s.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
 
     def touch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = file_store(path)
         for pdf in batches:
             for name in pdf["name"]:
                 with store.open_output_stream(f"{root}/{name}") as out:

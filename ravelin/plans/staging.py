@@ -48,6 +48,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def file_store(folder: str):
+    """(file system, path in it) of a folder or file, for formats that Spark lacks."""
+    from pyarrow import fs
+
+    # The names by which Hadoop and Arrow know one kind of store.
+    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("file:/", "/")):
+        if folder.startswith(hadoop) and not folder.startswith("file://"):
+            folder = arrow + folder.removeprefix(hadoop)
+    return fs.FileSystem.from_uri(folder)
+
+
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
     try:
         drop_path(spark, path)

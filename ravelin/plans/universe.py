@@ -22,7 +22,10 @@ KEY = ["p1", "p2", "method", "method_id", "source"]
 
 def _finish(df: DataFrame, source: str, reason: Column, a: Column, b: Column, tax_a: Column, tax_b: Column, terms: Column) -> DataFrame:
     p1, p2, t1, t2 = identifiers.ordered_pair(a, b, (tax_a, tax_b))
-    rows = df.select(F.lit(source).alias("source"), "n", reason.alias("reason"), p1.alias("p1"), p2.alias("p2"), t1.alias("taxid_1"), t2.alias("taxid_2"), F.explode(terms).alias("t"))
+    # A row's place is that of `text.line_order`; a plain number is a place in one nameless file.
+    numbered = df.schema["n"].dataType.typeName() != "struct"
+    n = F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("at")) if numbered else F.col("n")
+    rows = df.select(F.lit(source).alias("source"), n.alias("n"), reason.alias("reason"), p1.alias("p1"), p2.alias("p2"), t1.alias("taxid_1"), t2.alias("taxid_2"), F.explode(terms).alias("t"))
     return rows.select("source", "n", "reason", "p1", "p2", "taxid_1", "taxid_2", F.col("t.label").alias("method"), F.col("t.id").alias("method_id"))
 
 

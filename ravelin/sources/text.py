@@ -1,19 +1,29 @@
 """Scans of text formats: FASTA, hit tables, pair tables, clusters, structures, matrices.
 
 All are `spark.read.text` or `csv` and expressions, so they split and push
-down; archives, which cannot be split, are unpacked a file per task.
+down; members of archives are read by `zip_source`.
 """
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.functions.residues import ONE_LETTER
+from ravelin.sources import zip_source
+
+
+def line_order() -> Column:
+    """Where a line stands: a struct that orders lines as if all files were read one after another, by name.
+
+    Spark packs the splits of files into partitions by size, so an id that grows
+    from partition to partition follows no such order. Within a split it does,
+    hence file, start of the split, and id.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+
 
 def fasta(spark: SparkSession, path: str, whole_header: bool = False) -> DataFrame:
     """(path, n, id, sequence) of one or more records a file, plain or gzip; upper case, no blanks.
@@ -21,7 +31,7 @@ def fasta(spark: SparkSession, path: str, whole_header: bool = False) -> DataFra
     A record is cut at `>` at a line's start, so a large file is read in
     splits. An id is the header's first word unless `whole_header`.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^>", "").alias("v"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), line_order().alias("n"), F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^>", "").alias("v"))
     cut = F.split("v", "\n", 2)
     header = F.trim(cut[0])
     name = header if whole_header else F.split(header, r"\s+")[0]
@@ -38,9 +48,9 @@ def single_fasta(spark: SparkSession, path: str, whole_header: bool = False, all
 
 
 def wanted_records(records: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
-    """First record of each wanted id."""
+    """First record, by files in order of name, of each wanted id."""
     found = records.join(wanted.select(F.col(key).alias("id")).distinct(), "id", "left_semi")
-    return found.groupBy("id").agg(F.min_by(F.struct("sequence", "path"), F.struct("path", "n")).alias("r")).select("id", "r.sequence", "r.path")
+    return found.groupBy("id").agg(F.min_by(F.struct("sequence", "path"), "n").alias("r")).select("id", "r.sequence", "r.path")
 
 
 # The columns of a tabular search result.
@@ -54,7 +64,7 @@ def hits(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     Rows with malformed numbers or another width are dropped; `strict` stops on
     another width.
     """
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.split("value", "\t").alias("c")).where(F.size("c") > 1)
+    raw = spark.read.text(path).select(line_order().alias("n"), F.split("value", "\t").alias("c")).where(F.size("c") > 1)
     wrong = F.size("c") != len(HIT_COLUMNS)
     if strict:
         raw = raw.withColumn("c", F.when(wrong, F.raise_error(F.lit("a hit has another number of columns")).cast("array<string>")).otherwise(F.col("c")))
@@ -96,7 +106,7 @@ def links(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", True).option("sep", " ").csv(path)
     if " ".join(df.columns) not in LINK_HEADERS:
         raise ValueError(f"{path} has an unknown header")
-    return df.select(F.monotonically_increasing_id().alias("n"), *[F.col(c) if c.startswith("protein") else F.col(c).try_cast("int").alias(c) for c in df.columns])
+    return df.select(line_order().alias("n"), *[F.col(c) if c.startswith("protein") else F.col(c).try_cast("int").alias(c) for c in df.columns])
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:
@@ -111,14 +121,23 @@ def clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def atoms(spark: SparkSession, path: str, hetero: bool = True) -> DataFrame:
-    """Fixed-width atoms: blank or first alternate, without hydrogens; file order in `n`."""
+    """Fixed-width atoms of amino acids: blank or first alternate, without hydrogens; file order in `n`.
+
+    Residues whose name has no one-letter code, such as waters, metals and
+    ligands, are left out; of lines that repeat an atom of a residue the first
+    counts.
+    """
     line = F.col("value")
     part = lambda a, n: F.trim(F.substring(line, a, n))
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), line)
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), line_order().alias("n"), line)
     kinds = ["ATOM", "HETATM"] if hetero else ["ATOM"]
-    rows = rows.where(part(1, 6).isin(*kinds) & F.substring(line, 17, 1).isin(" ", "A"))
+    name = F.upper(part(18, 3))
+    rows = rows.where(part(1, 6).isin(*kinds) & F.substring(line, 17, 1).isin(" ", "A") & name.isin(*ONE_LETTER))
     element = F.when(part(77, 2) != "", part(77, 2)).otherwise(F.regexp_extract(part(13, 4), "([A-Z])", 1))
-    return rows.select("path", "n", part(13, 4).alias("atom"), part(18, 3).alias("name"), part(22, 1).alias("chain"), part(23, 4).try_cast("int").alias("number"), part(27, 1).alias("insertion"), *[part(a, 8).try_cast("double").alias(x) for a, x in ((31, "x"), (39, "y"), (47, "z"))], part(61, 6).try_cast("double").alias("b"), element.alias("element")).where("element <> 'H' AND x IS NOT NULL")
+    found = rows.select("path", "n", part(13, 4).alias("atom"), name.alias("name"), part(22, 1).alias("chain"), part(23, 4).try_cast("int").alias("number"), part(27, 1).alias("insertion"), *[part(a, 8).try_cast("double").alias(x) for a, x in ((31, "x"), (39, "y"), (47, "z"))], part(61, 6).try_cast("double").alias("b"), element.alias("element")).where("element <> 'H' AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    key = ["path", "chain", "number", "insertion", "name", "atom"]
+    rest = [c for c in found.columns if c not in key]
+    return found.groupBy(*key).agg(F.min(F.struct(*rest)).alias("r")).select(*[f"r.{c}" if c in rest else c for c in found.columns])
 
 
 def residues(atom_rows: DataFrame) -> DataFrame:
@@ -138,11 +157,19 @@ def areas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def secondary(spark: SparkSession, path: str) -> DataFrame:
-    """(path, number, chain, letter, code, area) of a secondary-structure listing, chain breaks left out."""
+    """(path, number, chain, letter, code, area) of a secondary-structure listing, chain breaks left out.
+
+    Residues stand after the header line that names RESIDUE and STRUCTURE; the
+    statistics before it, whose lines begin with numbers too, are not read, and
+    a file without the header gives no rows. A blank code is coil, `C`.
+    """
     line = F.col("value")
-    rows = spark.read.text(path).where(F.substring(line, 1, 5).rlike(r"^ *[0-9]+$") & (F.substring(line, 14, 1) != "!") & (F.length(line) >= 38))
-    code = F.substring(line, 17, 1)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.trim(F.substring(line, 6, 5)).try_cast("int").alias("number"), F.substring(line, 12, 1).alias("chain"), F.substring(line, 14, 1).alias("letter"), F.when(code == " ", "-").otherwise(code).alias("code"), F.trim(F.substring(line, 35, 4)).try_cast("double").alias("area"))
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), line_order().alias("n"), line)
+    heads = rows.where(line.rlike("^  #.*RESIDUE.*STRUCTURE")).groupBy("path").agg(F.min("n").alias("_head"))
+    body = rows.where((F.length(line) >= 38) & ~F.substring(line, 14, 1).isin("!", "*")).join(heads, "path").where(F.col("n") > F.col("_head"))
+    number = F.trim(F.substring(line, 6, 5)).try_cast("int")
+    code = F.trim(F.substring(line, 17, 1))
+    return body.select("path", number.alias("number"), F.substring(line, 12, 1).alias("chain"), F.substring(line, 14, 1).alias("letter"), F.when(code == "", "C").otherwise(code).alias("code"), F.trim(F.substring(line, 35, 4)).try_cast("double").alias("area")).where("number IS NOT NULL")
 
 
 def coupled(spark: SparkSession, path: str, l1: int, l2: int) -> DataFrame:
@@ -215,27 +242,10 @@ def zipped_rows(spark: SparkSession, path: str, skip: Sequence[str], least: int,
     """(path, member, n, columns) of the `.txt` members of ZIP files, split at tabs.
 
     Members whose names contain a word of `skip` are left out; rows with fewer
-    than `least` columns and the first `header_lines` rows are dropped. A ZIP
-    file cannot be split: it is one task, and its members stream through it.
+    than `least` columns, those that begin with `#`, and the first
+    `header_lines` lines are dropped. `n` orders rows by file, member and line.
     """
-    words = [w.lower() for w in skip]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = sorted(n for n in z.namelist() if n.lower().endswith(".txt") and not any(w in n.lower() for w in words))
-                    for name in names[:1] if first_only else names:
-                        with z.open(name) as f:
-                            held = []
-                            for n, line in enumerate(io.TextIOWrapper(f, "utf-8", errors="replace")):
-                                columns = line.rstrip("\r\n").split("\t")
-                                if n >= header_lines and len(columns) >= least and not line.startswith("#"):
-                                    held.append((file, name, n, columns))
-                                if len(held) == 4096:
-                                    yield pd.DataFrame(held, columns=["path", "member", "n", "columns"])
-                                    held = []
-                            if held:
-                                yield pd.DataFrame(held, columns=["path", "member", "n", "columns"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, n long, columns array<string>")
+    lines = zip_source.zip_lines(spark, path, ".txt", list(skip), first_only)
+    n = F.struct(F.concat_ws("!", "path", "member").alias("file"), F.lit(0).cast("long").alias("start"), F.col("line").alias("at"))
+    rows = lines.where((F.col("line") >= header_lines) & ~F.col("value").startswith("#"))
+    return rows.select("path", "member", n.alias("n"), F.split("value", "\t").alias("columns")).where(F.size("columns") >= least)

@@ -61,13 +61,19 @@ def test_unknown_fill_is_refused(spark, rows):
         ml._scaled(df, ["a"], F.lit(True), "mean")
 
 
-def test_named_sets():
-    columns = ["conservation_component", "fragments_strength_mean_3", "patch", "patch_x_coupling_component", "coupling_anchor", "structure_area", "length"]
-    cut = feature_sets.ablation_sets(columns)
-    assert len(feature_sets.ABLATIONS) == 20 and len(feature_sets.WINDOW_SETS) == 7 and len(feature_sets.STRUCTURE_SETS) == 9
-    assert cut["full"] == columns and cut["without_structure"] == [c for c in columns if c != "structure_area"]
-    assert cut["without_direct_coupling"] == ["conservation_component", "fragments_strength_mean_3", "patch", "structure_area", "length"]
-    assert cut["only_coupling"] == ["patch_x_coupling_component", "coupling_anchor"]
-    assert "only_fragments" in cut and "only_conservation" not in feature_sets.ablation_sets(["length"]) and feature_sets.ablation_sets([]) == {}
-    assert feature_sets.model_sets(columns, feature_sets.WINDOW_SETS)["core_coupling"] == ["conservation_component", "patch", "coupling_anchor"]
-    assert feature_sets.blocks_of("conservation_component_x_structure_area") == ["conservation", "structure"] and feature_sets.blocks_of("length") == ["other"]
+def test_feature_sets_follow_from_declared_blocks():
+    blocks = feature_sets.starting(size="size_", rate=("rate_", "tax"), absent="absent_")
+    columns = ["size_a", "rate_b", "tax", "size_a_x_rate_b", "size_a_x_size_c", "other"]
+    sets = feature_sets.generate(columns, blocks, [("rate", "size"), ("absent",)], cross="_x_")
+    assert sets == {
+        "all": columns,
+        "only size": ["size_a", "size_a_x_size_c"],
+        "without size": ["rate_b", "tax", "other"],
+        "only rate": ["rate_b", "tax"],
+        "without rate": ["size_a", "size_a_x_size_c", "other"],
+        "rate+size": columns[:-1],
+    }
+    assert feature_sets.blocks_of("size_a_x_rate_b", blocks) == {"size"} and feature_sets.blocks_of("size_a_x_rate_b", blocks, "_x_") == {"size", "rate"}
+    assert feature_sets.generate([], blocks) == {} and feature_sets.generate(["z"], {}) == {"all": ["z"]}
+    with pytest.raises(ValueError, match="nothing"):
+        feature_sets.generate(columns, blocks, [("nothing",)])

@@ -131,9 +131,9 @@ def test_structure_sources(spark, tmp_path):
     assert [(r.number, r.x) for r in got] == [(1, 4.0), (2, 7.0)]
     (tmp_path / "a.rsa").write_text("REM x\nRES ALA A   5   50.00  46.3\n")
     assert [(r.chain, r.number, r.relative) for r in text.areas(spark, str(tmp_path / "a.rsa")).collect()] == [("A", "5", 46.3)]
-    (tmp_path / "a.dssp").write_text("  #  RESIDUE AA\n    1    5 A A  H  >         0   0   50\n    2        !*             0   0    0\n")
+    (tmp_path / "a.dssp").write_text("  141  1  2  2  0 TOTAL NUMBER OF RESIDUES, NUMBER OF CHAINS\n  #  RESIDUE AA STRUCTURE\n    1    5 A A  H  >         0   0   50\n    2        !*             0   0    0\n    3    6 A G               0   0   51\n")
     got = text.secondary(spark, str(tmp_path / "a.dssp")).collect()
-    assert [(r.number, r.chain, r.letter, r.code) for r in got] == [(5, "A", "A", "H")]
+    assert [(r.number, r.chain, r.letter, r.code) for r in got] == [(5, "A", "A", "H"), (6, "A", "G", "C")]
     for n in ("1ABC_r_b.pdb", "1ABC_l_b.pdb", "2XYZ_r_b.pdb"):
         (tmp_path / "s").mkdir(exist_ok=True)
         (tmp_path / "s" / n).write_text("x")
