@@ -29,6 +29,20 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path, gone):
     assert ("pipeline" in queries) == (copy / "ravelin/llm").exists()
 
 
+@pytest.mark.parametrize("lacking", ["tokenizers", "xxhash"])
+def test_the_rest_stands_where_a_library_is_missing(tmp_path, lacking):
+    """As if a library that only the corpus operators use were not installed."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    ask = f"import sys; sys.modules[{lacking!r}] = None; " + ASK
+    out = subprocess.run([sys.executable, "-c", ask], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    queries, oracle, entry = json.loads(out.stdout.splitlines()[-1])
+    assert entry and "pair_scores" in queries and "audit_full_outer" in oracle
+    assert not any(q.startswith("op") and "_" in q and q[2].isdigit() for q in queries) and "pipeline" not in queries
+    assert not (copy / "ravelin/llm").exists() or lacking in out.stderr
+
+
 def test_stages_need_a_shared_folder_on_a_cluster():
     class Conf:
         def get(self, key):
