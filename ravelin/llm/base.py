@@ -8,21 +8,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.plans.staging import BROADCAST_ROWS, attach, drop_path, new_path, running_before, settled, shared_dir, shuffle_width, stage, staged
+from ravelin.plans.staging import BROADCAST_ROWS, attach, drop_path, file_store, new_path, running_before, settled, shared_dir, shuffle_width, stage, staged
 
 __all__ = ["attach", "components", "drop_path", "file_store", "keep_rows", "keyed", "new_path", "running_before", "settled", "shared_dir", "shuffle_width", "stage", "staged"]
 
 
-def file_store(folder: str):
-    """(file system, path in it) of a folder, for writers of formats that Spark lacks."""
-    from pyarrow import fs
-
-    # The names by which Hadoop and Arrow know one kind of store.
-    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://")):
-        folder = arrow + folder.removeprefix(hadoop) if folder.startswith(hadoop) else folder
-    return fs.FileSystem.from_uri(folder)
-
-
 def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """`docs` with a key of each row's own, a long, and the column that holds it.
 
