@@ -161,3 +161,46 @@ def test_vectors_match_brute_force_over_many_cells(spark):
     assert {k: v for k, v in got.items() if k < 400} == {k: (links[k], want[k], want[k] == k) for k in sound}
     assert all(got[k] == (0, k, True) for k in (*range(400, 406), 500, 501))
     assert embedding_dedup.find_groups(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def planted(n, dims, seed):
+    """Unit vectors and a partner of each at a cosine from 0.93 to 1."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(n, dims))
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 1.0, (n, 1))
+    return x, cosine * x + np.sqrt(1 - cosine**2) * side
+
+
+@pytest.mark.parametrize("n", [2048, 8192, 32768])
+def test_copies_are_bounded_and_partners_met_whatever_the_number_of_cells(n):
+    x, y = planted(n, 64, n)
+    both = np.concatenate([x, y])
+    cells = embedding_dedup.fit_cells(both[:: max(1, len(both) // 8192)], n // 64)
+    homes, masks = zip(*(embedding_dedup.visited(v @ cells.T, cells, 0.93, embedding_dedup.PROBES) for v in (x, y)), strict=True)
+    assert max(m.sum(1).max() for m in masks) <= embedding_dedup.PROBES  # so rows that move grow with n alone
+    at = np.arange(n)
+    met = masks[0][at, homes[1]] | masks[1][at, homes[0]]
+    assert met.mean() >= 0.99
+
+
+def test_links_over_many_cells_in_64_dimensions(spark):
+    x, y = planted(700, 64, 9)
+    both = np.concatenate([x, y]).astype(np.float32)
+    data = [(i, v.tolist(), 1, "a", "b", "c", "d") for i, v in enumerate(both)]
+    df = spark.createDataFrame(data, VECTORS)
+    v = both.astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = (v @ v.T >= 0.93) & ~np.eye(len(v), dtype=bool)
+    assert near.sum() >= 1400
+    for block in (4096, 16):
+        got = {r.vec_id: r.n_links for r in embedding_dedup.find_groups(df, cell=24, block=block).collect()}
+        found = np.array([got[i] for i in range(len(v))])
+        assert (found <= near.sum(1)).all() and found.sum() >= 0.99 * near.sum()
+    exact = {r.vec_id: r.n_links for r in embedding_dedup.find_groups(df, cell=24, block=64, probes=None).collect()}
+    assert exact == dict(enumerate(near.sum(1)))
+    few = {r.vec_id: r.n_links for r in embedding_dedup.find_groups(df, cell=400, block=64).collect()}
+    assert few == exact  # four cells, all of which every vector visits
