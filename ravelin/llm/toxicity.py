@@ -31,7 +31,7 @@ WORST, MARKED = 4, 2.0
 #: Labelled documents that the toxic model, the ordinary one and the logistic function are fitted on at most.
 TOXIC, ORDINARY, CALIBRATION = 2000, 8000, 4096
 _BEGIN, _END = "\x02", "\x03"
-_CACHE, _LONGEST = 400_000, 48
+_CACHE, _LONGEST = 100_000, 48
 _words = re.compile(r"\w+").findall
 #: What parts words in texts up to U+00FF, as the pattern above does; other texts are split by it.
 _BETWEEN = r"[^0-9A-Za-z_\x{aa}\x{b2}\x{b3}\x{b5}\x{b9}\x{ba}\x{bc}-\x{be}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+"
@@ -73,7 +73,7 @@ def _types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word in known:
                 if word and word not in words:
                     seen.update(letter_runs(word))
-                    if len(seen) > 500_000:
+                    if len(seen) > _CACHE:
                         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["run"])
                         seen.clear()
             words.update(w for w in known if len(w) <= _LONGEST)
