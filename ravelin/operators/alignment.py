@@ -1,69 +1,222 @@
-"""Sequence comparison: dynamic programming on distinct pairs, in Arrow batches.
+"""Sequence comparison by wavefronts over batches of pairs, and pruning of alike rows in rounds.
 
-The recurrences have no relational form. Pairs are made distinct before they
-are aligned, and each batch of pairs is independent, so the work spreads over
-all tasks.
+A table of cells depends on its upper and left neighbours, so the cells of an
+anti-diagonal are computed together, and those of many pairs of like length
+with them: a step is a handful of array operations, whatever the number of
+pairs. Pairs are made distinct before they are aligned, and batches of pairs
+spread over all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelin.plans.staging import attach, stage
 
-def linear_alignment(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[int, int, int, list[int]]:
-    """(score, matches, aligned, map): map holds b's position for each of a's, from 1, or 0.
+#: Cells that a batch of pairs may have in all, and most pairs of a batch.
+CELLS, PAIRS = 1 << 24, 512
+#: Score and matches are one number: the score's units, shifted, plus matches.
+_SHIFT = 24
+_LOST = np.int64(-1) << 60
+#: Diagonals between two looks at what a pair can still reach.
+_LOOK = 32
+
+
+def _codes(texts: Sequence[str], filler: int) -> np.ndarray:
+    """Code points of the texts, a row each, filled to one width."""
+    out = np.full((len(texts), max(map(len, texts), default=0)), filler, np.int64)
+    for row, text in zip(out, texts, strict=True):
+        row[: len(text)] = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return out
+
+
+def _batches(a: Sequence[str], b: Sequence[str], per_cell: int = 1) -> Iterator[np.ndarray]:
+    """Places of pairs of like lengths, as many as CELLS allows."""
+    n, m = (np.array([len(x) for x in t], np.int64) for t in (a, b))
+    order = np.lexsort((m, n))
+    at = 0
+    while at < len(order):
+        to = at + 1
+        widest = m[order[at]]
+        while to < len(order) and to - at < PAIRS:
+            wide = max(widest, m[order[to]])
+            if (to + 1 - at) * (n[order[to]] + 1) * (wide + 1) * per_cell > CELLS:
+                break
+            widest, to = wide, to + 1
+        yield order[at:to]
+        at = to
+
+
+def _same(x: np.ndarray, y: np.ndarray, k: int, low: int, high: int) -> np.ndarray:
+    """Whether the letters of the cells (i, k - i), i from `low` to `high`, agree."""
+    return x[:, low - 1 : high] == y[:, k - high - 1 : k - low][:, ::-1]
+
+
+def linear_alignments(a: Sequence[str], b: Sequence[str], match: int = 2, mismatch: int = -1, gap: int = -2) -> list[tuple[int, int, int, list[int]]]:
+    """(score, matches, aligned, map) of each pair: map holds b's position for each of a's, from 1, or 0.
 
     Ties prefer the diagonal, then a gap in `b`, then one in `a`.
     """
-    n, m = len(a), len(b)
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    score = np.zeros((n + 1, m + 1), np.int64)
-    score[:, 0], score[0, :] = gap * np.arange(n + 1), gap * np.arange(m + 1)
-    steps = gap * np.arange(m + 1)
-    for i in range(1, n + 1):
-        free = np.maximum(score[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), score[i - 1, 1:] + gap)
-        line = np.concatenate([[score[i, 0]], free]) - steps
-        score[i] = np.maximum.accumulate(line) + steps  # gaps in `a` in one pass
-    i, j, matches, aligned, places = n, m, 0, 0, [0] * n
-    while i and j:
-        same = x[i - 1] == y[j - 1]
-        if score[i, j] == score[i - 1, j - 1] + (match if same else mismatch):
-            i, j = i - 1, j - 1
-            matches, aligned, places[i] = matches + int(same), aligned + 1, j + 1
-        elif score[i, j] == score[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return int(score[n, m]), matches, aligned, places
-
-
-def affine_identity(a: str, b: str, match: float = 1.0, mismatch: float = 0.0, begin: float = -1.0, extend: float = -0.5) -> float:
-    """Percent of matches over the longer string, of a best global alignment with affine gaps.
-
-    Of best alignments that with most matches counts.
+    out: list = [None] * len(a)
+    for some in _batches(a, b):
+        s, t = [a[i] for i in some], [b[i] for i in some]
+        x, y = _codes(s, -1), _codes(t, -2)
+        size, n, m = len(some), x.shape[1], y.shape[1]
+        steps = np.zeros((size, n + 1, m + 1), np.uint8)
+        ends = np.array([[len(p), len(q)] for p, q in zip(s, t, strict=True)])
+        score = np.zeros(size, np.int64)
+        before, last = np.zeros((size, n + 2), np.int64), np.zeros((size, n + 2), np.int64)
+        for k in range(n + m + 1):
+            now = np.full((size, n + 2), _LOST)
+            if k <= m:
+                now[:, 0] = gap * k
+            if k <= n:
+                now[:, k] = gap * k
+            low, high = max(1, k - m), min(n, k - 1)
+            if low <= high:
+                across = before[:, low - 1 : high] + np.where(_same(x, y, k, low, high), match, mismatch)
+                up, left = last[:, low - 1 : high] + gap, last[:, low : high + 1] + gap
+                best = np.maximum(np.maximum(across, up), left)
+                now[:, low : high + 1] = best
+                i = np.arange(low, high + 1)
+                steps[:, i, k - i] = np.where(best == across, 0, np.where(best == up, 1, 2))
+            done = np.flatnonzero(ends.sum(1) == k)
+            score[done] = now[done, ends[done, 0]]
+            before, last = last, now
+        i, j = ends[:, 0].copy(), ends[:, 1].copy()
+        matches, aligned, places = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros((size, n + 1), np.int64)
+        open_ = np.flatnonzero((i > 0) & (j > 0))
+        while len(open_):
+            step = steps[open_, i[open_], j[open_]]
+            met = open_[step == 0]
+            i[met] -= 1
+            j[met] -= 1
+            matches[met] += x[met, i[met]] == y[met, j[met]]
+            aligned[met] += 1
+            places[met, i[met]] = j[met] + 1
+            i[open_[step == 1]] -= 1
+            j[open_[step == 2]] -= 1
+            open_ = open_[(i[open_] > 0) & (j[open_] > 0)]
+        for p, where in enumerate(some):
+            out[where] = int(score[p]), int(matches[p]), int(aligned[p]), places[p, : len(s[p])].tolist()
+    return out
+
+
+def linear_alignment(a: str, b: str, **costs: int) -> tuple[int, int, int, list[int]]:
+    """As `linear_alignments`, of one pair."""
+    return linear_alignments([a], [b], **costs)[0]
+
+
+def affine_matches(a: Sequence[str], b: Sequence[str], need: Sequence[float] | None = None, match: float = 1.0, mismatch: float = 0.0, begin: float = -1.0, extend: float = -0.5, unit: float = 0.5) -> np.ndarray:
+    """Matches of a best global alignment with affine gaps of each pair, of best ones that with most matches.
+
+    With `need`, a pair that cannot have as many matches any more is given up
+    and gets -1: every alignment passes one of two neighbouring diagonals, and
+    from a cell on it gains at most what is left of the shorter side. Costs are
+    multiples of `unit`.
     """
-    if not a or not b:
-        return 0.0
-    lost = (float("-inf"), 0)
-    add = lambda s, score, hit=0: (s[0] + score, s[1] + hit)
-    diagonal = [(0.0, 0)] + [lost] * len(b)
-    right = [lost] + [(begin + extend * j, 0) for j in range(len(b))]
-    down = [lost] * (len(b) + 1)
-    for i, p in enumerate(a):
-        d, r, v = [lost], [lost], [(begin + extend * i, 0)]
-        for j, q in enumerate(b):
-            best = max(diagonal[j], right[j], down[j])
-            d.append(add(best, match if p == q else mismatch, int(p == q)))
-            v.append(max(add(max(diagonal[j + 1], right[j + 1]), begin), add(down[j + 1], extend)))
-            r.append(max(add(max(d[j], v[j]), begin), add(r[j], extend)))
-        diagonal, right, down = d, r, v
-    return 100.0 * max(diagonal[-1], right[-1], down[-1])[1] / max(len(a), len(b))
+    costs = np.array([match, mismatch, begin, extend]) / unit
+    if (costs != np.round(costs)).any():
+        raise ValueError(f"costs are no multiples of {unit}")
+    hit, miss, open_gap, longer = (int(c) << _SHIFT for c in costs)
+    hit += 1
+    out = np.zeros(len(a), np.int64)
+    for some in _batches(a, b):
+        s, t = [a[i] for i in some], [b[i] for i in some]
+        x, y = _codes(s, -1), _codes(t, -2)
+        ends = np.array([[len(p), len(q)] for p, q in zip(s, t, strict=True)])
+        wanted = None if need is None else np.array([need[i] for i in some], float)
+        alive = np.arange(len(some))
+        n, m = x.shape[1], y.shape[1]
+        lost = lambda: np.full((len(alive), n + 1), _LOST)  # noqa: B023, E731
+        d0, r0, v0, d1, r1, v1 = (lost() for _ in range(6))
+        d1[:, 0] = 0
+        for row in np.flatnonzero(ends.sum(1) == 0):
+            out[some[row]] = 0
+        for k in range(1, n + m + 1):
+            d, r, v = lost(), lost(), lost()
+            low, high = max(0, k - m), min(n, k)
+            inner, end = max(1, k - m), min(n, k - 1)
+            if inner <= end:
+                best = np.maximum(np.maximum(d0[:, inner - 1 : end], r0[:, inner - 1 : end]), v0[:, inner - 1 : end])
+                d[:, inner : end + 1] = best + np.where(_same(x, y, k, inner, end), hit, miss)
+            # Right moves come from the same row, down moves from the one above.
+            up = slice(max(1, low) - 1, high)
+            if max(1, low) <= high:
+                v[:, max(1, low) : high + 1] = np.maximum(np.maximum(d1[:, up], r1[:, up]) + open_gap, v1[:, up] + longer)
+            side = slice(low, min(n, k - 1) + 1)
+            r[:, side] = np.maximum(np.maximum(d1[:, side], v1[:, side]) + open_gap, r1[:, side] + longer)
+            done = np.flatnonzero(ends[alive].sum(1) == k)
+            if len(done):
+                at = ends[alive[done], 0]
+                top = np.maximum(np.maximum(d[done, at], r[done, at]), v[done, at])
+                out[some[alive[done]]] = top & ((1 << _SHIFT) - 1)
+            d0, r0, v0, d1, r1, v1 = d1, r1, v1, d, r, v
+            keep = ends[alive].sum(1) > k
+            if wanted is not None and k % _LOOK == 0:
+                hope = np.full(len(alive), -1, np.int64)
+                for back, states in ((0, (d1, r1, v1)), (1, (d0, r0, v0))):
+                    i = np.arange(max(0, k - back - m), min(n, k - back) + 1)
+                    rest = np.minimum(ends[alive, :1] - i, ends[alive, 1:] - (k - back - i))
+                    for state in states:
+                        here = state[:, i]
+                        hope = np.maximum(hope, np.where((here > _LOST >> 1) & (rest >= 0), (here & ((1 << _SHIFT) - 1)) + rest, -1).max(1))
+                over = keep & (hope < wanted[alive])
+                out[some[alive[over]]] = -1
+                keep &= ~over
+            if not keep.all() and (k % _LOOK == 0 or not keep.any()):
+                alive, x, y, d0, r0, v0, d1, r1, v1 = alive[keep], x[keep], y[keep], d0[keep], r0[keep], v0[keep], d1[keep], r1[keep], v1[keep]
+                if not len(alive):
+                    break
+    if need is not None:
+        out[(out >= 0) & (out < np.asarray(need, float))] = -1
+    return out
+
+
+def affine_identities(a: Sequence[str], b: Sequence[str], **costs: float) -> np.ndarray:
+    """Percent of matches over the longer string of each pair; 0 where one is empty."""
+    longest = np.array([max(len(p), len(q)) for p, q in zip(a, b, strict=True)], float)
+    empty = np.array([not p or not q for p, q in zip(a, b, strict=True)], bool)
+    return np.where(empty, 0.0, 100.0 * affine_matches(a, b, **costs) / np.where(empty, 1, longest))
+
+
+def affine_identity(a: str, b: str, **costs: float) -> float:
+    """As `affine_identities`, of one pair."""
+    return float(affine_identities([a], [b], **costs)[0])
+
+
+def alike(a: Sequence[str], b: Sequence[str], threshold: float) -> np.ndarray:
+    """Whether the identity of each pair exceeds `threshold` percent.
+
+    Matches are at most the letters that both strings have, each as often as
+    the poorer has it; only pairs that may pass by that are aligned.
+    """
+    longest = np.array([max(len(p), len(q), 1) for p, q in zip(a, b, strict=True)], float)
+    # As the comparison with the threshold is strict, the least whole number beyond it.
+    need = np.floor(threshold * longest / 100.0)
+    need += np.where(100.0 * need / longest > threshold, 0, 1)
+    x, y = letters(a), letters(b)
+    may = (np.minimum(x, y).sum(1) >= need) & np.array([bool(p) and bool(q) for p, q in zip(a, b, strict=True)], bool)
+    out = np.zeros(len(a), bool)
+    at = np.flatnonzero(may)
+    if len(at):
+        out[at] = affine_matches([a[i] for i in at], [b[i] for i in at], need[at]) >= 0
+    return out
+
+
+def letters(texts: Sequence[str]) -> np.ndarray:
+    """How often each text has letters of 32 kinds; several letters may share a kind, which only loosens bounds."""
+    codes = _codes(texts, -1)
+    out = np.zeros((len(texts), 33), np.int64)
+    np.add.at(out, (np.arange(len(texts))[:, None], np.where(codes < 0, 32, codes % 32)), 1)
+    return out[:, :32]
 
 
 def block_identity(a: str, b: str) -> float:
@@ -79,11 +232,9 @@ def align_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for x, y in zip(pdf["a"], pdf["b"], strict=True):
-                score, matches, aligned, _ = linear_alignment(x, y)
-                rows.append((x, y, score, matches, aligned, affine_identity(x, y), block_identity(x, y)))
-            yield pd.DataFrame(rows, columns=["a", "b", "score", "matches", "aligned", "identity", "block_identity"])
+            x, y = pdf["a"].tolist(), pdf["b"].tolist()
+            score, matches, aligned, _ = zip(*linear_alignments(x, y), strict=True) if x else ((), (), (), ())
+            yield pd.DataFrame({"a": x, "b": y, "score": score, "matches": matches, "aligned": aligned, "identity": affine_identities(x, y), "block_identity": [block_identity(p, q) for p, q in zip(x, y, strict=True)]})
 
     return distinct.mapInPandas(run, "a string, b string, score long, matches long, aligned long, identity double, block_identity double")
 
@@ -98,26 +249,122 @@ def best_match(scored: DataFrame, key: str, candidate: str, identity: str, least
     return ranked.select(key, candidate, identity, "margin", F.when(reason == "", "accepted").otherwise(reason).alias("status"))
 
 
+#: Sequences of a block of which all pairs are looked at in one task.
+BLOCK = 2048
+
+
+def _alike_in_blocks(threshold: float):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        block = table.column("block").to_numpy()
+        texts = np.array(table.column("s").to_pylist(), object)
+        rows, cols = texts[block == i], texts[block == j]
+        size, counts = ([f(list(t)) for t in (rows, cols)] for f in (lambda t: np.array([len(x) for x in t]), letters))
+        found_a, found_b = [], []
+        for at in range(len(rows)):
+            longest = np.maximum(size[0][at], size[1])
+            may = 100.0 * np.minimum(counts[0][at], counts[1]).sum(1) > threshold * longest
+            if i == j:
+                may[: at + 1] = False
+            hits = np.flatnonzero(may)
+            found_a.append(np.full(len(hits), at))
+            found_b.append(hits)
+        a, b = (np.concatenate(x) if x else np.empty(0, int) for x in (found_a, found_b))
+        keep = alike(list(rows[a]), list(cols[b]), threshold) if len(a) else np.empty(0, bool)
+        return pa.table({"x": pa.array(rows[a[keep]].tolist(), pa.string()), "y": pa.array(cols[b[keep]].tolist(), pa.string())})
+
+    return run
+
+
+def alike_pairs(sequences: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(g, x, y): both orders of distinct sequences `s` of a group `g` whose identity exceeds `threshold` percent, and each with itself.
+
+    Lengths of alike sequences differ by less than the threshold's share, so
+    sequences are dealt to ranges of length in that ratio, and only equal and
+    neighbouring ranges meet; ranges of many sequences are parted into blocks,
+    and each pair of blocks is a task. Within it counts of letters bound the
+    matches before anything is aligned. No pair is lost. The work within a
+    range is quadratic in its distinct sequences, as a low threshold asks.
+    """
+    some = sequences.where("g IS NOT NULL AND s <> ''").select("g", "s").distinct()
+    ratio = min(max(100.0 / threshold, 1.0001), 1e6) if threshold > 0 else 1e6
+    ranged = stage(some.withColumn("r", F.floor(F.log(F.length("s").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("long")), "sequence-ranges")
+    sizes = stage(ranged.groupBy("g", "r").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k")), "range-sizes")
+    number = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    ahead = sizes.select("g", F.col("r").alias("r2"), number.alias("j"))
+    # What a block of a range meets: later blocks of it, and all of the next two ranges, lest rounding part neighbours.
+    behind = ahead.select("g", F.explode(F.array(*[F.col("r2") - d for d in (0, 1, 2)])).alias("r"), "r2", "j")
+    met = sizes.select("g", "r", number.alias("i")).join(behind, ["g", "r"]).where("r2 > r OR j >= i")
+    place = lambda r, i: F.concat_ws(":", r, i)
+    met = stage(met.select("g", place(F.col("r"), F.col("i")).alias("i"), place(F.col("r2"), F.col("j")).alias("j")), "block-pairs")
+    own = attach(ranged, sizes, ["g", "r"], "inner").withColumn("block", place(F.col("r"), F.pmod(F.xxhash64("s"), F.col("k")).cast("int"))).select("g", "s", "block")
+    one = met.select("g", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    found = own.join(one, ["g", "block"]).groupBy("g", "i", "j").applyInArrow(_named(_alike_in_blocks(threshold), sequences), f"g {dict(sequences.dtypes)['g']}, x string, y string")
+    found = stage(found, "alike")
+    itself = some.where(F.lit(100.0) > threshold).select("g", F.col("s").alias("x"), F.col("s").alias("y"))
+    return found.unionByName(found.select("g", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(itself)
+
+
+def _named(compare, sequences: DataFrame):
+    """`compare`, with the group of its rows in front."""
+    kind = sequences.select("g").limit(0).toArrow().schema.field("g").type
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        out = compare(key, table)
+        return out.add_column(0, "g", pa.array([key[0].as_py()] * len(out), kind))
+
+    return run
+
+
+def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes (id) that a greedy choice keeps: in order, each that has no edge from one kept before.
+
+    `edges` (u, v) lead from the earlier to the later node. In a round all
+    undecided nodes without an undecided earlier neighbour are kept, and their
+    later neighbours go; that is the greedy choice, and rounds are as many as
+    the longest chain of decisions, few where the order is unrelated to the
+    edges.
+    """
+    kept, left = [], stage(edges.select("u", "v").distinct(), "conflicts")
+    undecided = stage(nodes.select("id").join(left.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi"), "undecided")
+    free = nodes.select("id").join(undecided, "id", "left_anti")
+    while not undecided.isEmpty():
+        first = stage(undecided.join(left.select(F.col("v").alias("id")).distinct(), "id", "left_anti"), "kept")
+        kept.append(first)
+        gone = stage(left.join(first, left["u"] == first["id"], "left_semi").select(F.col("v").alias("id")).distinct(), "gone")
+        undecided = stage(undecided.join(first, "id", "left_anti").join(gone, "id", "left_anti"), "undecided")
+        left = stage(left.join(undecided, left["u"] == undecided["id"], "left_semi").join(undecided.select(F.col("id").alias("w")), F.col("v") == F.col("w"), "left_semi"), "conflicts")
+    for part in kept:
+        free = free.unionByName(part)
+    return free
+
+
 def prune_redundant(df: DataFrame, group: str, order: str, a: str, b: str, sequence_a: str, sequence_b: str, threshold: float) -> DataFrame:
-    """Greedy pruning of each group in `order`: a row goes if both its ends exceed `threshold` percent identity with a kept row's, either way round."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[tuple[str, str], float] = {}
-
-        def same(x: str | None, y: str | None) -> bool:
-            if x is None or y is None:
-                return False
-            if (x, y) not in known:
-                known[x, y] = known[y, x] = affine_identity(x, y)
-            return known[x, y] > threshold
-
-        kept: list[tuple] = []
-        for row in pdf.sort_values(order, kind="stable").itertuples(index=False):
-            p, q = getattr(row, sequence_a), getattr(row, sequence_b)
-            if not any((same(p, getattr(k, sequence_a)) and same(q, getattr(k, sequence_b))) or (same(p, getattr(k, sequence_b)) and same(q, getattr(k, sequence_a))) for k in kept):
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pdf.columns)[[group, order, a, b]]
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (group, order, a, b))
-    return df.select(*dict.fromkeys([group, order, a, b, sequence_a, sequence_b])).groupBy(group).applyInPandas(run, schema)
+    """Greedy pruning of each group in `order`: a row goes if both its ends exceed `threshold` percent identity with a kept row's, either way round.
+
+    Distinct sequences are compared in blocks, rows that conflict are found by
+    equi joins, and the greedy choice is made in rounds over all groups at
+    once, so that no group meets in one task. Null and empty sequences are like
+    none, so their rows are kept. Rows that tie in `order` come in order of
+    their other columns; rows that agree in all are pruned but for one if they
+    are like themselves. Rows with a null group are a group of their own.
+    """
+    names = list(dict.fromkeys([group, order, a, b, sequence_a, sequence_b]))
+    number = F.struct(*[F.col(f"`{c}`") for c in [order, *[c for c in names if c != order]]])
+    g = F.when(F.col(group).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(group).cast("string")))
+    rows = stage(df.select(number.alias("rank"), g.alias("g"), F.col(sequence_a).alias("p"), F.col(sequence_b).alias("q"), F.monotonically_increasing_id().alias("id")), "prune-rows")
+    like = stage(alike_pairs(rows.select("g", F.explode(F.array("p", "q")).alias("s")), threshold), "alike-both")
+    # Rows of the same two sequences, in either order, are decided with the first of them.
+    pair = [F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")]
+    sound = rows.where("p <> '' AND q <> ''")
+    heads = stage(sound.groupBy("g", *pair).agg(F.min(F.struct("rank", "id")).alias("h")).select("g", "lo", "hi", F.col("h.rank").alias("rank"), F.col("h.id").alias("id")), "prune-heads")
+    ends = heads.select("g", F.col("id").alias("u"), F.col("rank").alias("u_rank"), "lo", "hi")
+    ends = ends.unionByName(ends.select("g", "u", "u_rank", F.col("hi").alias("lo"), F.col("lo").alias("hi")))
+    half = heads.join(like.select("g", F.col("x").alias("lo"), F.col("y").alias("o1")), ["g", "lo"]).select("g", F.col("id").alias("v"), F.col("rank").alias("v_rank"), "hi", "o1")
+    near = half.join(ends.select("g", F.col("lo").alias("o1"), F.col("hi").alias("o2"), "u", "u_rank"), ["g", "o1"]).where(F.struct("u_rank", "u") < F.struct("v_rank", "v"))
+    edges = near.join(like.select("g", F.col("x").alias("hi"), F.col("y").alias("o2")), ["g", "hi", "o2"], "left_semi").select("u", "v").distinct()
+    kept = first_independent(heads, edges)
+    # Where a sequence is like itself, only heads may stay; otherwise every row is like none.
+    own = kept if threshold < 100 else rows.select("id")
+    alone = rows.where("coalesce(p, '') = '' OR coalesce(q, '') = ''").select("id")
+    return rows.join(own.unionByName(alone).distinct(), "id", "left_semi").select(*[F.col("rank")[c].alias(c) for c in (group, order, a, b)])
