@@ -100,7 +100,7 @@ def _packer(path: str, window: int, end_id: int, batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path).encode_all
+        words = encoder(path)
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         size = 0
@@ -131,7 +131,7 @@ def _packer(path: str, window: int, end_id: int, batch: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for rb in batches:
-            for doc, ids in zip(rb.column(0).to_pylist(), encode(rb.column(1)), strict=True):
+            for doc, ids in zip(rb.column(0).to_pylist(), words.encode_all(rb.column(1)), strict=True):
                 held.append((doc, ids + quad))
                 size += len(ids)
                 if len(held) >= batch or size >= BATCH_BYTES:
@@ -139,6 +139,7 @@ def _packer(path: str, window: int, end_id: int, batch: int):
                     size = 0
         if held:
             yield flush()
+        words.forget()
 
     return run
 

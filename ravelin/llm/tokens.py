@@ -85,6 +85,14 @@ class Encoder(dict):
         self._runs = self if self._lower else _Runs(self._run)
         self._old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the cache, so that a worker that waits for another kind of task holds no words."""
+        self.clear()
+        self._old.clear()
+        if self._runs is not self:
+            self._runs.clear()
+        pa.default_memory_pool().release_unused()
+
     def vocabulary(self) -> int:
         """One more than the largest id."""
         return max(self._tokenizer.get_vocab().values(), default=0) + 1
