@@ -14,8 +14,8 @@ from ravelin.functions import residues
 from ravelin.operators import aggregates, evidence
 from ravelin.plans import universe
 from ravelin.plans.registry import query, r6
-from ravelin.plans.staging import drop_path, file_store, new_path, staged
-from ravelin.sources import archives, sinks, text
+from ravelin.plans.staging import drop_path, file_store, new_path, running_before, staged
+from ravelin.sources import archives, npy_source, sinks, text
 
 
 def _lines(df: DataFrame, line, name: str, **options) -> str:
@@ -430,3 +430,14 @@ def complete_sets(t):
 def metadata_rollup(t):
     m = t("lineitem").select(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), F.col("l_linenumber").alias("top"), F.col("l_quantity").cast("long").alias("n"), F.concat("l_returnflag", F.lit("; "), "l_linestatus", F.lit(","), "l_returnflag").alias("kinds"))
     return aggregates.roll_up(m, ["a", "b"], ["top"], ["n"], ["kinds"]).withColumn("kinds", F.array_join("kinds", ";"))
+
+
+@query("""
+    SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 9) AS total, embedding[1]::DOUBLE AS first, len(embedding)::INT AS width FROM embeddings""")
+def matrix_binary(t):
+    """All vectors as one matrix in NumPy's format, written by range and read back."""
+    v = running_before(t("embeddings").withColumn("g", F.lit(0)), ["g"], ["vec_id"], F.lit(1), "row", "matrix-rows")
+    path = new_path(v.sparkSession, "npy")
+    npy_source.write_matrix(v, path, "row", "embedding")
+    rows = npy_source.read_matrix(v.sparkSession, path)
+    return rows.select(F.col("row").alias("place"), F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 9).alias("total"), F.col("values")[0].alias("first"), F.size("values").alias("width"))

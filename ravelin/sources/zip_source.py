@@ -47,7 +47,9 @@ class ZipReader(DataSourceReader):
     def partitions(self) -> list[Member]:
         return [Member(p, n) for p in self._paths for n in members(p, *self._choice)]
 
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Member | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # as there is none
+            return
         store, place = file_store(partition.path)
 
         def batch(first: int, held: list[str]) -> pa.RecordBatch:

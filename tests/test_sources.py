@@ -59,6 +59,7 @@ def test_members_are_partitions_and_stream(spark, tmp_path):
     rows = text.zipped_rows(spark, str(tmp_path / "*.zip"), ["readme", "big"], 3, header_lines=1).orderBy("n").collect()
     assert [(r.member, r.columns) for r in rows] == [("small.txt", ["ä", "b", "c"]), ("one.txt", ["\ufffd", "b", "c"])]
     assert {r.member for r in zip_source.zip_lines(spark, str(tmp_path / "b.zip"), first_only=True).collect()} == {"one.txt"}
+    assert zip_source.zip_lines(spark, str(tmp_path / "b.zip"), ".csv").count() == 0
     with pytest.raises(FileNotFoundError):
         zip_source.zip_lines(spark, str(tmp_path / "none*.zip"))
 
