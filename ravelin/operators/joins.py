@@ -37,6 +37,30 @@ def require_complete(df: DataFrame, reference: DataFrame, on: Sequence[str]) ->
     return df.join(found, list(on), "left").withColumn("_here", checked).where("_here").drop("_here")
 
 
+#: Bits of the filter per wanted key, and most bits: 32 MB are broadcast at most.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
+_BITMAP = 8 * 4096
+
+
+def may_be_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of `df` whose key passes a Bloom filter of one hash over `wanted`, told before any shuffle.
+
+    No row whose key is wanted is lost; of the others one in FILTER_BITS stays,
+    or more where the wanted keys are so many that the filter is full, so an
+    exact join belongs behind it. The filter is a broadcast table of bitmaps,
+    and rows meet theirs by an equi join. Null keys do not pass.
+    """
+    n = wanted.count()
+    bits = min(MOST_FILTER_BITS, _BITMAP * max(1, -(-n * FILTER_BITS // _BITMAP)))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = wanted.where(F.col(wanted_key).isNotNull()).select(place(F.col(wanted_key)).alias("p"))
+    maps = maps.groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map"))
+    marked = df.withColumn("_place", F.when(key.isNotNull(), place(key))).withColumn("_bucket", F.bitmap_bucket_number("_place")).withColumn("_bit", F.bitmap_bit_position("_place"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    passed = marked.join(F.broadcast(maps), "_bucket").where(F.lit(1) == F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)).cast("int") % 2)
+    return passed.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def audit(left: DataFrame, right: DataFrame, on: Sequence[str], value: str, tolerance: float = 1e-9) -> DataFrame:
     """One row per key of either side: both values and matched, missing_right, extra_right, mismatch or duplicate.
 

@@ -89,12 +89,18 @@ def fasta_single(t):
     return text.single_fasta(s.sparkSession, path).select("id", "sequence")
 
 
-@query("SELECT c_name AS id, upper(md5(c_name) || md5(c_mktsegment)) AS sequence FROM customer WHERE c_acctbal > 5000")
+@query("""
+    WITH c AS (SELECT c_name, 'P' || lpad((c_custkey % 100000)::VARCHAR, 5, '0') AS acc, upper(md5(c_name) || md5(c_mktsegment)) AS sequence, c_custkey, c_acctbal FROM customer)
+    SELECT c_name AS id, sequence FROM c WHERE c_custkey % 2 = 0 AND c_acctbal > 5000
+    UNION ALL SELECT acc, sequence FROM c WHERE c_custkey % 2 = 1 AND c_acctbal > 5000 QUALIFY row_number() OVER (PARTITION BY acc ORDER BY c_custkey) = 1""")
 def fasta_wanted(t):
+    """Half of the records have plain names, half wrapped accessions; each kind is asked for by its own form."""
+    acc = F.concat(F.lit("P"), F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0"))
     c = t("customer").withColumn("letters", F.concat(F.md5(F.col("c_name").cast("binary")), F.md5(F.col("c_mktsegment").cast("binary"))))
-    path = _lines(c, sinks.fasta_lines(c, "c_name", "letters", 20), "fasta", compression="gzip")
-    records = text.fasta(c.sparkSession, path)
-    return text.wanted_records(records, c.where("c_acctbal > 5000").select(F.col("c_name").alias("id"))).select("id", "sequence")
+    c = c.withColumn("acc", acc).withColumn("name", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("sp|"), acc, F.lit("|X_HUMAN some protein"))))
+    path = _lines(c.orderBy("c_custkey"), sinks.fasta_lines(c, "name", "letters", 20), "fasta", compression="gzip")
+    asked = c.where("c_acctbal > 5000").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.col("acc")).alias("id"))
+    return text.wanted_records(text.fasta(c.sparkSession, path), asked).select("id", "sequence")
 
 
 _HIT = "concat_ws('\t', concat('q', l_orderkey), concat('s', l_partkey), {ident}, l_linenumber, 1, 0, 1, l_partkey + 1, 2, l_suppkey + 2, l_discount, {last})"

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.functions import identifiers
 from ravelin.functions.residues import ONE_LETTER
+from ravelin.operators import joins
 from ravelin.sources import zip_source
 
 
@@ -48,8 +50,16 @@ def single_fasta(spark: SparkSession, path: str, whole_header: bool = False, all
 
 
 def wanted_records(records: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
-    """First record, by files in order of name, of each wanted id."""
-    found = records.join(wanted.select(F.col(key).alias("id")).distinct(), "id", "left_semi")
+    """(id, sequence, path): the first record, by files in order of name, of each wanted id.
+
+    A record answers to its own id and to the accession in it, so `P12345` is
+    found in `sp|P12345|NAME`. Records are sifted by a filter of the wanted ids
+    in the scan, before they are shuffled; ids that no record has give no row.
+    """
+    ids = wanted.select(F.col(key).alias("id")).where("id IS NOT NULL").distinct()
+    forms = F.array_distinct(F.array_compact(F.array("id", identifiers.accession_loose(F.col("id")))))
+    named = records.select(F.explode(forms).alias("id"), "n", "sequence", "path")
+    found = joins.may_be_in(named, F.col("id"), ids, "id").join(ids, "id", "left_semi")
     return found.groupBy("id").agg(F.min_by(F.struct("sequence", "path"), "n").alias("r")).select("id", "r.sequence", "r.path")
 
 

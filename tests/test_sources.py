@@ -77,3 +77,22 @@ def test_repeated_keys_are_told_and_multiply_nothing(spark):
     right = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 2.0), (4, 4.0), (None, 5.0), (6, None), (7, 1.0), (7, 1.0)], "k int, v double")
     rows = {r.k: (r.left_value, r.right_value, r.status) for r in joins.audit(left, right, ["k"], "v").collect()}
     assert rows == {1: (1.0, None, "duplicate"), 2: (None, 2.0, "duplicate"), 3: (3.0, None, "missing_right"), 4: (None, 4.0, "extra_right"), None: (5.0, 5.0, "matched"), 6: (None, None, "matched"), 7: (None, None, "duplicate")}
+
+
+def test_wanted_ids_by_either_form_and_a_filter_before_the_shuffle(spark, tmp_path):
+    lines = [">sp|P12345|A_HUMAN x", "AA", ">Q99999", "CC", ">tr|Q99999|B", "GG", ">other", "TT", ">P12345-2", "AC"]
+    (tmp_path / "a.fasta").write_text("\n".join(lines))
+    records = text.fasta(spark, str(tmp_path / "a.fasta"))
+    wanted = spark.createDataFrame([("P12345",), ("tr|Q99999|B",), ("Q99999",), ("other",), ("absent",), (None,)], "id string")
+    assert {r.id: r.sequence for r in text.wanted_records(records, wanted).collect()} == {"P12345": "AA", "tr|Q99999|B": "GG", "Q99999": "CC", "other": "TT"}
+    plan = text.wanted_records(records, wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan.lower() or "bitmapconstructagg" in plan.lower()
+
+
+def test_filter_loses_nothing_and_sifts(spark):
+    wanted = spark.range(0, 5000, 1).select(F.concat(F.lit("k"), F.col("id") * 7).alias("w"))
+    rows = spark.range(0, 70_000).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("_bucket_"))
+    passed = {r.k for r in joins.may_be_in(rows, F.col("k"), wanted, "w").collect()}
+    hits = {f"k{i * 7}" for i in range(5000)}
+    assert hits <= passed and len(passed - hits) < 65_000 / 10
+    assert joins.may_be_in(rows, F.col("k"), wanted.limit(0), "w").count() == 0
