@@ -249,6 +249,54 @@ def best_match(scored: DataFrame, key: str, candidate: str, identity: str, least
     return ranked.select(key, candidate, identity, "margin", F.when(reason == "", "accepted").otherwise(reason).alias("status"))
 
 
+def match_chains(bound: DataFrame, free: DataFrame, case: str, chain: str, place: str, sequence: str, identity: float = 0.9, coverage: float = 0.8, lead: float = 0.05) -> DataFrame:
+    """Each chain of `bound` with the chain of `free`, in the same case, that it is likeliest to be.
+
+    (case, chain, best, identity, coverage_bound, coverage_free, second, matched,
+    status, reason, fallback): matches of an alignment over the longer length,
+    over either length, the identity of the next best, the best chain if it is
+    accepted, and what speaks against it otherwise: `missing_sequence`,
+    `low_identity`, `low_coverage_bound`, `low_coverage_free`, `ambiguous` if
+    the next best is nearer than `lead`, `no_candidates`. Of equal candidates
+    the first by `place` counts. The fallback, which no sequence supports, is
+    the chain of the same name, or else of the same place where both sides have
+    as many chains, or else the only one. A chain is compared with the chains of
+    its case only, which are few; distinct sequences are aligned once.
+    """
+    key = [F.col(case).alias("case"), F.col(chain).alias("chain"), F.col(place).alias("place"), F.nullif(F.col(sequence), F.lit("")).alias("s")]
+    left, right = stage(bound.select(*key), "bound-chains"), stage(free.select(*key), "free-chains")
+    both = left.join(right.select("case", F.col("chain").alias("other"), F.col("place").alias("other_place"), F.col("s").alias("t")), "case")
+    pairs = both.where("s IS NOT NULL AND t IS NOT NULL").select("s", "t").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(m=affine_matches(pdf["s"].tolist(), pdf["t"].tolist()))
+
+    matches = stage(pairs.mapInPandas(run, "s string, t string, m long"), "chain-matches")
+    scored = both.join(matches, ["s", "t"], "left")
+    share = lambda n: F.col("m") / n.cast("double")
+    n, m = F.length("s"), F.length("t")
+    scored = scored.select("case", "chain", "other", "other_place", F.struct(share(F.greatest(n, m)).alias("identity"), share(n).alias("coverage_bound"), share(m).alias("coverage_free")).alias("v"))
+    worth = F.struct(*[F.coalesce(F.col(f"v.{c}"), F.lit(-1.0)) for c in ("identity", "coverage_bound", "coverage_free")])
+    ranked = F.row_number().over(Window.partitionBy("case", "chain").orderBy(worth.desc(), "other_place", "other"))
+    top = scored.withColumn("_r", ranked).groupBy("case", "chain").agg(F.max(F.when(F.col("_r") == 1, F.struct("other", "v"))).alias("a"), F.max(F.when(F.col("_r") == 2, F.col("v.identity"))).alias("second"))
+    counts = lambda df, out: df.groupBy("case").agg(F.count(F.lit(1)).alias(out))
+    at = lambda df: df.withColumn("_at", F.row_number().over(Window.partitionBy("case").orderBy("place", "chain")))
+    placed = at(left).join(counts(left, "_b"), "case").join(counts(right, "_f"), "case", "left")
+    same = right.select("case", "chain", F.col("chain").alias("_same"))
+    there = at(right).select("case", "_at", F.col("chain").alias("_there"))
+    only = right.groupBy("case").agg(F.when(F.count(F.lit(1)) == 1, F.min("chain")).alias("_only"))
+    rows = placed.join(same, ["case", "chain"], "left").join(there, ["case", "_at"], "left").join(only, "case", "left").join(top, ["case", "chain"], "left")
+    fallback = F.coalesce("_same", F.when(F.col("_b") == F.col("_f"), F.col("_there")), "_only")
+    i, cb, cf = (F.col(f"a.v.{c}") for c in ("identity", "coverage_bound", "coverage_free"))
+    low = lambda c, least: F.coalesce(c < least, F.lit(True))
+    against = F.concat_ws(",", F.when(i.isNull(), "missing_sequence").otherwise(F.when(i < identity, "low_identity")), F.when(low(cb, coverage), "low_coverage_bound"), F.when(low(cf, coverage), "low_coverage_free"), F.when(F.coalesce(i - F.col("second") < lead, F.lit(False)), "ambiguous"))
+    reason = F.when(F.col("a").isNull(), "no_candidates").when(against == "", "accepted").otherwise(against)
+    out = rows.select("case", "chain", F.col("a.other").alias("best"), i.alias("identity"), cb.alias("coverage_bound"), cf.alias("coverage_free"), "second", reason.alias("reason"), fallback.alias("fallback"))
+    good = F.col("reason") == "accepted"
+    return out.withColumn("matched", F.when(good, F.col("best"))).withColumn("status", F.when(good, "sure").otherwise("unsure"))
+
+
 #: Sequences of a block of which all pairs are looked at in one task.
 BLOCK = 2048
 

@@ -162,3 +162,18 @@ def symmetrise(df: DataFrame, pair: Sequence[str], side: str, position: str, val
     """Both sides of a pair of equal chains get the mean of their values by position."""
     mean = df.groupBy(*pair, position).agg(F.avg(F.coalesce(F.col(value), F.lit(0.0))).alias("_mean"))
     return df.join(mean, [*pair, position]).withColumn(value, F.col("_mean")).drop("_mean")
+
+
+def surface_masked(rows: DataFrame, areas: DataFrame, group: Sequence[str], position: str, relative: str, signals: Sequence[str], least: float) -> DataFrame:
+    """`rows` with every signal zero at positions whose relative area is below `least`, and `exposed`.
+
+    A position without an area counts as buried. A group without any area
+    cannot be masked: its signals stay and `exposed` is null. Of areas that
+    repeat a position the largest counts.
+    """
+    known = areas.where(F.col(relative).isNotNull()).groupBy(*group, position).agg(F.max(relative).alias("_area"))
+    some = known.select(*group).distinct().withColumn("_known", F.lit(True))
+    joined = rows.join(known, [*group, position], "left").join(some, list(group), "left")
+    exposed = F.when(F.col("_known"), F.coalesce(F.col("_area") >= least, F.lit(False)))
+    kept = [F.when(F.coalesce(F.col("exposed"), F.lit(True)), F.col(s)).otherwise(F.lit(0)).alias(s) if s in signals else F.col(s) for s in rows.columns]
+    return joined.withColumn("exposed", exposed).select(*kept, "exposed")

@@ -350,3 +350,31 @@ _GAIN = " + ".join([f"CASE WHEN {greedy_sql.seen('type')} = 0 THEN 100 ELSE 0 EN
 def diverse_pick(t):
     p = t("part").withColumn("hard", F.col("p_partkey") % 3)
     return clusters.diverse_sample(p, ["p_brand"], "p_partkey", "p_size", "hard", ["p_name", "p_size"], "p_type", 8)
+
+
+@query("""
+    WITH s AS (SELECT l_returnflag AS g, l_suppkey % 60 AS i, sum(l_quantity)::DOUBLE AS a, count(*)::DOUBLE AS b FROM lineitem GROUP BY 1, 2),
+    r AS (SELECT l_returnflag AS g, l_suppkey % 60 AS i, max((l_partkey % 100) / 100.0::DOUBLE) AS rel FROM lineitem WHERE l_returnflag <> 'A' AND l_suppkey % 7 <> 0 AND l_linenumber = 7 GROUP BY 1, 2),
+    k AS (SELECT DISTINCT g FROM r)
+    SELECT s.g AS mode, s.i AS position, CASE WHEN k.g IS NULL OR rel >= 0.5 THEN a ELSE 0 END AS quantity, CASE WHEN k.g IS NULL OR rel >= 0.5 THEN b ELSE 0 END AS lines, CASE WHEN k.g IS NULL THEN 'unknown' WHEN rel >= 0.5 THEN 'exposed' ELSE 'buried' END AS state
+    FROM s LEFT JOIN r USING (g, i) LEFT JOIN k ON k.g = s.g""")
+def surface_signals(t):
+    """Two signals per mode and position, zero where the position is buried; one mode has no areas."""
+    li = t("lineitem").withColumn("mode", F.col("l_returnflag")).withColumn("position", F.col("l_suppkey") % 60)
+    signals = li.groupBy("mode", "position").agg(F.sum("l_quantity").cast("double").alias("quantity"), F.count(F.lit(1)).cast("double").alias("lines"))
+    areas = li.where("l_returnflag <> 'A' AND l_suppkey % 7 <> 0 AND l_linenumber = 7").select("mode", "position", ((F.col("l_partkey") % 100) / 100.0).alias("relative"))
+    out = scoring.surface_masked(signals, areas, ["mode"], "position", "relative", ["quantity", "lines"], 0.5)
+    state = F.when(F.col("exposed").isNull(), "unknown").when(F.col("exposed"), "exposed").otherwise("buried")
+    return out.select("mode", "position", "quantity", "lines", state.alias("state"))
+
+
+@query()
+def chain_match(t):
+    """Suppliers of a nation as chains, and their counterparts: some letters changed, cut short, doubled, or another's."""
+    s = t("supplier").select(F.col("s_nationkey").alias("case"), F.col("s_suppkey").alias("place"), F.concat(F.lit("c"), "s_suppkey").alias("chain"), F.upper(F.md5(F.col("s_name").cast("binary"))).alias("sequence"))
+    kind = F.col("place") % 5
+    other = F.when(kind == 0, F.translate("sequence", "A", "X")).when(kind == 1, F.left("sequence", F.lit(20))).when(kind == 2, F.concat("sequence", "sequence")).when(kind == 3, F.lit(None).cast("string")).otherwise(F.col("sequence"))
+    renamed = F.when(F.col("place") % 2 == 0, F.concat(F.lit("d"), "place")).otherwise(F.col("chain"))
+    free = s.where(F.col("case") % 6 != 0).select("case", "place", renamed.alias("chain"), other.alias("sequence"))
+    out = alignment.match_chains(s, free, "case", "chain", "place", "sequence")
+    return out.select("case", "chain", "best", r6("identity"), r6("coverage_bound"), r6("coverage_free"), r6("second"), "matched", "status", "reason", "fallback")

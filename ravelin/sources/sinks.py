@@ -69,6 +69,12 @@ def with_scores(lines: DataFrame, scores: DataFrame, on: Sequence[str], text: st
     return lines.join(scaled.select(*on, "_v"), list(on), "left").withColumn(text, F.overlay(F.col(text), value, F.lit(61), F.lit(6))).drop("_v")
 
 
+def only_chain(lines: DataFrame, text: str, chain: Column | str) -> DataFrame:
+    """Of fixed-width structure lines the atoms of one chain, whatever stands between them."""
+    wanted = F.lit(chain) if isinstance(chain, str) else chain
+    return lines.where(F.trim(F.substring(text, 1, 6)).isin("ATOM", "HETATM") & (F.substring(text, 22, 1) == wanted))
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -129,3 +129,29 @@ def test_registered_queries_by_loops_over_cells(spark):
     found = {(r.a, r.b): (r.score, r.matches, r.aligned, r.identity) for r in catalogue.QUERIES["needleman"](spark, folder).collect()}
     want = {(a, b): (*plain_linear(a, b)[:3], round(100.0 * plain_affine(a, b)[1] / max(len(a), len(b)), 6)) for a, b in {(r[2], r[3]) for r in rows}}
     assert found == want
+
+
+def test_chains_by_plain_python(spark):
+    rows = {
+        "bound": [("k", "A", 1, "ACDEFGHIKL"), ("k", "B", 2, "MNPQRSTVWY"), ("k", "C", 3, None), ("k", "D", 4, "ACDEF"), ("lone", "A", 1, "ACD"), ("one", "Z", 1, "ACDEFGHIKL")],
+        "free": [("k", "B", 1, "ACDEFGHIKL"), ("k", "X", 2, "MNPQRSTVW"), ("k", "A", 3, "ACDEFGHIKL"), ("k", "Y", 4, ""), ("one", "Q", 7, "ACDEFGHIKV")],
+    }
+    dfs = [spark.createDataFrame(r, "g string, c string, n int, q string") for r in rows.values()]
+    got = {(r.case, r.chain): (r.best, r.matched, r.reason, r.fallback) for r in alignment.match_chains(*dfs, "g", "c", "n", "q", lead=0.05).collect()}
+    assert got == {
+        ("k", "A"): ("B", None, "ambiguous", "A"),
+        ("k", "B"): ("X", "X", "accepted", "B"),
+        ("k", "C"): ("B", None, "missing_sequence,low_coverage_bound,low_coverage_free", "A"),
+        ("k", "D"): ("B", None, "low_identity,low_coverage_free,ambiguous", "Y"),
+        ("lone", "A"): (None, None, "no_candidates", None),
+        ("one", "Z"): ("Q", "Q", "accepted", "Q"),
+    }
+
+
+def test_chain_query_by_loops_over_cells(spark):
+    from ravelin.plans import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    for r in catalogue.QUERIES["chain_match"](spark, folder).collect():
+        assert (r.matched is not None) == (r.reason == "accepted") == (r.status == "sure")
+        assert r.identity is None or r.second is None or r.identity >= r.second

@@ -96,3 +96,11 @@ def test_filter_loses_nothing_and_sifts(spark):
     hits = {f"k{i * 7}" for i in range(5000)}
     assert hits <= passed and len(passed - hits) < 65_000 / 10
     assert joins.may_be_in(rows, F.col("k"), wanted.limit(0), "w").count() == 0
+
+
+def test_one_chain_of_a_structure(spark):
+    from ravelin.sources import sinks
+
+    line = "ATOM  %5d  CA  ALA %s%4d       1.000   2.000   3.000  1.00 10.00           C"
+    lines = spark.createDataFrame([(line % (i, "AB"[i % 2], i),) for i in range(6)] + [("TER",), ("REMARK            A",)], "line string")
+    assert sorted(r.line[22:26] for r in sinks.only_chain(lines, "line", "A").collect()) == ["   0", "   2", "   4"]
