@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.plans.staging import running_before
+
 
 def orientations(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """Pairs joined with hits of both queries in both directions, as a bag.
@@ -23,10 +25,15 @@ def orientations(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b:
 
 
 def neighbours(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
-    """(node, partner, weight) of undirected edges, partners ranked by weight, then name."""
+    """(node, partner, weight, rank) of undirected edges, partners ranked by weight, then name.
+
+    Ranks are counted by ranges of (node, weight, partner), so a node of very
+    many edges spans many tasks. Edges with a null end are left out.
+    """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("partner"), weight).unionByName(edges.where(F.col(a) != F.col(b)).select(F.col(b).alias("node"), F.col(a).alias("partner"), weight))
-    w = Window.partitionBy("node").orderBy(F.col(weight).desc_nulls_last(), "partner")
-    return both.withColumn("rank", F.row_number().over(w).cast("long"))
+    ordered = both.where("node IS NOT NULL AND partner IS NOT NULL").withColumn("_none", F.col(weight).isNull()).withColumn("_down", -F.col(weight))
+    ranked = running_before(ordered, ["node"], ["_none", "_down", "partner"], F.lit(1), "rank", "neighbours")
+    return ranked.select("node", "partner", weight, (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 def require_complete(df: DataFrame, reference: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ravelin.plans.staging import running_before
+
 
 def joined_set(values: Column) -> Column:
     """Sorted distinct values joined by `;`, or `-` if there are none."""
@@ -50,11 +52,12 @@ def top_cells(cells: DataFrame, group: Sequence[str], limit: int | None = None)
 
 
 def restraint_lines(df: DataFrame, code: str, label: str, role: str) -> DataFrame:
-    """(line, n): distinct labels, actives before passives, ` P` behind passives."""
+    """(line, n): distinct labels, actives before passives, ` P` behind passives; numbered by ranges, not in one task."""
     passive = F.col(role) == "passive"
     one = df.groupBy(code, label).agg(F.min(passive.cast("int")).alias("_p"))
     line = F.concat_ws(" ", code, label, F.when(F.col("_p") == 1, F.lit("P")))
-    return one.select(line.alias("line"), F.row_number().over(Window.orderBy("_p", code, label)).cast("long").alias("n"))
+    placed = running_before(one.withColumn("_all", F.lit(0)), ["_all"], ["_p", code, label], F.lit(1), "n", "restraints")
+    return placed.select(line.alias("line"), (F.col("n") + 1).cast("long").alias("n"))
 
 
 def with_scores(lines: DataFrame, scores: DataFrame, on: Sequence[str], text: str, score: str, group: Sequence[str] = ()) -> DataFrame:
