@@ -135,8 +135,9 @@ def smallest_distance(left: DataFrame, right: DataFrame, case: str, label: str,
 
 
 def contact_stats(left: DataFrame, right: DataFrame, case: str, label: str, order: str, cutoffs: Sequence[float], axes: Sequence[str] = AXES, least: int = 1) -> DataFrame:
-    """Per case of both tables: smallest distance, and within each cutoff point contacts and labels in contact on either side.
+    """Per case of either table: smallest distance, and within each cutoff point contacts and labels in contact on either side.
 
+    A case without points on one side has no distance and no contacts.
     `contacting` tells cases with at least `least` point contacts within the
     first cutoff.
     """

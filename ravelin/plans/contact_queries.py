@@ -55,7 +55,7 @@ _WITHIN = ", ".join(f"count(*) FILTER (d2 <= {c} * {c}) AS contacts_{c}, count(D
 @query(f"""
     WITH {_SIDES.format(shift=_FAR)},
     p AS (SELECT l.g, l.label AS a, r.label AS b, (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) + (l.z - r.z) * (l.z - r.z) AS d2 FROM l JOIN r USING (g)),
-    c AS (SELECT g, round(sqrt(min(d2)), 6) AS distance, {_WITHIN} FROM p GROUP BY g)
+    c AS (SELECT g, round(sqrt(min(d2)), 6) AS distance, {_WITHIN} FROM (SELECT g FROM l UNION SELECT g FROM r) LEFT JOIN p USING (g) GROUP BY g)
     SELECT g AS nation, * EXCLUDE (g), contacts_2 >= 3 AS contacting FROM c""")
 def side_contacts(t):
     """Contacts of either side within three cutoffs, and nations that have at least three within the first."""
