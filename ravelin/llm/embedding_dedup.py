@@ -8,7 +8,8 @@ all whatever the number of cells, so that what is shuffled and compared grows
 with the rows. Two vectors are compared where one is at home and the other at
 home or visiting, and counted once: in the cell of smaller number if both
 visit the other's. A link is lost only if neither end is among the PROBES
-cells of the other; labels of at most PROBES cells lose none.
+cells of the other; vectors too few for more than PROBES cells are one cell,
+which loses none.
 
 With `probes=None` a vector instead visits each cell of higher number whose
 border is near enough for a partner: for unit vectors x in cell h and y in cell
@@ -191,7 +192,7 @@ def find_groups(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CE
     centres = {}
     for dim, n in ((r["dim"], r["n"]) for r in largest):
         k = min(MOST_CELLS, -(-n // cell))
-        if k > 1:
+        if k > (probes or 1):  # fewer cells would all be visited: one, in blocks, moves less
             size = min(SAMPLE, SAMPLE_PER_CELL * k * 8, max(k, (1 << 23) // dim))
             got = distinct.where(F.size("v") == dim).orderBy(F.xxhash64("uid"), "uid").limit(size).select("v").toArrow()
             centres[dim] = fit_cells(_units(got.column("v").combine_chunks()), k)
