@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -32,6 +33,44 @@ def feature_manifest(columns: Iterable[str], keys: Iterable[str], leaking: Seque
     return out
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Columns whose names begin with a prefix have this role, come from this source, and may (`feature_safe`) or may not be features."""
+
+    prefix: str
+    role: str
+    source: str
+    status: str = "feature_safe"
+
+
+#: Where a column's entry of the manifest stands in its metadata.
+MANIFEST = "manifest"
+
+
+def annotate(df: DataFrame, rules: Sequence[Rule], source: str = "input", leaking: Sequence[str] = LEAKING) -> DataFrame:
+    """`df` whose columns carry role, source and status as metadata, which Parquet keeps.
+
+    A column that has an entry keeps it, so a later builder describes only what
+    it adds. Of several rules the longest prefix counts; a column that no rule
+    names is `derived`, from `source`, and to be reviewed before use. A leaking
+    prefix guards a column whatever the rules say.
+    """
+    entries = {}
+    for field in df.schema.fields:
+        if MANIFEST in field.metadata:
+            entries[field.name] = field.metadata[MANIFEST]
+            continue
+        rule = max((r for r in rules if field.name.startswith(r.prefix)), key=lambda r: len(r.prefix), default=Rule("", "derived", source, "review_before_use"))
+        status = "leakage_guard" if field.name.startswith(tuple(leaking)) else rule.status
+        entries[field.name] = {"role": rule.role, "source": rule.source, "status": status}
+    return df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata={**f.metadata, MANIFEST: entries[f.name]}) for f in df.schema.fields])
+
+
+def manifest_of(df: DataFrame) -> list[tuple[str, str, str, str]]:
+    """(column, role, source, status) of the annotated columns, in order."""
+    return [(f.name, *(f.metadata[MANIFEST][k] for k in ("role", "source", "status"))) for f in df.schema.fields if MANIFEST in f.metadata]
+
+
 def safe_features(df: DataFrame, keys: Iterable[str]) -> list[str]:
     """Numeric columns that the manifest calls safe, in the table's order."""
     numeric = {n for n, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")}

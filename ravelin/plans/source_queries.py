@@ -82,6 +82,62 @@ def _zips(df: DataFrame, key: str, name: str) -> str:
     return path
 
 
+def _sheets(df: DataFrame, key: str, name: str) -> str:
+    """A spreadsheet for each `key` of (row, first, text, number) rows; a key has few rows, as a sheet is short.
+
+    `text` goes to the shared strings, in the third column; the second is blank.
+    """
+    spark = df.sparkSession
+    path, drafts = new_path(spark, name), new_path(spark, f"{name}-drafts")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for p in (path, drafts):
+        fs.mkdirs(place(p))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        from pyspark import TaskContext
+
+        pdf = pdf.sort_values("row")
+        words = list(dict.fromkeys(x for x in pdf["text"] if isinstance(x, str)))
+        at = {w: i for i, w in enumerate(words)}
+        lines = []
+        for r, first, word, number in zip(pdf["row"], pdf["first"], pdf["text"], pdf["number"], strict=True):
+            more = f'<c r="C{r}" t="s"><v>{at[word]}</v></c><c r="D{r}"><v>{number}</v></c>' if isinstance(word, str) else ""
+            lines.append(f'<row r="{r}"><c r="A{r}" t="inlineStr"><is><t>{escape(first)}</t></is></c>{more}</row>')
+        store, root = file_store(drafts)
+        file, space = f"{uuid.uuid4().hex}-{TaskContext.get().taskAttemptId()}.xlsx", 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        with store.open_output_stream(f"{root}/{file}") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/sharedStrings.xml", f"<sst {space}>{''.join(f'<si><t>{escape(w)}</t></si>' for w in words)}</sst>")
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+        return pd.DataFrame({"file": [file]})
+
+    done, index = staged(df.groupBy(key).applyInPandas(pack, "file string"), f"{name}-index")
+    for row in done.collect():  # a row per sheet
+        fs.rename(place(f"{drafts}/{row['file']}"), place(f"{path}/{row['file']}"))
+    drop_path(spark, index)
+    return path
+
+
+# Sections of the sheets and what they stand for.
+_SECTIONS = {"AUTOMOBILE": "cars", "BUILDING": "houses", "FURNITURE": "chairs", "HOUSEHOLD": "pots", "MACHINERY": "gears"}
+
+
+@query(f"""
+    SELECT 'C' || c_custkey AS id, CASE c_mktsegment {" ".join(f"WHEN '{s}' THEN '{v}'" for s, v in _SECTIONS.items())} END AS section, c_name AS name, c_acctbal AS balance FROM customer""")
+def sheet_sections(t):
+    """Customers in sheets of 5000, under a header for each segment, with a total that is no data below each."""
+    c = t("customer").withColumn("sheet", F.floor(F.col("c_custkey") / 5000)).select("sheet", "c_mktsegment", "c_custkey", F.concat(F.lit("C"), "c_custkey").alias("first"), F.col("c_name").alias("text"), F.col("c_acctbal").cast("string").alias("number"))
+    part = c.select("sheet", "c_mktsegment").distinct()
+    extra = lambda at, first: part.select("sheet", "c_mktsegment", F.lit(at).cast("long").alias("c_custkey"), first.alias("first"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("number"))
+    rows = c.withColumn("c_custkey", F.col("c_custkey").cast("long")).unionByName(extra(-1, F.col("c_mktsegment"))).unionByName(extra(2**62, F.lit("Total")))
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("sheet").orderBy("c_mktsegment", "c_custkey")))
+    found = archives.sectioned(archives.xlsx_rows(c.sparkSession, _sheets(rows, "sheet", "sheets")), _SECTIONS, "^C[0-9]+$", 4)
+    return found.select(F.col("cells")[0].alias("id"), "section", F.col("cells")[2].alias("name"), F.col("cells")[3].cast("double").alias("balance"))
+
+
 @query("SELECT s_name AS id, upper(md5(s_name)) AS sequence FROM supplier")
 def fasta_single(t):
     s = t("supplier")
@@ -447,3 +503,28 @@ def matrix_binary(t):
     npy_source.write_matrix(v, path, "row", "embedding")
     rows = npy_source.read_matrix(v.sparkSession, path)
     return rows.select(F.col("row").alias("place"), F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 9).alias("total"), F.col("values")[0].alias("first"), F.size("values").alias("width"))
+
+
+@query("""
+    SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 5 = 3 THEN 'ambiguous' ELSE 'found' END AS status,
+           CASE WHEN s_suppkey % 5 IN (1, 3) THEN 'own' WHEN s_suppkey % 5 <> 0 THEN 'shared' END AS role FROM supplier""")
+def files_by_role(t):
+    """Suppliers with one own file, one shared file only, several of a kind, or none; beside them stray files."""
+    s = t("supplier").sparkSession
+    kinds = {1: ["{}_own_1.pdb", "{}_shared.pdb"], 2: ["{}_shared.pdb", "._{}_own_1.pdb"], 3: ["{}_own_1.pdb", "{}_own_2.pdb", "{}_shared.pdb"], 4: ["{}_shared.pdb", "{}_own_1.txt"]}
+    path = new_path(s, "roles")
+    hadoop = s._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
+
+    def touch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = file_store(path)
+        for pdf in batches:
+            for k in pdf["s_suppkey"]:
+                for name in kinds.get(k % 5, []):
+                    with store.open_output_stream(f"{root}/{name.format(k)}") as out:
+                        out.write(b"END\n")
+            yield pdf[["s_suppkey"]]
+
+    t("supplier").select("s_suppkey").mapInPandas(touch, "s_suppkey long").write.format("noop").mode("overwrite").save()
+    found = archives.role_files(s, path, t("supplier"), {"own": r"([0-9]+)_own_.*\.pdb", "shared": r"([0-9]+)_shared\.pdb"}, "s_suppkey")
+    return found.select("id", "status", "role")

@@ -6,11 +6,11 @@ import io
 import re
 import shlex
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ATOM = "path string, model long, chain string, number long, name string, atom string, x double, y double, z double"
@@ -84,9 +84,50 @@ def xlsx_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, cells array<string>")
 
 
+def sectioned(rows: DataFrame, sections: Mapping[str, str], data: str, least: int) -> DataFrame:
+    """(path, row, section, cells) of the data rows of sheets, each with the section header last seen above it.
+
+    A row whose first cell is a key of `sections` is a header, and its value
+    counts for the rows after it; a row whose first cell matches `data` is
+    data, and others are left out. Data before any header has section null; a
+    data row of fewer than `least` cells stops the job. A sheet has 2**20 rows
+    at most, so a window may hold one.
+    """
+    first = F.trim(F.get("cells", F.lit(0)))
+    named = F.create_map(*[F.lit(x) for pair in sections.items() for x in pair])[first] if sections else F.lit(None).cast("string")
+    above = Window.partitionBy("path").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.withColumn("_head", named).withColumn("section", F.last("_head", True).over(above))
+    short = F.raise_error(F.concat(F.lit("too few cells in row "), F.col("row").cast("string"), F.lit(" of "), F.col("path"))).cast("array<string>")
+    cells = F.when(F.size("cells") >= least, F.col("cells")).otherwise(short)
+    return told.where(F.col("_head").isNull() & first.rlike(data)).select("path", "row", "section", cells.alias("cells"))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, path) of the files of a folder, without those that a file system keeps beside them; Spark lists no file without content."""
+    files = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return files.where(~F.col("name").startswith("._"))
+
+
+def role_files(spark: SparkSession, folder: str, wanted: DataFrame, roles: Mapping[str, str], key: str = "id") -> DataFrame:
+    """(id, status, role, path): for each wanted id the one file of its first role that has any.
+
+    `roles` maps a role to a pattern of whole file names whose first group is
+    the id, in order of preference. An id whose role has several files is
+    `ambiguous` and one without files `missing`, both without a path; no later
+    role stands in for an ambiguous one.
+    """
+    of = F.array_compact(F.array(*[F.when(F.col("name").rlike(f"^(?:{p})$"), F.struct(F.lit(i).alias("at"), F.regexp_extract("name", f"^(?:{p})$", 1).alias("id"))) for i, p in enumerate(roles.values())]))
+    found = _files(spark, folder).select("path", F.explode(of).alias("r")).groupBy("r.id", "r.at").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
+    first = found.groupBy("id").agg(F.min_by(F.struct("at", "n", "path"), "at").alias("f"))
+    asked = wanted.select(F.col(key).cast("string").alias("id")).where("id IS NOT NULL").distinct().join(first, "id", "left")
+    one = F.col("f.n") == 1
+    status = F.when(one, "found").when(F.col("f.n") > 1, "ambiguous").otherwise("missing")
+    return asked.select("id", status.alias("status"), F.get(F.array(*[F.lit(r) for r in roles]), F.col("f.at")).alias("role"), F.when(one, F.col("f.path")).alias("path"))
+
+
 def complete_ids(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> DataFrame:
     """Ids for which `<id><suffix>` exists in `folder` for every suffix."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    files = _files(spark, folder).select("name")
     hits = [files.where(F.col("name").endswith(s)).select(F.expr(f"left(name, length(name) - {len(s)})").alias("id")) for s in suffixes]
     out = hits[0]
     for more in hits[1:]:
