@@ -64,7 +64,7 @@ def out_of_fold_sets(
     The objective is C times the weighted loss plus half the squared norm, with
     a free intercept unless `penalised_intercept`. Weights are those of the
     column `weight`, or 1 over the size of the row's `balance` group among the
-    training rows, scaled so that both classes weigh the same and the mean is 1.
+    training rows, null being a group, scaled so that both classes weigh the same and the mean is 1.
 
     Nulls and NaN of numeric columns are filled by zero or by the training rows' median,
     which comes from a sketch of bounded size, exact up to about `accuracy` rows and
@@ -82,7 +82,8 @@ def out_of_fold_sets(
     if weight and balance:
         raise ValueError("weights are given or balanced, not both")
     numbers = [x for x in asked if x not in categories]
-    df = df.drop(*[x for x in (*_OWN, "set", "probability") if x in df.columns])
+    # Read several times below: what makes it is done once.
+    df = stage(df.drop(*[x for x in (*_OWN, "set", "probability") if x in df.columns]), "fold-input")
     valid = F.col(label).isNotNull() & F.col(group).isNotNull()
     train = F.coalesce(valid & (F.lit(True) if primary is None else primary), F.lit(False))
 

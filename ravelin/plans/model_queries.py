@@ -14,7 +14,9 @@ def _models(t) -> fold_models.OutOfFold:
     n = F.length("text")
     count = lambda pattern: F.regexp_count("text", F.lit(pattern))
     made = {"size_text": n, "size_lines": count(r"\n"), "size_words": count(r"\S+"), "share_digits": count("[0-9]") / F.nullif(n, F.lit(0)), "share_marks": count("[^A-Za-z0-9 ]") / F.nullif(n, F.lit(0))}
-    e = t("documents").join(t("labels"), "doc_id").select("doc_id", "lang", "source", "quality", *[c.alias(name) for name, c in made.items()])
+    # Figures are taken in the scan, so that no text is shuffled.
+    figures = t("documents").select("doc_id", "lang", "source", *[c.alias(name) for name, c in made.items()])
+    e = figures.join(t("labels").select("doc_id", "quality"), "doc_id")
     e = ml.derived(e, {"size_text_x_share_digits": ("size_text", "share_digits")}, {"size_log": "size_text"})
     numbers = [*made, "size_text_x_share_digits", "size_log"]
     sets = feature_sets.generate(numbers, feature_sets.starting(size="size_", share="share_"), cross="_x_")
