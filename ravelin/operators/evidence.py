@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ravelin.plans.staging import attach, stage
+
 
 def universe(evidence: DataFrame, a: str, b: str, taxid_a: str, taxid_b: str, source: str) -> DataFrame:
     """(protein, sources, taxids): sorted sets over both ends of every evidence row."""
@@ -71,17 +73,22 @@ def transfer_contacts(contacts: DataFrame, left: DataFrame, right: DataFrame) ->
     `contacts` has entry, chain_a, pos_a, chain_b, pos_b; the maps have entry,
     chain, pos and query position `at`, with `evalue` and `bits` of their hit.
     Of an entry's chain pairs the one with the best left hit, then right hit,
-    counts.
+    counts. It is found from the best hit of each template position, and only
+    its contacts are carried, one side after the other and each place once, so
+    that hits on one position do not multiply each other.
     """
-    def one(a: str, b: str) -> DataFrame:
-        l = left.select("entry", F.col("chain").alias("cl"), F.col("pos").alias("pl"), F.col("at").alias("i"), F.col("evalue").alias("el"), F.col("bits").alias("bl"))
-        r = right.select("entry", F.col("chain").alias("cr"), F.col("pos").alias("pr"), F.col("at").alias("j"), F.col("evalue").alias("er"), F.col("bits").alias("br"))
-        c = contacts.select("entry", F.col(f"chain_{a}").alias("cl"), F.col(f"pos_{a}").alias("pl"), F.col(f"chain_{b}").alias("cr"), F.col(f"pos_{b}").alias("pr"))
-        return c.join(l, ["entry", "cl", "pl"]).join(r, ["entry", "cr", "pr"])
-
-    both = one("a", "b").unionByName(one("b", "a"))
-    best = F.min(F.struct("el", -F.col("bl"), "er", -F.col("br"), "cl", "cr")).over(Window.partitionBy("entry"))
-    return both.withColumn("_b", best).where("cl = _b.cl AND cr = _b.cr").select("entry", "i", "j").distinct()
+    hit = F.struct("evalue", (-F.col("bits")).alias("bits"))
+    ends = lambda c, p: (F.col("chain").alias(c), F.col("pos").alias(p))
+    one = lambda a, b: contacts.select("entry", F.col(f"chain_{a}").alias("cl"), F.col(f"pos_{a}").alias("pl"), F.col(f"chain_{b}").alias("cr"), F.col(f"pos_{b}").alias("pr"))
+    both = stage(one("a", "b").unionByName(one("b", "a")).distinct(), "contacts")
+    places = [stage(m.groupBy("entry", "chain", "pos", "at").agg(F.min(hit).alias("hit")), "places") for m in (left, right)]
+    l, r = (m.groupBy("entry", *ends(c, p)).agg(F.min("hit").alias(h)) for m, c, p, h in ((places[0], "cl", "pl", "hl"), (places[1], "cr", "pr", "hr")))
+    met = both.join(l, ["entry", "cl", "pl"]).join(r, ["entry", "cr", "pr"])
+    best = met.groupBy("entry").agg(F.min(F.struct("hl", "hr", "cl", "cr")).alias("b")).select("entry", "b.cl", "b.cr")
+    kept = attach(both, stage(best, "best-chains"), ["entry", "cl", "cr"], "inner")
+    i, j = (m.select("entry", *ends(c, p), F.col("at").alias(n)) for m, c, p, n in ((places[0], "cl", "pl", "i"), (places[1], "cr", "pr", "j")))
+    half = kept.join(i, ["entry", "cl", "pl"]).select("entry", "i", "cr", "pr").distinct()
+    return half.join(j, ["entry", "cr", "pr"]).select("entry", "i", "j").distinct()
 
 
 def paired_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, key: str, row: str) -> DataFrame:
