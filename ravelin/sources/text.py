@@ -188,20 +188,22 @@ def coupled(spark: SparkSession, path: str, l1: int, l2: int) -> DataFrame:
     Columns 4-6 are tried first, then 1-3, then the last three; from 1 before
     from 0. Cells inside one chain are left out, both orders fold into one.
     """
-    c = F.split(F.trim("value"), r"\s+")
     n = l1 + l2
-
-    def attempt(a: Column, b: Column, s: Column) -> Column:
-        x, y, v = (F.when(k >= 0, F.get(c, k)) for k in (a, b, s))
-        x, y, v = x.try_cast("int"), y.try_cast("int"), v.try_cast("double")
+    # A line is split once, and each value read once, in a projection of its own: columns used several times stay columns.
+    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("c"))
+    places = [(F.lit(a), F.lit(b), F.lit(s)) for a, b, s in ((3, 4, 5), (0, 1, 2))] + [tuple(F.size("c") - k for k in (3, 2, 1))]
+    read = lambda k, kind: F.when(k >= 0, F.get("c", k)).try_cast(kind)
+    rows = rows.select(*[read(k, kind).alias(f"{name}{at}") for at, place in enumerate(places) for k, name, kind in zip(place, "xyv", ("int", "int", "double"), strict=True)])
+
+    def attempt(at: int) -> Column:
+        x, y, v = (F.col(f"{name}{at}") for name in "xyv")
         one = x.between(1, n) & y.between(1, n) & v.isNotNull()
         zero = x.between(0, n - 1) & y.between(0, n - 1) & v.isNotNull()
         cell = lambda d: F.struct((F.least(x, y) + d).alias("p"), (F.greatest(x, y) + d).alias("q"), v.alias("score"))
         return F.when(one, cell(0)).when(zero, cell(1))
 
-    size = F.size(c)
-    tries = [attempt(F.lit(a), F.lit(b), F.lit(s)) for a, b, s in ((3, 4, 5), (0, 1, 2))] + [attempt(size - 3, size - 2, size - 1)]
-    cells = spark.read.text(path).select(F.coalesce(*tries).alias("m")).select("m.*").where(F.col("p").between(1, l1) & (F.col("q") > l1))
+    # The generator keeps the filter behind it, which would repeat all of the above for every use of a column.
+    cells = rows.select(F.inline(F.array(F.coalesce(*[attempt(at) for at in range(3)])))).where(F.col("p").between(1, l1) & (F.col("q") > l1))
     return cells.groupBy(F.col("p").alias("i"), (F.col("q") - l1).alias("j")).agg(F.max("score").alias("score"))
 
 

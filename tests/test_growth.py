@@ -25,3 +25,7 @@ def test_hits_on_one_position_do_not_multiply_each_other(spark):
     assert sorted((r.entry, r.i, r.j) for r in got) == [("e", i, j) for i in range(20) for j in range(20)]
 
 
+def test_coupling_lines_are_split_once(spark):
+    assert plan(catalogue.QUERIES["coupled_scan"](spark, SF)).count("split(") == 1
+
+
