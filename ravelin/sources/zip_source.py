@@ -21,8 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ravelin.plans.staging import file_store
 
 SCHEMA = "path string, member string, line long, value string"
-#: Lines, and bytes of lines, of an Arrow batch.
-LINES, BYTES = 8192, 1 << 23
+#: Lines of an Arrow batch at most, and letters that are read at once.
+LINES, BYTES = 8192, 1 << 20
 
 
 @dataclass
@@ -57,15 +57,18 @@ class ZipReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array([partition.path] * n), pa.array([partition.name] * n), pa.array(range(first, first + n), pa.int64()), pa.array(held, pa.string())], names=["path", "member", "line", "value"])
 
         with store.open_input_file(place) as f, zipfile.ZipFile(f) as z, z.open(partition.name) as member:
-            first, held, size = 0, [], 0
-            for line in io.TextIOWrapper(member, "utf-8", errors="replace"):
-                held.append(line.rstrip("\r\n"))
-                size += len(line)
-                if len(held) == LINES or size >= BYTES:
-                    yield batch(first, held)
-                    first, held, size = first + len(held), [], 0
-            if held:
-                yield batch(first, held)
+            first, rest, lines = 0, [], io.TextIOWrapper(member, "utf-8", errors="replace")
+            while block := lines.read(BYTES):
+                held = block.split("\n")
+                if len(held) == 1:  # within a line
+                    rest.append(block)
+                    continue
+                held[0], rest = "".join([*rest, held[0]]), [held.pop()]
+                for at in range(0, len(held), LINES):
+                    yield batch(first + at, held[at : at + LINES])
+                first += len(held)
+            if last := "".join(rest):
+                yield batch(first, [last])
 
 
 class ZipLines(DataSource):

@@ -25,6 +25,21 @@ def test_hits_on_one_position_do_not_multiply_each_other(spark):
     assert sorted((r.entry, r.i, r.j) for r in got) == [("e", i, j) for i in range(20) for j in range(20)]
 
 
+def test_every_archive_has_its_own_headers(spark):
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(tuple(r) for r in catalogue.QUERIES["zip_experimental"](spark, SF).select("p1", "p2", "support", "method_ids").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    assert got == sorted(con.execute(f"SELECT p1, p2, support, method_ids FROM ({catalogue.ORACLE_SQL['zip_experimental']})").fetchall())
+
+
 def test_coupling_lines_are_split_once(spark):
     assert plan(catalogue.QUERIES["coupled_scan"](spark, SF)).count("split(") == 1
 
