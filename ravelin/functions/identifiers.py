@@ -45,10 +45,24 @@ def resolve(fields: list[Column], parse) -> Column:
     A field is a `|`-separated list; `parse` turns an element into a candidate
     or null.
     """
-    lists = [F.array_distinct(F.array_compact(F.transform(F.split(F.coalesce(f, F.lit("")), r"\|"), parse))) for f in fields]
+    return told(first_candidates([candidates(f, parse) for f in fields]))
+
+
+def candidates(field: Column, parse) -> Column:
+    """The distinct candidates of a `|`-separated field."""
+    return F.array_distinct(F.array_compact(F.transform(F.split(F.coalesce(field, F.lit("")), r"\|"), parse)))
+
+
+def first_candidates(lists: list[Column]) -> Column:
+    """The first list that has candidates."""
     chosen = F.array().cast("array<string>")
     for found in reversed(lists):
         chosen = F.when(F.size(found) > 0, found).otherwise(chosen)
+    return chosen
+
+
+def told(chosen: Column) -> Column:
+    """(value, status) of a list of candidates."""
     status = F.when(F.size(chosen) == 1, "ok").when(F.size(chosen) > 1, "ambiguous").otherwise("missing")
     return F.struct(F.when(F.size(chosen) == 1, F.get(chosen, F.lit(0))).alias("value"), status.alias("status"))
 

@@ -25,10 +25,19 @@ def _finish(df: DataFrame, source: str, reason: Column, a: Column, b: Column, ta
     # A row's place is that of `text.line_order`; a plain number is a place in one nameless file.
     numbered = df.schema["n"].dataType.typeName() != "struct"
     n = F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("at")) if numbered else F.col("n")
-    rows = df.select(F.lit(source).alias("source"), n.alias("n"), reason.alias("reason"), p1.alias("p1"), p2.alias("p2"), t1.alias("taxid_1"), t2.alias("taxid_2"), F.explode(terms).alias("t"))
+    row = F.struct(F.lit(source).alias("source"), n.alias("n"), reason.alias("reason"), p1.alias("p1"), p2.alias("p2"), t1.alias("taxid_1"), t2.alias("taxid_2"), terms.alias("terms"))
+    # A filter by reason stays behind a generator; pushed down, it would parse each row again.
+    rows = df.select(F.inline(F.array(row))).select("*", F.explode("terms").alias("t"))
     return rows.select("source", "n", "reason", "p1", "p2", "taxid_1", "taxid_2", F.col("t.label").alias("method"), F.col("t.id").alias("method_id"))
 
 
+def _with_ends(rows: DataFrame, fields: dict[str, list[Column]]) -> DataFrame:
+    """Adds (value, status) of each end under its name; fields are parsed once, in columns of their own."""
+    lists = {f"{end}{i}": identifiers.candidates(c, identifiers.accession_strict) for end, columns in fields.items() for i, c in enumerate(columns)}
+    chosen = {end: identifiers.first_candidates([F.col(f"{end}{i}") for i in range(len(columns))]) for end, columns in fields.items()}
+    return rows.withColumns(lists).withColumns(chosen).drop(*lists).withColumns({end: identifiers.told(F.col(end)) for end in fields})
+
+
 def _mapped(side: str, status: Column) -> tuple[str, Column]:
     return f"map_{side}", status != "ok"
 
@@ -38,8 +47,7 @@ def molecular(rows: DataFrame, drop_expanded: bool = False) -> DataFrame:
     c = lambda i: F.col("columns")[i]
     kind = F.lower(c(11))
     protein = lambda f: f.rlike(r"(?i)\(protein\)|protein\s*(?:\||$)")
-    a, b = (identifiers.resolve([c(i), c(i + 2)], identifiers.accession_strict) for i in (0, 1))
-    found = rows.withColumn("_a", a).withColumn("_b", b)
+    found = _with_ends(rows, {"_a": [c(0), c(2)], "_b": [c(1), c(3)]})
     expanded = F.lit(drop_expanded) & ~c(15).isin("", "-")
     reason = joins.first_reason([("negative", F.lower(F.trim(c(35))) == "true"), ("nonphysical", F.greatest(*[F.contains(kind, F.lit(t)) for t in NON_PHYSICAL])), ("expanded", expanded), ("nonprotein", ~(protein(c(20)) & protein(c(21)))), _mapped("a", F.col("_a.status")), _mapped("b", F.col("_b.status"))])
     return _finish(found, "IntAct", reason, F.col("_a.value"), F.col("_b.value"), identifiers.taxid(c(9)), identifiers.taxid(c(10)), identifiers.terms(c(6)))
@@ -48,8 +56,7 @@ def molecular(rows: DataFrame, drop_expanded: bool = False) -> DataFrame:
 def experimental(rows: DataFrame) -> DataFrame:
     """Tab-separated curated interactions: `columns` of at least 29 fields and row order `n`; reviewed accessions come first."""
     c = lambda i: F.col("columns")[i]
-    a, b = (identifiers.resolve([c(i), c(i + 1)], identifiers.accession_strict) for i in (23, 26))
-    found = rows.withColumn("_a", a).withColumn("_b", b)
+    found = _with_ends(rows, {"_a": [c(23), c(24)], "_b": [c(26), c(27)]})
     reason = joins.first_reason([("nonphysical", c(12) != "physical"), _mapped("a", F.col("_a.status")), _mapped("b", F.col("_b.status"))])
     method = F.when(c(11) == "", "-").otherwise(c(11))
     return _finish(found, "BioGRID", reason, F.col("_a.value"), F.col("_b.value"), identifiers.taxid(c(15)), identifiers.taxid(c(16)), F.array(F.struct(method.alias("label"), identifiers.slug(c(11), "biogrid").alias("id"))))

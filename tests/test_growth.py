@@ -53,6 +53,10 @@ def test_strict_hits_carry_no_file_names(spark):
     assert "file_path" not in plan(catalogue.QUERIES["hit_scan_strict"](spark, SF))
 
 
+def test_archives_are_read_once(spark):
+    assert "zip_lines" not in plan(catalogue.QUERIES["zip_molecular"](spark, SF))
+
+
 def test_coupling_lines_are_split_once(spark):
     assert plan(catalogue.QUERIES["coupled_scan"](spark, SF)).count("split(") == 1
 
