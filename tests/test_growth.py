@@ -68,3 +68,16 @@ def test_single_records_lie_in_one_folder(spark):
     assert sorted((r.file_name, r.value) for r in files) == [("1", ">a\nAC"), ("2", ">b\nGT")]
 
 
+def test_a_pair_is_found_from_one_of_its_cells(spark):
+    points = spark.createDataFrame([(k, (k * 37 % 100) / 50, (k * 61 % 100) / 50, (k * 83 % 100) / 50, k % 3) for k in range(300)], "k long, x double, y double, z double, g int")
+    rows = points.collect()
+    close = lambda a, b: (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.25
+    want = {(a.k, b.k, a.g, b.g) for a in rows for b in rows if a.k < b.k and close(a, b)}
+    pairs = spatial.radius_pairs(points, "k", "xyz", 0.5, carry="g")
+    assert len(want) == pairs.count() and {(r.a, r.b, r.va, r.vb) for r in pairs.collect()} == want
+    # Half of the 27 cells, the own one included.
+    assert plan(pairs).count("struct(") >= 1 and "_other" in plan(pairs)
+    counted = {r.g: (r.contacts_0_5, r.points_0_5) for r in spatial.contact_counts(pairs, ["g"], [0.5], points, "k").collect()}
+    assert counted == {g: (sum(x[2] == g for x in want), len({x[0] for x in want if x[2] == g})) for g in range(3)}
+
+
