@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import identifiers
 from ravelin.operators import aggregates, evidence, joins, scoring, selection
 from ravelin.plans.registry import query, r6
+from ravelin.plans.staging import tasks_for
 
 _PAIRS = """
     SELECT a.l_partkey AS a, b.l_partkey AS b, count(DISTINCT a.l_orderkey) AS support
@@ -16,11 +17,13 @@ _PAIRS = """
 
 
 def _pairs(t):
-    one = t("lineitem").select("l_orderkey", "l_partkey").distinct()
+    lines = t("lineitem")
+    one = lines.select("l_orderkey", "l_partkey").distinct()
     two = one.select("l_orderkey", F.col("l_partkey").alias("b"))
     lo, hi = identifiers.ordered_pair(F.col("l_partkey"), F.col("b"))
-    # A pair of parts of an order, each order once.
-    return one.join(two, "l_orderkey").where("l_partkey < b").groupBy(lo.alias("a"), hi.alias("b")).agg(F.count(F.lit(1)).alias("support"))
+    # A pair of parts of an order, each order once. Few pairs are alike, so they are dealt to as many tasks as the lines ask before they are counted.
+    met = one.join(two, "l_orderkey").where("l_partkey < b").select(lo.alias("a"), hi.alias("b"))
+    return met.repartition(tasks_for(lines), "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("support"))
 
 
 @query(_PAIRS)

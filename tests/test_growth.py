@@ -49,6 +49,12 @@ def test_a_record_that_nobody_asks_for_hides_no_other(spark):
     assert len(want) == 2 and sorted(tuple(r) for r in source_queries.fasta_wanted(tables(spark, customer=customer)).collect()) == want
 
 
+def test_pairs_of_parts_are_dealt_to_tasks_by_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(staging, "ROWS_A_TASK", 1000)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert graph_queries._pairs(tables(spark)).rdd.getNumPartitions() == -(-lines // 1000) > staging.shuffle_width(spark)
+
+
 def test_strict_hits_carry_no_file_names(spark):
     assert "file_path" not in plan(catalogue.QUERIES["hit_scan_strict"](spark, SF))
 
