@@ -81,7 +81,8 @@ def hits(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     else:
         raw = raw.where(~wrong)
     kinds = {c: "string" for c in HIT_COLUMNS[:2]} | {c: "long" if c in _INTEGERS else "double" for c in HIT_COLUMNS[2:]}
-    rows = raw.select("n", *[F.col("c")[i].try_cast(kinds[c]).alias(c) for i, c in enumerate(HIT_COLUMNS)])
+    # The generator keeps the filter behind it, which would split a line again for each column.
+    rows = raw.select("n", F.inline(F.array(F.struct(*[F.col("c")[i].try_cast(kinds[c]).alias(c) for i, c in enumerate(HIT_COLUMNS)]))))
     return rows.dropna(subset=list(HIT_COLUMNS))
 
 
