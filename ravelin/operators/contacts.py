@@ -1,12 +1,12 @@
 """Nearest partners and smallest distances of two point sets per case, exactly.
 
 A case's points lie in an octree over its bounding cube; a cell is one long
-whose parent is the number shifted by three bits. From the coarse level down,
-pairs of cells, one of each side, are refined to pairs of their children by
-equi joins. The largest distance of two boxes bounds the nearest partner of
-everything in either, so a pair goes on only if its boxes' smallest distance is
-within the bound of one of them: rings of cells around every cell, as wide as
-the bound asks. At the finest level the points of the pairs left are compared.
+whose parent is the number shifted by three bits. A cell of either side keeps
+the box of its points and one of them. First every cell goes down the other
+side's tree to one leaf, by the nearest of these; the least distance of a
+label's points, or of a case's, to what their leaves reach bounds what is sought. Then points go down
+again, to every cell whose box is within the bound: most leave near the root,
+as another point of their label is nearer. Points of the leaves reached are compared.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ from ravelin.operators.spatial import squared_distance
 from ravelin.plans.staging import attach, stage
 
 AXES = ("x", "y", "z")
-#: Points of a finest cell beyond which the tree grows deeper, deepest level, and level at which pairs begin.
-CELL, DEEPEST, FIRST = 32, 20, 2
+#: Points of a leaf, as a point meets them on average, beyond which the tree grows deeper, and deepest level.
+CELL, DEEPEST = 16, 20
+#: Levels gone down in one plan; what Catalyst infers of more of them grows exponentially.
+STRIDE = 3
 #: Bounds and distances are rounded in different orders.
 _SLACK = 1 + 1e-9
 
 
+
 def _points(left: DataFrame, right: DataFrame, case: str, label: str, order: str, axes: Sequence[str]) -> DataFrame:
     """(case, side, label, place, x, y, z) of both tables."""
     one = lambda df, side: df.select(F.col(case).alias("case"), F.lit(side).alias("side"), F.col(label).alias("label"), F.col(order).alias("place"), *[(F.col(a).cast("double") + 0.0).alias(x) for a, x in zip(axes, AXES, strict=True)])
@@ -38,67 +41,83 @@ def _sound() -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce((F.col(x) - F.col(x)) == 0, F.lit(False)) for x in AXES]) & F.col("case").isNotNull()
 
 
-def _tree(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Sites (case, side, cell, x, y, z, with place and label of the first point there) and the boxes of each level, coarse first.
+def _spread(n: Column) -> Column:
+    """The bits of a number below 2 ** 21, two empty ones after each."""
+    for by, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        n = n.bitwiseOR(F.shiftleft(n, by)).bitwiseAND(F.lit(mask))
+    return n
+
+
+def _tree(points: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Points with their leaf; sites (case, side, cell, x, y, z, with place and label of the first point there); the cells of each level, coarse first.
 
-    Cases without points on both sides, points without coordinates and those
-    without a case are left out.
+    A cell has the box of its sites and one of them, which is one of its
+    children's too. Cases without points on both sides, points without
+    coordinates and those without a case are left out.
     """
-    flat = stage(points.where(_sound()).groupBy("case", "side", *AXES).agg(F.min(F.struct("place", "label")).alias("r")).select("case", "side", *AXES, "r.*"), "points")
+    points = points.where(_sound())
+    flat = stage(points.groupBy("case", "side", *AXES).agg(F.min(F.struct("place", "label")).alias("r")).select("case", "side", *AXES, "r.*"), "points")
     span = F.greatest(*[F.max(x) - F.min(x) for x in AXES])
     frames = flat.groupBy("case").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"), span.alias("span"), *[F.min(x).alias(f"{x}0") for x in AXES])
     frames = stage(frames.where("n0 > 0 AND n1 > 0"), "frames")
-    held = attach(flat, frames, ["case"], "inner")
-    most = frames.agg(F.max(F.col("n0") + F.col("n1")).alias("n")).first()["n"] or 1
-    depth = min(DEEPEST, max(FIRST, -(-max(0, (most // CELL).bit_length()) // 3)))
-    while True:
-        side = lambda x: F.when(F.col("span") > 0, F.least(F.lit((1 << depth) - 1), F.floor((F.col(x) - F.col(f"{x}0")) / F.col("span") * (1 << depth)).cast("long"))).otherwise(F.lit(0))  # noqa: B023, E731
-        spread = lambda x: F.conv(F.bin(side(x)), 8, 10).cast("long")  # noqa: B023, E731  the bits of a number, two empty ones after each
-        placed = stage(held.withColumn("cell", spread("x") * 4 + spread("y") * 2 + spread("z")).select("case", "side", "cell", "place", "label", *AXES), "placed")
-        largest = placed.groupBy("case", "side", "cell").count().agg(F.max("count").alias("n")).first()["n"] or 0
-        if largest <= CELL or depth == DEEPEST:
+    side = lambda x: F.when(F.col("span") > 0, F.least(F.lit((1 << DEEPEST) - 1), F.floor((F.col(x) - F.col(f"{x}0")) / F.col("span") * (1 << DEEPEST)).cast("long"))).otherwise(F.lit(0)).cast("long")
+    within = lambda df, level: attach(df, frames, ["case"], "inner").withColumn("cell", F.shiftright(_spread(side("x")) * 4 + _spread(side("y")) * 2 + _spread(side("z")), 3 * (DEEPEST - level))).select(*df.columns, "cell")
+    most = frames.agg(F.max(F.greatest("n0", "n1")).alias("n")).first()["n"] or 1
+    depth = min(DEEPEST, max(1, -(-max(0, (most // CELL).bit_length()) // 3)))
+    while depth < DEEPEST:
+        counts = within(flat, depth).groupBy("case", "side", "cell").count()
+        if (counts.groupBy("side").agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0) <= CELL:
             break
-        depth = min(DEEPEST, depth + 2)
-    bounds = [f(x).alias(f"{n}{x}") for x in AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    boxes = [stage(placed.groupBy("case", "side", "cell").agg(*bounds), "boxes")]
+        depth += 1
+    placed = within(flat, depth)
+    one = F.min(F.struct(F.xxhash64(*AXES).alias("h"), *AXES)).alias("one")
+    cells = [stage(placed.groupBy("case", "side", "cell").agg(*[f(x).alias(f"{n}{x}") for x in AXES for f, n in ((F.min, "lo"), (F.max, "hi"))], one), "cells")]
     wider = [f(f"{n}{x}").alias(f"{n}{x}") for x in AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    for _ in range(depth - FIRST):
-        boxes.append(stage(boxes[-1].groupBy("case", "side", F.shiftright("cell", 3).alias("cell")).agg(*wider), "boxes"))
-    return placed, boxes[::-1]
+    for _ in range(depth - 1):
+        cells.append(stage(cells[-1].groupBy("case", "side", F.shiftright("cell", 3).alias("cell")).agg(*wider, F.min("one").alias("one")), "cells"))
+    return within(points, depth), placed, cells[::-1]
 
 
 def _sum(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _near_cells(boxes: list[DataFrame], whole_case: bool) -> DataFrame:
-    """(case, a, b): pairs of finest cells that may hold a nearest pair, of either side's points or of the case."""
-    pairs = None
-    for level in boxes:
-        one = level.where("side = 0").select("case", F.col("cell").alias("a"), *[F.col(f"{n}{x}").alias(f"a{n}{x}") for x in AXES for n in ("lo", "hi")])
-        two = level.where("side = 1").select("case", F.col("cell").alias("b"), *[F.col(f"{n}{x}").alias(f"b{n}{x}") for x in AXES for n in ("lo", "hi")])
-        if pairs is None:  # at most 64 cells a side
-            both = one.join(two, "case")
+def _bounds(queries: DataFrame, cells: list[DataFrame], key: Sequence[str]) -> DataFrame:
+    """(key, bound): the least squared distance of a point of the key and one point of the leaf that its own leaf goes down to."""
+    sides = [f"{n}{x}" for x in AXES for n in ("lo", "hi")]
+    chosen = None
+    for level in cells:
+        up = F.shiftright("cell", 3)
+        own = level.select("case", "side", "cell", up.alias("up"), *sides)
+        other = level.select("case", (F.lit(1) - F.col("side")).alias("side"), F.col("cell").alias("to"), up.alias("up_to"), "one", *[F.col(c).alias(f"_{c}") for c in sides])
+        if chosen is None:
+            both = own.join(other, ["case", "side"])
         else:
-            up = lambda c: F.shiftright(c, 3).alias(f"p{c}")
-            both = pairs.select("case", F.col("a").alias("pa"), F.col("b").alias("pb")).join(one.select("*", up("a")), ["case", "pa"]).join(two.select("*", up("b")), ["case", "pb"])
-        gaps = [F.greatest(F.lit(0.0), F.col(f"alo{x}") - F.col(f"bhi{x}"), F.col(f"blo{x}") - F.col(f"ahi{x}")) for x in AXES]
-        reach = [F.greatest(F.col(f"ahi{x}") - F.col(f"blo{x}"), F.col(f"bhi{x}") - F.col(f"alo{x}")) for x in AXES]
-        found = stage(both.select("case", "a", "b", _sum([g * g for g in gaps]).alias("near"), _sum([r * r for r in reach]).alias("far")), "cell-pairs")
-        bound = lambda *key: found.groupBy(*key).agg((F.min("far") * _SLACK).alias(f"bound_{key[-1]}"))  # noqa: B023, E731
-        if whole_case:
-            kept = found.join(bound("case"), "case").where("near <= bound_case")
-        else:
-            kept = found.join(bound("case", "a"), ["case", "a"]).join(bound("case", "b"), ["case", "b"]).where("near <= greatest(bound_a, bound_b)")
-        pairs = stage(kept.select("case", "a", "b"), "near-cells")
-    return pairs
-
-
-def _compared(placed: DataFrame, cells: DataFrame) -> DataFrame:
-    """(case, place and label of either side, d2) of the points of pairs of cells."""
-    ends = [placed.where(f"side = {k}").select("case", F.col("cell").alias(c), F.col("place").alias(f"{c}_place"), F.col("label").alias(f"{c}_label"), *[F.col(x).alias(f"{c}{x}") for x in AXES]) for k, c in enumerate("ab")]
-    met = cells.join(ends[0], ["case", "a"]).join(ends[1], ["case", "b"])
-    return met.withColumn("d2", squared_distance([F.col(f"a{x}") for x in AXES], [F.col(f"b{x}") for x in AXES]))
+            both = own.join(chosen.select("case", "side", F.col("cell").alias("up"), F.col("to").alias("up_to")), ["case", "side", "up"]).join(other, ["case", "side", "up_to"])
+        # By the gap first: a few points' small box at the edge is not far off, but nothing near is below it.
+        gap = [F.greatest(F.lit(0.0), F.col(f"lo{x}") - F.col(f"_hi{x}"), F.col(f"_lo{x}") - F.col(f"hi{x}")) for x in AXES]
+        far = [F.greatest(F.col(f"hi{x}") - F.col(f"_lo{x}"), F.col(f"_hi{x}") - F.col(f"lo{x}")) for x in AXES]
+        rank = F.struct(_sum([g * g for g in gap]).alias("near"), _sum([f * f for f in far]).alias("far"), "to", "one")
+        least = both.withColumn("n", rank).groupBy("case", "side", "cell").agg(F.min("n").alias("n"))
+        chosen = stage(least.select("case", "side", "cell", "n.to", *[F.col(f"n.one.{x}").alias(f"_{x}") for x in AXES]), "chosen-cells")
+    at = attach(queries, chosen, ["case", "side", "cell"], "inner").withColumn("d2", squared_distance([F.col(x) for x in AXES], [F.col(f"_{x}") for x in AXES]))
+    return stage(at.groupBy(*key).agg(F.min("d2").alias("bound")), "bounds")
+
+
+def _met(queries: DataFrame, placed: DataFrame, cells: list[DataFrame], key: Sequence[str]) -> DataFrame:
+    """(key, d2, place and label met) of each point and those of the other side that may be as near as the key's nearest."""
+    bounds = _bounds(queries, cells, key)
+    at = attach(queries.select(*key, *AXES, (F.lit(1) - F.col("side")).alias("_to"), F.lit(0).cast("long").alias("_up")), bounds, list(key), "inner")
+    for i, level in enumerate(cells):
+        if i and i % STRIDE == 0:
+            at = stage(at, "going-down")
+        boxes = level.select("case", F.col("side").alias("_to"), F.shiftright("cell", 3).alias("_up"), F.col("cell").alias("_cell"), *[f"{n}{x}" for x in AXES for n in ("lo", "hi")])
+        gaps = [F.greatest(F.lit(0.0), F.col(f"lo{x}") - F.col(x), F.col(x) - F.col(f"hi{x}")) for x in AXES]
+        near = attach(at, boxes, ["case", "_to", "_up"], "inner").where(_sum([g * g for g in gaps]) <= F.col("bound") * _SLACK)
+        at = near.select(*key, *AXES, "_to", F.col("_cell").alias("_up"), "bound")
+    sites = placed.select("case", F.col("side").alias("_to"), F.col("cell").alias("_up"), "place", F.col("label").alias("met"), *[F.col(x).alias(f"_{x}") for x in AXES])
+    met = at.join(sites, ["case", "_to", "_up"]).withColumn("d2", squared_distance([F.col(x) for x in AXES], [F.col(f"_{x}") for x in AXES]))
+    return met.where(F.col("d2") <= F.col("bound") * _SLACK).select(*key, "d2", "place", "met")
 
 
 def nearest_partners(left: DataFrame, right: DataFrame, case: str, label: str, order: str, axes: Sequence[str] = AXES, cutoff: float | None = None) -> DataFrame:
@@ -112,14 +131,12 @@ def nearest_partners(left: DataFrame, right: DataFrame, case: str, label: str, o
     are kept and have no partner. With `cutoff` a column `interface` tells
     labels that near their partner.
     """
-    points = _points(left, right, case, label, order, axes)
+    points = stage(_points(left, right, case, label, order, axes), "points-of-both")
     named = points.where(F.col("label").isNotNull())
-    placed, boxes = _tree(named)
-    met = _compared(placed, _near_cells(boxes, whole_case=False))
-    both = F.array(*[F.struct(F.lit(k).alias("side"), *[F.col(f"{u}{x}").alias(x) for x in AXES], F.col("d2"), F.col(f"{v}_place").alias("place"), F.col(f"{v}_label").alias("partner")) for k, (u, v) in enumerate(("ab", "ba"))])
-    sites = stage(met.select("case", F.inline(both)).groupBy("case", "side", *AXES).agg(F.min(F.struct("d2", "place", "partner")).alias("m")), "site-partners")
-    best = named.where(_sound()).join(sites, ["case", "side", *AXES]).groupBy("case", "side", "label").agg(F.min("m").alias("m"))
-    best = stage(best.select("case", "side", "label", F.sqrt("m.d2").alias("distance"), "m.partner"), "partners")
+    held, placed, cells = _tree(named)
+    key = ["case", "side", "label"]
+    met = _met(held, placed, cells, key).groupBy(*key).agg(F.min(F.struct("d2", "place", "met")).alias("m"))
+    best = stage(met.select(*key, F.sqrt("m.d2").alias("distance"), F.col("m.met").alias("partner")), "partners")
     out = points.select("case", "side", "label").distinct().join(best, ["case", "side", "label"], "left")
     return out if cutoff is None else out.withColumn("interface", F.coalesce(F.col("distance") <= cutoff, F.lit(False)))
 
@@ -129,8 +146,8 @@ def smallest_distance(left: DataFrame, right: DataFrame, case: str, label: str,
 
     Cases without finite points on both sides have no row.
     """
-    placed, boxes = _tree(_points(left, right, case, label, order, axes))
-    met = _compared(placed, _near_cells(boxes, whole_case=True))
+    _, placed, cells = _tree(_points(left, right, case, label, order, axes))
+    met = _met(placed.where("side = 0"), placed, cells, ["case"])
     return met.groupBy("case").agg(F.sqrt(F.min("d2")).alias("distance"))
 
 

@@ -78,3 +78,13 @@ def test_no_cross_join_in_the_plan(spark):
     dfs = [spark.createDataFrame([(*r, "c", "s") for r in rows], SCHEMA) for rows in (left, right)]
     plan = contacts.nearest_partners(*dfs, "g", "label", "place")._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_points_that_another_of_their_label_outdoes_meet_nothing(spark):
+    """Points met grow with the labels, not with the points in reach of each point."""
+    rng = np.random.default_rng(5)
+    left = [("g", f"a{i % 20}", i % 20, *map(float, rng.uniform(0, (50, 10, 10))), "c", "s") for i in range(2000)]
+    right = [("g", f"b{i % 20}", i % 20, *map(float, rng.uniform(0, 10, 3)), "c", "s") for i in range(2000)]
+    points = contacts._points(*[spark.createDataFrame(r, SCHEMA) for r in (left, right)], "g", "label", "place", contacts.AXES)
+    held, placed, cells = contacts._tree(points)
+    assert contacts._met(held, placed, cells, ["case", "side", "label"]).count() < 4000
