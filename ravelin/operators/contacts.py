@@ -167,12 +167,14 @@ def contact_stats(left: DataFrame, right: DataFrame, case: str, label: str, orde
     d2 = squared_distance([F.col(f"a{x}") for x in AXES], [F.col(f"b{x}") for x in AXES])
     near = ends[0].join(ends[1], ["case", *[f"c{x}" for x in AXES]]).withColumn("d2", d2).where(F.col("d2") <= max(cutoffs) ** 2)
     names = {c: f"{c:g}".replace(".", "_") for c in cutoffs}
-    # Labels first, so that the distinct counts see a row per pair of labels.
-    labels = near.groupBy("case", "a_label", "b_label").agg(*[F.count_if(F.col("d2") <= c * c).alias(f"n_{n}") for c, n in names.items()])
+    # A pair is a row of either label, summed before it moves: rows that move grow with points and cells, not with pairs.
+    within = [F.when(F.col("d2") <= c * c, 1).otherwise(0).cast("long").alias(f"n_{n}") for c, n in names.items()]
+    both = F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{c}_label").alias("label"), *[F.col(f"n_{n}") for n in names.values()]) for k, c in enumerate("ab")]))
+    labels = near.select("case", "a_label", "b_label", *within).select("case", both).groupBy("case", "side", "label").agg(*[F.sum(f"n_{n}").alias(f"n_{n}") for n in names.values()])
     outs = []
     for n in names.values():
-        hit = F.col(f"n_{n}") > 0
-        outs += [F.sum(f"n_{n}").alias(f"contacts_{n}"), F.count_distinct(F.when(hit, F.col("a_label"))).alias(f"left_{n}"), F.count_distinct(F.when(hit, F.col("b_label"))).alias(f"right_{n}")]
+        outs.append(F.sum(F.when(F.col("side") == 0, F.col(f"n_{n}"))).alias(f"contacts_{n}"))
+        outs += [F.count_if((F.col("side") == k) & F.col("label").isNotNull() & (F.col(f"n_{n}") > 0)).alias(f"{c}_{n}") for k, c in enumerate(("left", "right"))]
     counts = labels.groupBy("case").agg(*outs)
     shortest = smallest_distance(left, right, case, label, order, axes)
     out = points.select("case").distinct().join(shortest, "case", "left").join(counts, "case", "left")
