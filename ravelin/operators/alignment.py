@@ -15,10 +15,11 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.plans.staging import attach, stage
+from ravelin.plans.staging import attach, shuffle_width, stage
 
 #: Cells that a batch of pairs may have in all, and most pairs of a batch.
 CELLS, PAIRS = 1 << 24, 512
@@ -114,6 +115,49 @@ def linear_alignment(a: str, b: str, **costs: int) -> tuple[int, int, int, list[
     return linear_alignments([a], [b], **costs)[0]
 
 
+def _matches(x: np.ndarray, y: np.ndarray, ends: np.ndarray, costs: Sequence[int]) -> np.ndarray:
+    """As `affine_matches`, of pairs that are columns of letters, with whole costs: the pairs of a cell lie together, in numbers as short as their scores allow."""
+    (n, size), m = x.shape, y.shape[0]
+    shift = max(1, min(n, m).bit_length())
+    hit, miss, open_gap, longer = (c << shift for c in costs)
+    hit += 1
+    short = min(n, m)
+    most, least = max(hit, miss, 0) * short, -min(miss, 0) * short - 2 * min(open_gap, 0) - min(longer, 0) * (n + m)
+    lost = -most - 2 * least - 1
+    kind = next(k for k in (np.int16, np.int32, np.int64) if most - lost + 2 * least < np.iinfo(k).max)
+    hit, miss, open_gap, longer, lost = (kind(c) for c in (hit, miss, open_gap, longer, lost))
+    out = np.zeros(size, np.int64)
+    total = ends.sum(1)
+    d0, r0, v0, d1, r1, v1, d, r, v = (np.full((n + 1, size), lost, kind) for _ in range(9))
+    u, w = np.empty((n + 1, size), kind), np.empty((n + 1, size), kind)
+    d1[0] = 0
+    for k in range(1, n + m + 1):
+        low, high = max(0, k - m), min(n, k)
+        inner, end = max(1, k - m), min(n, k - 1)
+        for state, start, stop in ((d, inner, end + 1), (v, max(1, low), high + 1), (r, low, end + 1)):
+            state[: max(start, 0)] = lost
+            state[max(stop, 0) :] = lost
+        if inner <= end:
+            at, some = slice(inner - 1, end), slice(inner, end + 1)
+            np.multiply(x[at] == y[k - end - 1 : k - inner][::-1], hit - miss, out=u[some], casting="unsafe")
+            if miss:
+                u[some] += miss
+            np.maximum(d0[at], r0[at], out=w[some])
+            np.maximum(w[some], v0[at], out=w[some])
+            np.add(u[some], w[some], out=d[some])
+        for state, before, turned, at, some in ((v, v1, r1, slice(max(1, low) - 1, high), slice(max(1, low), high + 1)), (r, r1, v1, slice(low, end + 1), slice(low, end + 1))):
+            np.maximum(d1[at], turned[at], out=u[some])
+            u[some] += open_gap
+            np.add(before[at], longer, out=w[some])
+            np.maximum(u[some], w[some], out=state[some])
+        done = np.flatnonzero(total == k)
+        if len(done):
+            at = ends[done, 0]
+            out[done] = np.maximum(np.maximum(d[at, done], r[at, done]), v[at, done]) & ((1 << shift) - 1)
+        d0, r0, v0, d1, r1, v1, d, r, v = d1, r1, v1, d, r, v, d0, r0, v0
+    return out
+
+
 def affine_matches(a: Sequence[str], b: Sequence[str], need: Sequence[float] | None = None, match: float = 1.0, mismatch: float = 0.0, begin: float = -1.0, extend: float = -0.5, unit: float = 0.5) -> np.ndarray:
     """Matches of a best global alignment with affine gaps of each pair, of best ones that with most matches.
 
@@ -128,11 +172,17 @@ def affine_matches(a: Sequence[str], b: Sequence[str], need: Sequence[float] | N
     hit, miss, open_gap, longer = (int(c) << _SHIFT for c in costs)
     hit += 1
     out = np.zeros(len(a), np.int64)
+    if need is None:
+        for some in _batches(a, b):
+            s, t = [a[i] for i in some], [b[i] for i in some]
+            ends = np.array([[len(p), len(q)] for p, q in zip(s, t, strict=True)])
+            out[some] = _matches(_codes(s, -1).T, _codes(t, -2).T, ends, [int(c) for c in costs])
+        return out
     for some in _batches(a, b):
         s, t = [a[i] for i in some], [b[i] for i in some]
         x, y = _codes(s, -1), _codes(t, -2)
         ends = np.array([[len(p), len(q)] for p, q in zip(s, t, strict=True)])
-        wanted = None if need is None else np.array([need[i] for i in some], float)
+        wanted = np.array([need[i] for i in some], float)
         alive = np.arange(len(some))
         n, m = x.shape[1], y.shape[1]
         lost = lambda: np.full((len(alive), n + 1), _LOST)  # noqa: B023, E731
@@ -160,7 +210,7 @@ def affine_matches(a: Sequence[str], b: Sequence[str], need: Sequence[float] | N
                 out[some[alive[done]]] = top & ((1 << _SHIFT) - 1)
             d0, r0, v0, d1, r1, v1 = d1, r1, v1, d, r, v
             keep = ends[alive].sum(1) > k
-            if wanted is not None and k % _LOOK == 0:
+            if k % _LOOK == 0:
                 hope = np.full(len(alive), -1, np.int64)
                 for back, states in ((0, (d1, r1, v1)), (1, (d0, r0, v0))):
                     i = np.arange(max(0, k - back - m), min(n, k - back) + 1)
@@ -175,8 +225,7 @@ def affine_matches(a: Sequence[str], b: Sequence[str], need: Sequence[float] | N
                 alive, x, y, d0, r0, v0, d1, r1, v1 = alive[keep], x[keep], y[keep], d0[keep], r0[keep], v0[keep], d1[keep], r1[keep], v1[keep]
                 if not len(alive):
                     break
-    if need is not None:
-        out[(out >= 0) & (out < np.asarray(need, float))] = -1
+    out[(out >= 0) & (out < np.asarray(need, float))] = -1
     return out
 
 
@@ -249,6 +298,129 @@ def best_match(scored: DataFrame, key: str, candidate: str, identity: str, least
     return ranked.select(key, candidate, identity, "margin", F.when(reason == "", "accepted").otherwise(reason).alias("status"))
 
 
+#: Chains of either side of a case that meet in one task, and bound ones of them at a time.
+BOUND, FREE, ROWS = 2048, 8192, 512
+#: Candidates of a chain, those that may have most matches, that are aligned before others are looked at again.
+TRIES = (16, 128)
+
+
+def common_letters(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Letters, a row for each of `a`, that it and each of `b` have in common in one order; no alignment has more matches.
+
+    Exact where `b`'s have up to 64 letters; of longer ones, pieces count each on
+    its own, which may only be more. A row of the usual table is one word a
+    string, so a letter costs four operations for all of `b`.
+    """
+    out = np.zeros((len(a), len(b)), np.int32)
+    codes = _codes(b, -1)
+    for start in range(0, codes.shape[1], 64):
+        piece = codes[:, start : start + 64]
+        kind = np.uint32 if piece.shape[1] <= 32 else np.uint64
+        places = np.arange(piece.shape[1], dtype=kind)
+        has = {chr(c): ((piece == c).astype(kind) << places).sum(1, dtype=kind) for c in np.unique(piece[piece >= 0])}
+        free, met, moved = (np.empty(len(b), kind) for _ in range(3))
+        for row, text in zip(out, a, strict=True):
+            free.fill(~kind(0))
+            for letter in text:
+                if letter in has:
+                    np.bitwise_and(free, has[letter], out=met)
+                    np.add(free, met, out=moved)
+                    np.subtract(free, met, out=free)
+                    np.bitwise_or(free, moved, out=free)
+            np.invert(free, out=free)
+            row += np.bitwise_count(free)
+    return out
+
+
+def best_two(a: Sequence[str], b: Sequence[str], twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in `b`, matches, next identity) of the likest of `b` for each of `a`: most identical, best covered, first.
+
+    Strings are not empty. Where `twice` is set, a string counts as two. The
+    next identity is NaN where there is no other. Only pairs that may have as
+    many matches as the next best need are aligned, likeliest first.
+    """
+    n, m = (np.array([len(x) for x in t]) for t in (a, b))
+    longest = np.maximum(n[:, None], m[None, :])
+    hope = common_letters(a, b) / longest
+    found = np.full(hope.shape, -1, np.int32)
+    x, y = _codes(a, -1), _codes(b, -2)
+    costs = [2, 0, -2, -1]
+    rows = np.arange(len(a))
+    if max(x.max(), y.max()) < 128:
+        x, y = x.astype(np.int8), y.astype(np.int8)
+
+    def measured() -> np.ndarray:
+        return np.where(found >= 0, found / longest, -1.0)
+
+    def second(identity: np.ndarray, best: np.ndarray) -> np.ndarray:
+        top = identity[rows, best]
+        others = identity.copy()
+        others[rows, best] = -1.0
+        return np.where(twice[best], top, others.max(1))
+
+    for tries in (*TRIES, len(b)):
+        identity = measured()
+        left = np.where((found < 0) & (hope >= second(identity, identity.argmax(1))[:, None]), hope, -1.0)
+        if tries < len(b):
+            some = np.argpartition(-left, tries - 1, axis=1)[:, :tries]
+            i, j = np.repeat(rows, tries), some.ravel()
+        else:
+            i, j = np.nonzero(left >= 0)
+        go = left[i, j] >= 0
+        i, j = i[go], j[go]
+        order = np.lexsort((m[j], n[i]))
+        i, j = i[order], j[order]
+        at = 0
+        while at < len(i):
+            wide = m[j[at : at + PAIRS]].max()
+            to = at + max(1, min(PAIRS, int(CELLS // ((n[i[at : at + PAIRS]].max() + 1) * (wide + 1)))))
+            p, q = i[at:to], j[at:to]
+            ends = np.stack([n[p], m[q]], 1)
+            found[p, q] = _matches(np.ascontiguousarray(x[p, : ends[:, 0].max()].T), np.ascontiguousarray(y[q, : ends[:, 1].max()].T), ends, costs)
+            at = to
+    identity = measured()
+    same = identity == identity.max(1)[:, None]
+    for worth in (found, found / m[None, :]):
+        same &= np.where(same, worth, -1) == np.where(same, worth, -1).max(1)[:, None]
+    best = same.argmax(1)
+    after = second(identity, best)
+    return best, found[rows, best], np.where(after < 0, np.nan, after)
+
+
+def _likest(bound: pa.Table, free: pa.Table) -> pa.Table:
+    if len(bound) and len(free):
+        # Of equal candidates the first by place, then name, counts.
+        free = free.take(pc.sort_indices(free, sort_keys=[("place", "ascending"), ("other", "ascending")], null_placement="at_start"))
+        texts, twice = free.column("t").to_pylist(), free.column("twice").to_numpy()
+    parts = []
+    for at in range(0, len(bound) if len(free) else 0, ROWS):
+        some = bound.slice(at, ROWS)
+        best, m, after = best_two(some.column("s").to_pylist(), texts, twice)
+        took = free.take(pa.array(best))
+        parts.append(pa.table({"case": some.column("case"), "s": some.column("s"), "m": pa.array(m, pa.int64()), "t_length": pa.array([len(texts[i]) for i in best], pa.int64()), "other_place": took.column("place"), "other": took.column("other"), "next": pa.array(after, from_pandas=True)}))
+    if parts:
+        return pa.concat_tables(parts)
+    kinds = {"case": bound.schema.field("case").type, "s": pa.string(), "m": pa.int64(), "t_length": pa.int64(), "other_place": free.schema.field("place").type, "other": free.schema.field("other").type, "next": pa.float64()}
+    return pa.table({c: pa.array([], k) for c, k in kinds.items()})
+
+
+def _likest_in_blocks(bound: DataFrame, free: DataFrame) -> DataFrame:
+    """(case, s, m, t_length, other_place, other, next) for each of `bound` (case, s) and each block of `free` (case, t, place, other, twice)."""
+    blocks = lambda df, size, out: df.groupBy("case").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(out))
+    sizes = stage(blocks(bound, BOUND, "kb").join(blocks(free, FREE, "kf"), "case"), "chain-blocks")
+    tasks = max(shuffle_width(bound.sparkSession), sizes.agg(F.coalesce(F.sum(F.col("kb") * F.col("kf")), F.lit(0))).first()[0])
+
+    def dealt(df: DataFrame, text: str, own: str, copies: str) -> DataFrame:
+        block = {f"{own}_": F.pmod(F.xxhash64(text), F.col(own)).cast("int"), f"{copies}_": F.explode(F.sequence(F.lit(0), F.col(copies) - 1))}
+        # The blocks are few and dear, so they are dealt to a given number of tasks, not by their bytes.
+        return attach(df, sizes, ["case"], "inner").select(*df.columns, block["kb_"].alias("i"), block["kf_"].alias("j")).repartition(tasks, "case", "i", "j")
+
+    kinds = {**dict(bound.dtypes), **dict(free.dtypes)}
+    schema = f"case {kinds['case']}, s string, m long, t_length long, other_place {kinds['place']}, other {kinds['other']}, next double"
+    sides = [df.groupBy("case", "i", "j") for df in (dealt(bound, "s", "kb", "kf"), dealt(free, "t", "kf", "kb"))]
+    return sides[0].cogroup(sides[1]).applyInArrow(_likest, schema)
+
+
 def match_chains(bound: DataFrame, free: DataFrame, case: str, chain: str, place: str, sequence: str, identity: float = 0.9, coverage: float = 0.8, lead: float = 0.05) -> DataFrame:
     """Each chain of `bound` with the chain of `free`, in the same case, that it is likeliest to be.
 
@@ -261,24 +433,39 @@ def match_chains(bound: DataFrame, free: DataFrame, case: str, chain: str, place
     the first by `place` counts. The fallback, which no sequence supports, is
     the chain of the same name, or else of the same place where both sides have
     as many chains, or else the only one. A chain is compared with the chains of
-    its case only, which are few; distinct sequences are aligned once.
+    its case only. Distinct sequences of a case meet in blocks, each pair of
+    blocks a task, which tell the best and the next of each, so there is no
+    table of pairs; in a block, pairs that cannot be among the two by the letters
+    that they have in common in one order are not aligned. The work is quadratic
+    in the distinct sequences of a case, the rows moved nearly linear.
     """
     key = [F.col(case).alias("case"), F.col(chain).alias("chain"), F.col(place).alias("place"), F.nullif(F.col(sequence), F.lit("")).alias("s")]
     left, right = stage(bound.select(*key), "bound-chains"), stage(free.select(*key), "free-chains")
-    both = left.join(right.select("case", F.col("chain").alias("other"), F.col("place").alias("other_place"), F.col("s").alias("t")), "case")
-    pairs = both.where("s IS NOT NULL AND t IS NOT NULL").select("s", "t").distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(m=affine_matches(pdf["s"].tolist(), pdf["t"].tolist()))
-
-    matches = stage(pairs.mapInPandas(run, "s string, t string, m long"), "chain-matches")
-    scored = both.join(matches, ["s", "t"], "left")
+    # Of equal sequences of a case only the first chain can be the best, and only the next can be its second.
+    number = F.row_number().over(Window.partitionBy("case", "s").orderBy("place", "chain"))
+    two = right.where("case IS NOT NULL AND s IS NOT NULL").withColumn("_r", number).where("_r <= 2")
+    options = two.groupBy("case", F.col("s").alias("t")).agg(F.min(F.when(F.col("_r") == 1, F.struct("place", "chain"))).alias("f"), (F.count(F.lit(1)) > 1).alias("twice"))
+    options = stage(options.select("case", "t", F.col("f.place").alias("place"), F.col("f.chain").alias("other"), "twice"), "free-sequences")
+    asked = stage(left.where("case IS NOT NULL AND s IS NOT NULL").select("case", "s").distinct(), "bound-sequences")
+    likest = stage(_likest_in_blocks(asked, options), "likest-chains")
     share = lambda n: F.col("m") / n.cast("double")
-    n, m = F.length("s"), F.length("t")
-    scored = scored.select("case", "chain", "other", "other_place", F.struct(share(F.greatest(n, m)).alias("identity"), share(n).alias("coverage_bound"), share(m).alias("coverage_free")).alias("v"))
+    n, m = F.length("s"), F.col("t_length")
+    empty = F.lit(None).cast("double")
+    v = lambda i, cb, cf: F.struct(i.alias("identity"), cb.alias("coverage_bound"), cf.alias("coverage_free"))
+    entry = lambda after, value, where, other: F.struct(F.lit(after).alias("after"), value.alias("v"), where.alias("other_place"), other.alias("other"))
+    found = left.join(likest, ["case", "s"]).where("chain IS NOT NULL")
+    first = entry(0, v(share(F.greatest(n, m)), share(n), share(m)), F.col("other_place"), F.col("other"))
+    kinds = dict(right.dtypes)
+    after = F.when(F.col("next").isNotNull(), entry(1, v(F.col("next"), empty, empty), F.lit(None).cast(kinds["place"]), F.lit(None).cast(kinds["chain"])))
+    found = found.select("case", "chain", F.explode(F.filter(F.array(first, after), lambda e: e.isNotNull())).alias("e"))
+    # Without a sequence on either side there is nothing to tell candidates by but their places.
+    named = F.struct(F.col("place").alias("other_place"), F.col("chain").alias("other"))
+    plain = right.groupBy("case").agg(F.min(named).alias("_any"), F.min(F.when(F.col("s").isNull(), named)).alias("_bare"))
+    blind = left.join(plain, "case").withColumn("_p", F.when(F.col("s").isNull(), F.col("_any")).otherwise(F.col("_bare"))).where("_p IS NOT NULL AND chain IS NOT NULL")
+    blind = blind.select("case", "chain", entry(0, v(empty, empty, empty), F.col("_p.other_place"), F.col("_p.other")).alias("e"))
+    scored = found.unionByName(blind).select("case", "chain", "e.*")
     worth = F.struct(*[F.coalesce(F.col(f"v.{c}"), F.lit(-1.0)) for c in ("identity", "coverage_bound", "coverage_free")])
-    ranked = F.row_number().over(Window.partitionBy("case", "chain").orderBy(worth.desc(), "other_place", "other"))
+    ranked = F.row_number().over(Window.partitionBy("case", "chain").orderBy(worth.desc(), "after", "other_place", "other"))
     top = scored.withColumn("_r", ranked).groupBy("case", "chain").agg(F.max(F.when(F.col("_r") == 1, F.struct("other", "v"))).alias("a"), F.max(F.when(F.col("_r") == 2, F.col("v.identity"))).alias("second"))
     counts = lambda df, out: df.groupBy("case").agg(F.count(F.lit(1)).alias(out))
     at = lambda df: df.withColumn("_at", F.row_number().over(Window.partitionBy("case").orderBy("place", "chain")))

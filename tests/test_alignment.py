@@ -148,6 +148,53 @@ def test_chains_by_plain_python(spark):
     }
 
 
+def chains(bound, free):
+    """(best, identity, both coverages, second) of each (case, chain) from all pairs."""
+    first = lambda x: (x is not None, x or 0)
+    out = {}
+    for g, c in {r[:2] for r in bound}:
+        found = []
+        for s in (r[3] for r in bound if r[:2] == (g, c)):
+            for _, other, place, t in (r for r in free if r[0] == g):
+                m = plain_affine(s, t)[1] if s and t else None
+                worth = (m / max(len(s), len(t)), m / len(s), m / len(t)) if m is not None else (-1, -1, -1)
+                found.append(([-w for w in worth], first(place), first(other), other, worth))
+        found.sort(key=lambda f: f[:3])
+        told = lambda w: None if w < 0 else round(w, 9)
+        out[g, c] = (found[0][3], *map(told, found[0][4]), told(found[1][4][0]) if len(found) > 1 else None) if found else (None,) * 5
+    return out
+
+
+@pytest.mark.parametrize(("seed", "blocks"), [(1, (2048, 8192, 512)), (2, (3, 4, 2)), (3, (5, 2, 5))])
+def test_best_chains_are_those_of_all_pairs(spark, monkeypatch, seed, blocks):
+    for name, size in zip(("BOUND", "FREE", "ROWS"), blocks, strict=True):
+        monkeypatch.setattr(alignment, name, size)
+    monkeypatch.setattr(alignment, "TRIES", (2, 3))
+    rng = random.Random(seed)
+    texts = ["", None, *("".join(rng.choice("ACD") for _ in range(rng.choice((1, 4, 6, 70)))) for _ in range(12)), "é😀A"]
+    # Copies, equal places and names, several sequences of one name, and cases with sequences on one side only.
+    row = lambda i: (rng.choice("gh"), rng.choice([f"c{i}", "same"]), rng.choice([None, i, i // 4]), rng.choice(texts))
+    bound, free = [row(i) for i in range(40)], [row(i) for i in range(50)]
+    bound += [("x", "a", 1, "ACD"), ("y", "a", 1, None), ("z", "a", 1, "ACD")]
+    free += [("x", "p", 2, None), ("x", "q", 1, ""), ("y", "p", 2, "ACD"), ("y", "q", 1, "CD"), ("z", "p", 3, None), ("z", "q", 4, "AC")]
+    dfs = [spark.createDataFrame(r, "g string, c string, n int, q string") for r in (bound, free)]
+    told = lambda w: None if w is None else round(w, 9)
+    got = {(r.case, r.chain): (r.best, told(r.identity), told(r.coverage_bound), told(r.coverage_free), told(r.second)) for r in alignment.match_chains(*dfs, "g", "c", "n", "q").collect()}
+    assert got == chains(bound, free)
+
+
+def test_few_of_the_pairs_of_chains_are_aligned(monkeypatch):
+    rng = random.Random(4)
+    a = ["".join(rng.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(400)]
+    aligned, real = [], alignment._matches
+    monkeypatch.setattr(alignment, "_matches", lambda x, *more: aligned.append(x.shape[1]) or real(x, *more))
+    b = [s[:12] + "XX" + s[14:] for s in a]
+    best, m, _ = alignment.best_two(a, b, np.zeros(len(b), bool))
+    assert best.tolist() == list(range(400)) and m.min() >= 30 and sum(aligned) < len(a) * len(b) / 2
+    for p, q in ((a[0], b[1]), (a[2] * 3, b[3]), (a[4], b[5] * 4)):
+        assert alignment.common_letters([p], [q])[0, 0] >= plain_affine(p, q)[1]
+
+
 def test_chain_query_by_loops_over_cells(spark):
     from ravelin.plans import catalogue
 
