@@ -112,9 +112,11 @@ def map_reason(tests: Sequence[tuple[str, Column]]) -> Column:
     return F.when(failed == "", "ok").otherwise(failed)
 
 
-def rectangle_votes(rectangles: DataFrame, sizes: DataFrame) -> DataFrame:
+def rectangle_votes(rectangles: DataFrame, sizes: DataFrame, weight: str | None = None) -> DataFrame:
     """(pair, i, j, votes): how many rectangles (pair, i0, i1, j0, j1), ends included, cover a cell, where any does.
 
+    With `weight`, a whole number, a rectangle counts as so many.
+
     A rectangle is four corners, which are summed per cell before they are
     shuffled; running sums along both axes of a pair's `l1` x `l2` cells give
     the votes. So the work goes by rectangles plus cells, not by their product,
@@ -122,7 +124,8 @@ def rectangle_votes(rectangles: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     corner = lambda i, j, d: F.struct(F.expr(i).cast("long").alias("i"), F.expr(j).cast("long").alias("j"), F.lit(d).alias("d"))
     four = F.array(corner("i0", "j0", 1), corner("i1 + 1", "j0", -1), corner("i0", "j1 + 1", -1), corner("i1 + 1", "j1 + 1", 1))
-    corners = rectangles.select("pair", F.explode(four).alias("c")).groupBy("pair", "c.i", "c.j").agg(F.sum("c.d").alias("d"))
+    weighed = rectangles.withColumn("_w", F.lit(1) if weight is None else F.col(weight))
+    corners = weighed.select("pair", "_w", F.explode(four).alias("c")).groupBy("pair", "c.i", "c.j").agg(F.sum(F.col("c.d") * F.col("_w")).alias("d"))
     line = lambda l: F.explode(F.sequence(F.lit(1).cast("long"), F.col(l).cast("long")))
     grid = sizes.where("l1 > 0 AND l2 > 0").select("pair", "l2", line("l1").alias("i")).select("pair", "i", line("l2").alias("j"))
     filled = grid.join(corners, ["pair", "i", "j"], "left").withColumn("d", F.coalesce("d", F.lit(0)))

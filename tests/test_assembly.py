@@ -119,3 +119,39 @@ def test_rectangle_votes_by_counting(spark):
         for cell in itertools.product(range(i0, i1 + 1), range(j0, j1 + 1)):
             want[pair, *cell] = want.get((pair, *cell), 0) + 1
     assert {(r.pair, r.i, r.j): r.votes for r in got.collect()} == want
+
+
+def test_interactions_come_down_to_subjects_of_hits_before_they_meet_them(spark, monkeypatch):
+    many = spark.range(5000).select(F.concat(F.lit("s"), F.col("id") % 2).alias("a"), F.concat(F.lit("x"), "id").alias("b")).union(spark.createDataFrame([("s0", "s1"), ("s1", "s0"), ("s1", "s1")], "a string, b string"))
+    hits = [("A", "s0", 2, 4), ("A", "s1", 2, 4), ("B", "s1", 1, 2), ("B", "s0", 1, 2), ("C", "s0", 1, 3), ("C", "x7", 1, 3)]
+    best = spark.createDataFrame(hits, "query string, subject string, qstart long, qend long")
+    good = spark.createDataFrame([("A|B", "A", "B", 5, 3)], "pair string, a string, b string, l1 long, l2 long")
+    staged, real = {}, assembly.stage
+    monkeypatch.setattr(assembly, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    got = {(r.pair, r.i, r.j): r.score for r in assembly._fragments(good, best, many).collect()}
+    # s0 with s1, s1 with s0 and s1 with itself, all over the same cells.
+    assert got == {("A|B", i, j): 3.0 for i in (2, 3, 4) for j in (1, 2)}
+    assert staged["hit-interactions"].count() == 3 and staged["best-hits"].count() == 4
+
+
+def test_hits_are_brought_down_once_for_checks_and_votes(spark, sources, monkeypatch):
+    scans = assembly.scan(spark, sources)
+    best = assembly.best_hits(scans.hits)
+    assert {r.pair: r.reason for r in assembly.check(scans, best).collect()} == {pair: reason for pair, (_, reason) in WANT.items()}
+    hits = spark.createDataFrame([("q", "s", 5, 9, 1, 2, 1.0), ("q", "s", 7, 6, 1, 2, 3.0), ("q", "s", 7, 8, 1, 2, 3.0), ("q", "t", 1, 2, 1, 2, 1.0)], "query string, subject string, qstart long, qend long, sstart long, send long, bitscore double")
+    assert sorted(tuple(r) for r in assembly.best_hits(hits).collect()) == [("q", "s", 7, 6, 5, 9, True), ("q", "t", 1, 2, 1, 2, False)]
+    read = []
+    real = assembly.stage
+    monkeypatch.setattr(assembly, "stage", lambda df, name: read.append((name, any("hits.tsv" in f for f in df.inputFiles()))) or real(df, name))
+    assembly.assemble(scans, seeds=2, radius=1)
+    # The file of hits is read on the way to one table only.
+    assert [name for name, scanned in read if scanned] == ["subject-hits"]
+
+
+def test_weighed_rectangles_are_repeated_ones(spark):
+    rows = [("p", 1, 3, 2, 2), ("p", 2, 4, 1, 3), ("p", 2, 4, 1, 3), ("p", 2, 4, 1, 3)]
+    one = spark.createDataFrame(rows, "pair string, i0 long, i1 long, j0 long, j1 long")
+    sizes = spark.createDataFrame([("p", 5, 5)], "pair string, l1 long, l2 long")
+    weighed = one.groupBy(*one.columns).agg(F.count(F.lit(1)).alias("w"))
+    votes = lambda df, *more: {tuple(r) for r in evidence.rectangle_votes(df, sizes, *more).collect()}
+    assert votes(weighed, "w") == votes(one)
