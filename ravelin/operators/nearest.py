@@ -3,9 +3,11 @@
 Every vector goes to the cell of its nearest pivot, pivots being a bounded
 sample. Its nearest neighbour within its own block of the cell bounds the true
 distance from above; by the triangle inequality only cells whose ball reaches
-within that bound can hold a nearer one, and it visits those alone. Blocks
-bound what a task holds, however many vectors share a cell, and queries of a
-block that many visit are dealt to several tasks.
+within that bound can hold a nearer one, and it visits those alone. Cells meet
+their visitors at stations of several blocks, so that a vector is moved once for
+all the cells of a station that it visits, in its own precision. Blocks bound
+what a task holds, however many vectors share a cell, and queries of a station
+that many visit are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.plans.staging import attach, stage
+from ravelin.plans.staging import attach, shuffle_width, stage
 
 #: Vectors of a block, queries that meet it in one task, and most pivots.
 BLOCK, QUERIES, PIVOTS = 2048, 8192, 4096
+#: Blocks of a station.
+STATION = 16
 #: Products of this many rows are held at a time.
 ROWS = 512
 
@@ -83,9 +87,21 @@ def _own(table: pa.Table) -> pa.Table:
     return pa.table({"key": keys, "v": table.column("v"), "d2": bound, "b": name, "own": table.column("cell")})
 
 
+def _stations(blocks: np.ndarray) -> np.ndarray:
+    """The station of each cell: cells in order, as many as have STATION blocks together, or one that has more."""
+    out, at, full = [], 0, 0
+    for k in blocks:
+        if full and full + k > STATION:
+            at, full = at + 1, 0
+        full += k
+        out.append(at)
+    return np.array(out, np.int32)
+
+
 def _visits(pivots, reach):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, (cells, radii, blocks) = pivots.value, reach.value
+        p, (cells, radii, blocks, stations) = pivots.value, reach.value
+        starts = np.flatnonzero(np.diff(stations, prepend=-1))
         for rb in batches:
             for at in range(0, len(rb), ROWS):
                 part = rb.slice(at, ROWS)
@@ -94,19 +110,33 @@ def _visits(pivots, reach):
                 # A margin for rounding; a cell of one block that is the row's own has been searched.
                 near = d - radii[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-6
                 near &= ~((cells[None, :] == part.column("own").to_numpy()[:, None]) & (blocks == 1)[None, :])
-                row, to = np.nonzero(near)
+                many = np.add.reduceat(near.astype(np.int32), starts, axis=1)
+                row, to = np.nonzero(many)
+                # Cells of a station are neighbours in order, so those of a row and station follow each other.
+                asked = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many[row, to])]), pa.int32()), pa.array(cells[np.nonzero(near)[1]], pa.int32()))
                 taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([taken.column("key"), taken.column("v"), pa.array(cells[to], pa.int32())], names=["key", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([taken.column("key"), taken.column("v"), pa.array(to, pa.int32()), asked], names=["key", "v", "station", "cells"])
 
     return run
 
 
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     keys, names = left.column("key").to_numpy(), right.column("key").to_numpy()
-    if not len(keys) or not len(names):
-        return pa.table({"key": pa.array([], pa.int64()), "d2": pa.array([], pa.float64()), "b": pa.array([], pa.int64())})
-    at, d2, who = closest(keys, _array(left.column("v")), names, _array(right.column("v")))
-    return pa.table({"key": keys[at], "d2": d2, "b": who})
+    best, who = np.full(len(keys), np.inf), np.full(len(keys), -1)
+    if len(keys) and len(names):
+        a, b, cell = _array(left.column("v")), _array(right.column("v")), right.column("cell").to_numpy()
+        asked = left.column("cells").combine_chunks()
+        row, to = np.repeat(np.arange(len(keys)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy()
+        for c in np.unique(cell):
+            some, held = row[to == c], np.flatnonzero(cell == c)
+            for start in range(0, len(held), BLOCK):
+                h = held[start : start + BLOCK]
+                at, d2, other = closest(keys[some], a[some], names[h], b[h])
+                at = some[at]
+                nearer = (d2 < best[at]) | ((d2 == best[at]) & (other < who[at]))
+                best[at[nearer]], who[at[nearer]] = d2[nearer], other[nearer]
+    found = np.isfinite(best)
+    return pa.table({"key": keys[found], "d2": best[found], "b": who[found]})
 
 
 def nearest(points: DataFrame, key: str, vector: str, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
@@ -120,28 +150,38 @@ def nearest(points: DataFrame, key: str, vector: str, block: int = BLOCK, querie
     spark = points.sparkSession
     v = F.col("v")
     sound = F.coalesce(F.forall(v, lambda x: F.coalesce((x - x) == 0, F.lit(False))) & (F.size(v) > 0), F.lit(False))
-    rows = stage(points.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("key").isNotNull() & sound), "points")
+    # Single precision is kept where rows are moved; distances are computed in double.
+    kind = "array<float>" if dict(points.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = stage(points.select(F.col(key).cast("long").alias("key"), F.col(vector).cast(kind).alias("v")).where(F.col("key").isNotNull() & sound), "points")
     n = rows.count()
     if n < 2:
         return rows.select(F.col("key").alias(key), F.col("key").alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
     many = max(1, min(PIVOTS, isqrt(n) // 4, n // block))
     sample = rows.orderBy(F.xxhash64("key", F.lit(5)), "key").limit(many).select("v").toArrow()  # at most PIVOTS rows
     pivots = spark.sparkContext.broadcast(_array(sample.column("v")))
-    placed = stage(rows.mapInArrow(_assign(pivots), "key long, v array<double>, cell int, d double"), "point-cells")
+    placed = stage(rows.mapInArrow(_assign(pivots), f"key long, v {kind}, cell int, d double"), "point-cells")
     found = placed.groupBy("cell").agg(F.max("d").alias("r"), F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).orderBy("cell").collect()  # a row per pivot
     cells, radii, blocks = np.array([r["cell"] for r in found]), np.array([r["r"] for r in found]), np.array([r["blocks"] for r in found])
     sizes = stage(spark.createDataFrame([(int(c), int(b)) for c, b in zip(cells, blocks, strict=True)], "cell int, blocks int"), "cell-blocks")
     data = attach(placed, sizes, ["cell"], "inner").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    own = stage(data.select("cell", "block", "key", "v").groupBy("cell", "block").applyInArrow(_own, "key long, v array<double>, d2 double, b long, own int"), "own-cell")
+    own = stage(data.select("cell", "block", "key", "v").groupBy("cell", "block").applyInArrow(_own, f"key long, v {kind}, d2 double, b long, own int"), "own-cell")
     mine = own.where("d2 < double('infinity')").select("key", "d2", "b")
     if blocks.sum() == 1:
         return _told(mine, key)
-    visits = stage(own.mapInArrow(_visits(pivots, spark.sparkContext.broadcast((cells, radii, blocks))), "key long, v array<double>, cell int"), "visits")
-    shares = stage(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(queries)).cast("int").alias("shares")), "visit-shares")
-    asked = attach(attach(visits, shares, ["cell"], "inner"), sizes, ["cell"], "inner").withColumn("share", F.pmod(F.xxhash64("key", F.lit(1)), F.col("shares")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = attach(data, shares, ["cell"], "inner").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    on = ["cell", "block", "share"]
-    met = asked.select(*on, "key", "v").groupBy(*on).cogroup(held.select(*on, "key", "v").groupBy(*on)).applyInArrow(_meet, "key long, d2 double, b long")
+    stations = _stations(blocks)
+    visits = stage(own.mapInArrow(_visits(pivots, spark.sparkContext.broadcast((cells, radii, blocks, stations))), f"key long, v {kind}, station int, cells array<int>"), "visits")
+    # A cell of more blocks than a station has is parted.
+    parts = np.maximum(1, -(-np.bincount(stations, blocks).astype(int) // STATION))
+    known = stage(spark.createDataFrame([(int(s), int(p)) for s, p in enumerate(parts)], "station int, parts int"), "stations")
+    sites = stage(spark.createDataFrame([(int(c), int(s)) for c, s in zip(cells, stations, strict=True)], "cell int, station int"), "cell-stations")
+    shares = stage(visits.groupBy("station").agg(F.ceil(F.count(F.lit(1)) / F.lit(queries)).cast("int").alias("shares")).join(F.broadcast(known), "station"), "visit-shares")
+    tasks = max(shuffle_width(spark), shares.agg(F.coalesce(F.sum(F.col("shares") * F.col("parts")), F.lit(0))).first()[0])
+    asked = attach(visits, shares, ["station"], "inner").withColumn("share", F.pmod(F.xxhash64("key", F.lit(1)), F.col("shares")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = attach(attach(placed, sites, ["cell"], "inner"), shares, ["station"], "inner").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    on = ["station", "part", "share"]
+    # Meetings are few and dear, so they are dealt to a given number of tasks, not by their bytes.
+    sides = [df.select(*on, "key", "v", c).repartition(tasks, *on).groupBy(*on) for df, c in ((asked, "cells"), (held, "cell"))]
+    met = sides[0].cogroup(sides[1]).applyInArrow(_meet, "key long, d2 double, b long")
     return _told(mine.unionByName(met), key)
 
 

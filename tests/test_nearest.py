@@ -39,3 +39,23 @@ def test_awkward_points(spark):
     df = spark.createDataFrame(rows, "id long, v array<double>")
     assert {(r.id, r.neighbour, r.distance) for r in nearest(df, "id", "v").collect()} == {(1, 4, 0.0), (4, 1, 0.0)}
     assert nearest(df.limit(0), "id", "v").count() == 0 and nearest(df.where("id = 1"), "id", "v").count() == 0
+
+
+def test_a_vector_is_moved_once_for_the_cells_of_a_station(spark, monkeypatch):
+    from ravelin.operators import nearest as module
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(4)
+    staged, real = {}, module.stage
+    monkeypatch.setattr(module, "stage", lambda t, name: staged.setdefault(name, real(t, name)))
+    got = {r.id: r.neighbour for r in nearest(df, "id", "v", 100).collect()}
+    v = np.array([r[1] for r in rows])
+    d = ((v[:, None, :] - v[None, :, :]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert [got[i] for i in range(3000)] == d.argmin(1).tolist()
+    cells = staged["cell-blocks"].count()
+    # Without clusters nearly every cell is visited, but a vector goes to each station once at most.
+    assert cells > 8 and staged["visits"].count() <= 3000 * -(-cells // 4)
+    assert staged["visits"].groupBy("key", "station").count().where("count > 1").count() == 0
+    assert dict(staged["visits"].dtypes)["v"] == "array<float>"
