@@ -59,3 +59,16 @@ def test_a_vector_is_moved_once_for_the_cells_of_a_station(spark, monkeypatch):
     assert cells > 8 and staged["visits"].count() <= 3000 * -(-cells // 4)
     assert staged["visits"].groupBy("key", "station").count().where("count > 1").count() == 0
     assert dict(staged["visits"].dtypes)["v"] == "array<float>"
+
+
+def test_cells_larger_than_a_station_are_parted(spark, monkeypatch):
+    from ravelin.operators import nearest as module
+
+    monkeypatch.setattr(module, "STATION", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(200)]
+    assert module._stations(np.array([1, 1, 1, 5, 1])).tolist() == [0, 0, 1, 2, 3]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r.id: (r.distance, r.neighbour) for r in nearest(df, "id", "v", 10, 30).collect()}
+    want = brute(rows)
+    assert {k: j for k, (_, j) in got.items()} == {k: j for k, (_, j) in want.items()}
