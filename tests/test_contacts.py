@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from ravelin.operators import contacts
 
 SCHEMA = "g string, label string, place int, x double, y double, z double, cell string, side string"
@@ -88,3 +89,36 @@ def test_points_that_another_of_their_label_outdoes_meet_nothing(spark):
     points = contacts._points(*[spark.createDataFrame(r, SCHEMA) for r in (left, right)], "g", "label", "place", contacts.AXES)
     held, placed, cells = contacts._tree(points)
     assert contacts._met(held, placed, cells, ["case", "side", "label"]).count() < 4000
+
+
+def moved(spark, run):
+    """MB that `run` shuffles, and what it gives."""
+    total = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite() / 1e6
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before, out = total(), run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before, out
+
+
+def cube(spark, monkeypatch):
+    """Two sides of 100 000 points each in one cube."""
+    monkeypatch.setattr(contacts, "SAMPLE", 1000, raising=False)
+    random = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1e4
+    return [spark.range(0, 100_000, 1, 4).select(F.lit("g").alias("g"), F.concat(F.lit(c), F.col("id") % 1000).alias("label"), (F.col("id") % 1000).alias("place"), *[random(seed + i).alias(x) for i, x in enumerate("xyz")]) for c, seed in (("a", 1), ("b", 4))]
+
+
+def test_partners_move_a_point_to_few_tiles(spark, monkeypatch):
+    """Rows moved grow with the points, not with the levels of the tree."""
+    dfs = cube(spark, monkeypatch)
+    mb, rows = moved(spark, lambda: contacts.nearest_partners(*dfs, "g", "label", "place").collect())
+    assert len(rows) == 2000 and mb < 24
+
+
+def test_parts_of_large_tiles(spark, monkeypatch):
+    monkeypatch.setattr(contacts, "MOST", 40)
+    left, right = clouds(7, [(120, 90, 0.0, 2.0), (150, 150, 1.0, 2.0), (30, 40, 200.0, 1.0)])
+    left += [*left[:60], ("g2", "there", 98, 200.0, 200.0, 200.0)]
+    dfs = [spark.createDataFrame([(*r, "c", "s") for r in rows], SCHEMA) for rows in (left, right)]
+    want, _ = brute(left, right)
+    partners = contacts.nearest_partners(*dfs, "g", "label", "place").collect()
+    assert {(r.case, r.side, r.label): (round(r.distance, 9), r.partner) for r in partners} == want
