@@ -8,7 +8,8 @@ for each label; labels without a point in such a tile ask a near tile of the oth
 side. What a label has found so bounds what is sought: a point goes on to the
 tiles of the other side whose box is within its label's bound, and most go to none.
 
-No table of pairs is made.
+Contacts are counted in tiles of a grid, one side going to the tiles within reach as well.
+Neither moves a point for each cell around it, and no table of pairs is made.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.operators.spatial import squared_distance
 from ravelin.plans.staging import ROWS_A_TASK, attach, shuffle_width, stage
 
 AXES = ("x", "y", "z")
@@ -36,6 +36,8 @@ STRIDE = 3
 MOST, BLOCK = 500_000, 1 << 17
 #: Places from which the size of tiles is chosen; all places are in the tiles.
 SAMPLE = 200_000
+#: Rows of a tile of the contact grid that are worth a group, and times the reach that a tile's side is at least, and at most, as powers of two.
+GRID, SIDES = 4096, (3, 16)
 #: Bounds and distances are rounded in different orders.
 _SLACK = 1 + 1e-9
 
@@ -287,6 +289,71 @@ def smallest_distance(left: DataFrame, right: DataFrame, case: str, label: str,
     return _shortest(stage(_points(left, right, case, label, order, axes).drop("label", "place"), "points-of-both"))
 
 
+def _counted(cutoffs: Sequence[float]) -> Callable[[pa.Table], pa.Table]:
+    """Contacts of each label of a tile within each cutoff: (case, side, label, least, n_0, ...), `least` being the tile's smallest squared distance in reach."""
+    squares = np.unique([c * c for c in cutoffs])
+    level = np.searchsorted(squares, [c * c for c in cutoffs])
+    many, reach = len(squares), max(cutoffs) * _SLACK
+
+    def run(t: pa.Table) -> pa.Table:
+        side, xyz = t["side"].to_numpy(), _xyz(t)
+        rows = [np.flatnonzero(side == k) for k in (0, 1)]
+        told, counts, least = [np.empty(0, int)], [np.empty((0, many))], np.inf
+        if all(map(len, rows)):
+            (p, inverse), (q, back) = [_distinct(xyz[r]) for r in rows]
+            a, b, wa, wb = xyz[rows[0][p]], xyz[rows[1][q]], np.bincount(inverse), np.bincount(back)
+            # Cells as wide as the reach, an empty one around them all; those along the last axis follow each other.
+            low = np.minimum(a.min(axis=0), b.min(axis=0))
+            ca, cb = [np.floor((c - low) / reach).astype(int) + 1 for c in (a, b)]
+            wide = np.maximum(ca.max(axis=0), cb.max(axis=0)) + 2
+            number = lambda c: (c[:, 0] * wide[1] + c[:, 1]) * wide[2] + c[:, 2]
+            ia, ib = number(ca), number(cb)
+            oa, ob = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
+            a, wa, b, wb, ib = a[oa], wa[oa], b[ob], wb[ob], ib[ob]
+            at, starts = np.unique(ia[oa], return_index=True)
+            ends = np.append(starts[1:], len(a))
+            rims = at[:, None] + np.array([(x * wide[1] + y) * wide[2] for x in (-1, 0, 1) for y in (-1, 0, 1)])
+            lows, highs = np.searchsorted(ib, rims - 1), np.searchsorted(ib, rims + 2)
+            na, nb = np.zeros((len(a), many)), np.zeros((len(b), many))
+            for c in np.flatnonzero((highs > lows).any(axis=1)):
+                near = np.concatenate([np.arange(x, y) for x, y in zip(lows[c], highs[c], strict=True) if y > x])
+                other, step = b[near], max(1, BLOCK // len(near))
+                for i in range(starts[c], ends[c], step):
+                    d2 = _squares(a[i : min(i + step, ends[c])], other)
+                    u, v = np.nonzero(d2 <= squares[-1])
+                    if len(u):
+                        d2 = d2[u, v]
+                        least = min(least, d2.min())
+                        at_level = np.searchsorted(squares, d2)
+                        na[i : i + u[-1] + 1] += np.bincount(u * many + at_level, wb[near[v]], (u[-1] + 1) * many).reshape(-1, many)
+                        nb[near] += np.bincount(v * many + at_level, wa[i + u], len(near) * many).reshape(-1, many)
+            codes = _codes(t["label"])
+            for r, inv, order, n in ((rows[0], inverse, oa, na), (rows[1], back, ob, nb)):
+                each = np.empty_like(n)
+                each[order] = n.cumsum(axis=1)
+                each = each[inv]
+                labels, first, to = np.unique(codes[r], return_index=True, return_inverse=True)
+                sums = np.column_stack([np.bincount(to, each[:, i], len(labels)) for i in range(many)])
+                some = sums[:, -1] > 0
+                told.append(r[first[some]])
+                counts.append(sums[some])
+        out, n = t.take(pa.array(np.concatenate(told))), np.concatenate(counts).astype(np.int64)
+        return pa.table([out["case"], out["side"], out["label"], pa.array(np.full(len(n), least)), *[pa.array(n[:, i]) for i in level]], names=["case", "side", "label", "least", *[f"n_{i}" for i in range(len(cutoffs))]])
+
+    return run
+
+
+def _grid(points: DataFrame, reach: float) -> float:
+    """The side of tiles that hold some thousand points, as a point meets them, and are at least eight times as wide as the reach."""
+    some, k = _some(points, ["case"])
+    level = F.explode(F.sequence(*map(F.lit, SIDES))).alias("level")
+    cell = [F.floor(F.col(x) / (F.lit(reach) * F.pow(F.lit(2.0), "level"))).alias(x) for x in AXES]
+    counts = some.select("case", "n", level, *AXES).select("case", "n", "level", *cell).groupBy("level", "case", *AXES).agg(F.count(F.lit(1)).alias("places"), F.sum("n").alias("n"))
+    n = (((F.sum(F.col("places") * F.col("places")) / F.sum("places") - 1) * k + 1) * F.sum("n") / F.sum("places")).alias("n")
+    means = counts.groupBy("level").agg(n).collect()  # a row per level
+    return reach * 2.0 ** min([r["level"] for r in means if r["n"] >= GRID], default=SIDES[1])
+
+
 def contact_stats(left: DataFrame, right: DataFrame, case: str, label: str, order: str, cutoffs: Sequence[float], axes: Sequence[str] = AXES, least: int = 1) -> DataFrame:
     """Per case of either table: smallest distance, and within each cutoff point contacts and labels in contact on either side.
 
@@ -294,25 +361,27 @@ def contact_stats(left: DataFrame, right: DataFrame, case: str, label: str, orde
     `contacting` tells cases with at least `least` point contacts within the
     first cutoff.
     """
-    points = _points(left, right, case, label, order, axes).where("case IS NOT NULL")
+    points = stage(_points(left, right, case, label, order, axes).where("case IS NOT NULL"), "points-of-both")
+    sound = points.where(_sound())
     reach = max(cutoffs) * _SLACK
-    cell = [F.floor(F.col(x) / F.lit(reach)).alias(f"c{x}") for x in AXES]
-    ends = [points.where(f"side = {k}").select("case", F.col("label").alias(f"{c}_label"), *cell, *[F.col(x).alias(f"{c}{x}") for x in AXES]) for k, c in enumerate("ab")]
+    tile, on = _grid(sound, reach), ["case", "tx", "ty", "tz"]
+    at = lambda c: F.floor(c / F.lit(tile)).cast("long")
+    ends = [sound.where("side = 0").select("*", *[at(F.col(x)).alias(f"t{x}") for x in AXES]), sound.where("side = 1")]
     for x in AXES:
-        ends[1] = ends[1].withColumn(f"c{x}", F.explode(F.array(*[F.col(f"c{x}") + d for d in (-1, 0, 1)])))
-    d2 = squared_distance([F.col(f"a{x}") for x in AXES], [F.col(f"b{x}") for x in AXES])
-    near = ends[0].join(ends[1], ["case", *[f"c{x}" for x in AXES]]).withColumn("d2", d2).where(F.col("d2") <= max(cutoffs) ** 2)
+        ends[1] = ends[1].withColumn(f"t{x}", F.explode(F.sequence(at(F.col(x) - F.lit(reach)), at(F.col(x) + F.lit(reach)))))
+    sizes = [stage(df.groupBy(*on).agg(F.count(F.lit(1)).alias(f"n{k}")), "tile-sizes") for k, df in enumerate(ends)]
     names = {c: f"{c:g}".replace(".", "_") for c in cutoffs}
-    # A pair is a row of either label, summed before it moves: rows that move grow with points and cells, not with pairs.
-    within = [F.when(F.col("d2") <= c * c, 1).otherwise(0).cast("long").alias(f"n_{n}") for c, n in names.items()]
-    both = F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{c}_label").alias("label"), *[F.col(f"n_{n}") for n in names.values()]) for k, c in enumerate("ab")]))
-    labels = near.select("case", "a_label", "b_label", *within).select("case", both).groupBy("case", "side", "label").agg(*[F.sum(f"n_{n}").alias(f"n_{n}") for n in names.values()])
+    t = dict(points.dtypes)
+    schema = f"case {t['case']}, side int, label {t['label']}, least double, " + ", ".join(f"n_{i} long" for i in range(len(cutoffs)))
+    near = _grouped(ends[0].unionByName(ends[1]), attach(sizes[0], sizes[1], on, "inner"), on, _counted(cutoffs), schema)
+    labels = near.groupBy("case", "side", "label").agg(F.min("least").alias("least"), *[F.sum(f"n_{i}").alias(f"n_{n}") for i, n in enumerate(names.values())])
     outs = []
     for n in names.values():
         outs.append(F.sum(F.when(F.col("side") == 0, F.col(f"n_{n}"))).alias(f"contacts_{n}"))
         outs += [F.count_if((F.col("side") == k) & F.col("label").isNotNull() & (F.col(f"n_{n}") > 0)).alias(f"{c}_{n}") for k, c in enumerate(("left", "right"))]
-    counts = labels.groupBy("case").agg(*outs)
-    shortest = smallest_distance(left, right, case, label, order, axes)
+    counts = stage(labels.groupBy("case").agg(F.sqrt(F.min("least")).alias("_near"), *outs), "contacts")
+    # Where points are in contact, the nearest are among them.
+    shortest = _shortest(attach(points.drop("label", "place"), counts.select("case"), ["case"], "left_anti"))
     out = points.select("case").distinct().join(shortest, "case", "left").join(counts, "case", "left")
     filled = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for n in names.values() for c in (f"contacts_{n}", f"left_{n}", f"right_{n}")]
-    return out.select("case", "distance", *filled).withColumn("contacting", F.col(f"contacts_{names[cutoffs[0]]}") >= least)
+    return out.select("case", F.coalesce("_near", "distance").alias("distance"), *filled).withColumn("contacting", F.col(f"contacts_{names[cutoffs[0]]}") >= least)

@@ -122,3 +122,36 @@ def test_parts_of_large_tiles(spark, monkeypatch):
     want, _ = brute(left, right)
     partners = contacts.nearest_partners(*dfs, "g", "label", "place").collect()
     assert {(r.case, r.side, r.label): (round(r.distance, 9), r.partner) for r in partners} == want
+
+
+def stats(left, right, cutoffs):
+    """Per case: (distance, (contacts, labels of the left, labels of the right) within each cutoff), by all pairs."""
+    out = {}
+    for g in {r[0] for r in left + right}:
+        a, b = [[r for r in rows if r[0] == g] for rows in (left, right)]
+        d2 = np.array([[math.inf] * len(b)] * len(a)).reshape(len(a), len(b))
+        if a and b:
+            p, q = [np.array([r[3:6] for r in rows]) for rows in (a, b)]
+            d2 = ((p[:, None] - q[None]) ** 2)[..., 0] + ((p[:, None] - q[None]) ** 2)[..., 1] + ((p[:, None] - q[None]) ** 2)[..., 2]
+        names = [{rows[i][1] for i in np.flatnonzero((d2 <= c * c).any(axis=axis))} - {None} for c in cutoffs for axis, rows in ((1, a), (0, b))]
+        out[g] = (round(math.sqrt(d2.min()), 9) if d2.size else None, *[n for i, c in enumerate(cutoffs) for n in (int((d2 <= c * c).sum()), len(names[2 * i]), len(names[2 * i + 1]))])
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 40])
+def test_contacts_by_all_pairs(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(contacts, "MOST", most)
+    left, right = clouds(7, [(120, 90, 0.0, 2.0), (150, 150, 1.0, 2.0), (30, 40, 200.0, 1.0)])
+    left += [*left[:60], ("only left", "a0", 0, 1.0, 2.0, 3.0), ("g0", None, 97, 0.0, 0.0, 0.0), ("g2", "there", 98, 200.0, 200.0, 200.0)]
+    dfs = [spark.createDataFrame([(*r, "c", "s") for r in rows], SCHEMA) for rows in (left, right)]
+    cutoffs = [2.0, 0.5, 1.0]
+    got = {r.case: (None if r.distance is None else round(r.distance, 9), *r[2:11]) for r in contacts.contact_stats(*dfs, "g", "label", "place", cutoffs).collect()}
+    assert got == stats(left, right, cutoffs)
+
+
+def test_contacts_move_a_point_to_few_tiles(spark, monkeypatch):
+    """Rows moved grow with the points, not with the cells around each of them."""
+    dfs = cube(spark, monkeypatch)
+    mb, rows = moved(spark, lambda: contacts.contact_stats(*dfs, "g", "label", "place", [1.0, 2.0]).collect())
+    assert len(rows) == 1 and mb < 15
