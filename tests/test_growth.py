@@ -94,3 +94,22 @@ def test_mass_of_groups_within_reach_and_beyond(spark, distance):
     want = {a.k: sum(b.v for b in rows if b.g == a.g and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= distance**2) for a in rows}
     out = clusters._mass(points, ["g"], "k", "xyz", "v", distance, 0, "m")
     assert {r.k: r.m for r in out.collect()} == pytest.approx(want)
+
+
+def test_points_of_one_place_probe_as_one(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "ROWS_A_BLOCK", 50, raising=False)
+    at = lambda k, p: (k, p * 37 % 100 / 50, p * 61 % 100 / 50, p * 83 % 100 / 50, k % 3)
+    # Places of one, of ten and of more points than are compared as one, and a key that occurs twice.
+    rows = [*[at(k, k % 30) for k in range(300)], *[at(1000 + k, 7) for k in range(150)], *[at(2000 + k, 30 + k) for k in range(40)], at(5, 8), (9000, None, 0.0, 0.0, 0), (9001, float("nan"), 0.0, 0.0, 0)]
+    points = spark.createDataFrame(rows, "k long, x double, y double, z double, g int")
+    sound = [r for r in rows if r[0] < 9000]
+    want = sorted((a[0], b[0], a[4], b[4]) for a in sound for b in sound if a[0] < b[0] and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 0.25)
+    assert sorted((r.a, r.b, r.va, r.vb) for r in spatial.radius_pairs(points, "k", "xyz", 0.5, carry="g").collect()) == want
+
+
+def test_pairs_of_copies_follow_each_other(spark, tmp_path):
+    """Of places with eight points each the distances are written in runs, which compress without a dictionary of them."""
+    copies = spark.range(0, 1600, 1, 4).select(F.col("id").alias("k"), *[(F.pmod(F.xxhash64(F.col("id") % 200, F.lit(i)), F.lit(1_000_000)) / 1e6).alias(x) for i, x in enumerate("xyz")])
+    spatial.radius_pairs(copies, "k", "xyz", 2.0).write.option("parquet.enable.dictionary", "false").parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 1600 * 1599 // 2
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").iterdir()) / (1600 * 1599 // 2) < 4.3
